@@ -87,7 +87,7 @@ def streams(spark: SparkSession, sf: str) -> DataFrame:
         detections(spark, sf).filter("class_id < 2").withColumn("sid", F.expr("concat('n', num, kit)")),
         ["game", "cam", "frame", "sid"],
         [F.col("score"), F.col("det_idx")],
-        ["chunk", "num", "kit", "x1", "y1", "x2", "y2"],
+        ["chunk", "score", "det_idx", "num", "kit", "x1", "y1", "x2", "y2"],
     )
 
 
