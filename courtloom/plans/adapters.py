@@ -87,10 +87,16 @@ def streams(spark: SparkSession, sf: str) -> DataFrame:
         detections(spark, sf).filter("class_id < 2").withColumn("sid", F.expr("concat('n', num, kit)")),
         ["game", "cam", "frame", "sid"],
         [F.col("score"), F.col("det_idx")],
-        ["chunk", "score", "det_idx", "num", "kit", "x1", "y1", "x2", "y2"],
+        ["chunk", "score", "det_idx", "num", "kit", "x1", "y1", "x2", "y2", "pk", "sk"],
     )
 
 
+def stream_points(spark: SparkSession, sf: str) -> DataFrame:
+    """Streams placed on the court."""
+    return streams(spark, sf).selectExpr(
+        "*", "cast(pk * 7 % 2144 as double) as cx", "cast(sk * 131 % 1427 as double) as cy")
+
+
 def ball(spark: SparkSession, sf: str) -> DataFrame:
     """Best ball per (game, cam, frame)."""
     return best_per(

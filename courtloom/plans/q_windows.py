@@ -271,3 +271,11 @@ def _(spark, sf):
 def _(spark, sf):
     out = S.span_summary(A.world(spark, sf), ["game", "gid", "chunk"], "frame", "cx", "cy", "team")
     return out.withColumn("fx", col("first_xy.x")).withColumn("lx", col("last_xy.x"))
+
+
+def segments(spark, sf):
+    """Holder segments of the candidate stream (game, start_frame, end_frame, value)."""
+    return S.rle(A.candidates(spark, sf), ["game"], "frame", "cand", 3, block=B).withColumnRenamed("cand", "value")
+
+
+A.CTES["seg"] = (("cand",), RLE_SQL.format(gap=3, src="cand"))
