@@ -156,7 +156,7 @@ def arbiter(rows: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), count_if(F.col("b")).alias("base"), count_if(F.col("v")).alias("story"),
         under(differ & dirty).alias("rule_a"), under(dirty).alias("rule_b"), under(F.coalesce("dist", F.lit(9e9)) < 500).alias("rule_c"),
         under(differ & (F.coalesce("dist", F.lit(9e9)) < 600)).alias("rule_d"), count_if(F.col("b") | F.col("v")).alias("either"),
-        count_if(F.col("b") & F.col("v")).alias("both"), count_if(F.col("agree")).alias("agree"))
+        count_if(F.col("b") & F.col("v")).alias("b_and_v"), count_if(F.col("agree")).alias("agree"))
 
 
 def oracle_bound(anchors: DataFrame, evidence: DataFrame, reach: int = 9) -> DataFrame:
@@ -284,4 +284,4 @@ def appearance_separation(vectors: DataFrame, vec: str, team: str, dims: int) ->
 def court_side_share(world: DataFrame, keys: Sequence[str], centre: float) -> DataFrame:
     """Frames each team's centroid is left / right of the centre line."""
     c = world.filter(F.col("team").isin("A", "B")).groupBy(*keys, "frame", "team").agg(F.avg("cx").alias("x"))
-    return c.groupBy(*keys, "team").agg(count_if(F.col("x") > centre).alias("right"), count_if(F.col("x") <= centre).alias("left"))
+    return c.groupBy(*keys, "team").agg(count_if(F.col("x") > centre).alias("n_right"), count_if(F.col("x") <= centre).alias("n_left"))
