@@ -130,18 +130,21 @@ def release_quality(anchors: DataFrame, ball_boxes: DataFrame, reach: int = 6) -
         "shot_id", "game").agg(F.min("off").alias("rq"))
 
 
-def shooter_position(anchors: DataFrame, feet: DataFrame, keys: Sequence[str]) -> DataFrame:
+def shooter_position(anchors: DataFrame, feet: DataFrame) -> DataFrame:
     """Median over cameras of the court foot at the nearest of frames 0, -1, +1, -2, +2, for the release and
-    6 and 12 frames earlier; the largest basket distance of the three is the release distance."""
-    keys = list(keys)
-    back = anchors.withColumn("back", F.explode(F.array(*[F.lit(v).cast("long") for v in (0, 6, 12)]))).withColumn("_at", F.col("at") - F.col("back"))
-    near = back.withColumn("_d", F.explode(F.sequence(F.lit(-2), F.lit(2)))).withColumn("frame", F.col("_at") + F.col("_d"))
-    hit = near.join(feet, [*keys, "sid", "frame"])
-    per_cam = hit.groupBy("shot_id", *keys, "sid", "back", "cam").agg(
+    6 and 12 frames earlier; the largest basket distance of the three is the release distance.
+
+    `anchors`: one row per shot and camera (shot_id, game, cam, at = the camera's own frame, sid).
+    """
+    back = anchors.withColumn("back", F.explode(F.array(*[F.lit(v).cast("long") for v in (0, 6, 12)])))
+    near = back.withColumn("_d", F.explode(F.sequence(F.lit(-2), F.lit(2)))).withColumn("frame", F.col("at") - F.col("back") + F.col("_d"))
+    hit = near.join(feet.select("game", "cam", "sid", "frame", "cx", "cy"), ["game", "cam", "sid", "frame"])
+    shot = ["shot_id", "game", "sid"]
+    per_cam = hit.groupBy(*shot, "back", "cam").agg(
         F.min(F.struct(F.abs("_d").alias("a"), F.col("_d"), F.struct("cx", "cy").alias("p"))).alias("b"))
-    pos = per_cam.groupBy("shot_id", *keys, "sid", "back").agg(          # at most one row per camera
+    pos = per_cam.groupBy(*shot, "back").agg(          # at most one row per camera
         F.percentile(F.col("b.p.cx"), F.lit(0.5)).alias("cx"), F.percentile(F.col("b.p.cy"), F.lit(0.5)).alias("cy"))
-    dist = pos.groupBy("shot_id", *keys, "sid").agg(F.max(G.basket_distance(F.col("cx"), F.col("cy"))).alias("release_dist"))
+    dist = pos.groupBy(*shot).agg(F.max(G.basket_distance(F.col("cx"), F.col("cy"))).alias("release_dist"))
     return dist.withColumn("zone", G.zone(F.col("release_dist")))
 
 
