@@ -91,14 +91,17 @@ def in_frames(anchors: DataFrame, keys: Sequence[str], at: str, lo: int, hi: int
     return anchors.withColumn(out, F.explode(F.sequence(F.col(at) + lo, F.col(at) + hi - 1)))
 
 
-def shooter_scores(anchors: DataFrame, ball_boxes: DataFrame, lo: int = -23, hi: int = 7, top_share: float | None = None) -> DataFrame:
+def shooter_scores(anchors: DataFrame, ball_boxes: DataFrame, lo: int = -23, hi: int = 7, top_share: float | None = None, start: str | None = None) -> DataFrame:
     """Sum of under-ball weights per shot, camera and stream over the frames around the release.
 
-    `anchors`: shot_id, game, cam, at. `ball_boxes`: game, cam, frame, bx, by, sid, box (frame-bounded join).
+    `anchors`: shot_id, game, cam, at. `ball_boxes`: game, cam, frame, ball, sid, box (frame-bounded join).
+    `start` names a column with a later first frame (the catch), replacing `lo`.
     """
     weight = G.under_ball_weight(G.Box.of(), F.col("ball_x"), F.col("ball_y"), top_share)
     weighted = ball_boxes.withColumn("weight", weight).filter("weight is not null").select("game", "cam", "frame", "sid", "weight")
-    pairs = in_frames(anchors, ["game", "cam"], "at", lo, hi).join(weighted, ["game", "cam", "frame"])
+    wide = in_frames(anchors, ["game", "cam"], "at", lo, hi)
+    wide = wide.filter(F.col("frame") >= F.col(start)) if start else wide
+    pairs = wide.join(weighted, ["game", "cam", "frame"])
     return pairs.groupBy("shot_id", "game", "cam", "sid").agg(F.sum("weight").alias("score"))
 
 
@@ -194,3 +197,74 @@ def assemble(shots: DataFrame) -> DataFrame:
     kept = shots.filter(F.col("pred_player").isNotNull() | F.col("verdict").isNotNull())
     return kept.withColumn("classification", T.shot_class(ft, F.col("pred_zone"), F.col("verdict"))).withColumn("tier", tier).withColumn(
         "confidence", T.tier_confidence(tier)).withColumn("player_a", F.regexp_replace(F.coalesce("pred_player", F.lit("?")), r"\?+$", ""))
+
+
+def wrist_pick(ball: DataFrame, people: DataFrame, keys: Sequence[str], min_height: float = 100.0, min_score: float = 0.3, accept: float = 0.6) -> DataFrame:
+    """Stream whose wrist is closest to the ball in box widths, among tall boxes around the ball.
+    `people`: sid, box, wrists array<struct<x, y, s>>."""
+    b = G.Box.of()
+    w = b.width
+    near = F.col("ball_x").between(b.x1 - w, b.x2 + w) & (F.col("ball_y") <= b.y2) & (b.height >= min_height)
+    pairs = ball.join(people.select(*keys, "sid", "x1", "y1", "x2", "y2", "wrists"), list(keys)).filter(near)
+    seen = F.filter("wrists", lambda k: k["s"] >= min_score)
+    d = F.array_min(F.transform(seen, lambda k: G.distance(k["x"], k["y"], F.col("ball_x"), F.col("ball_y")) / w))
+    best = pairs.withColumn("d", d).filter("d is not null").groupBy(*keys).agg(F.min(F.struct("d", "sid")).alias("b"))
+    return best.select(*keys, F.col("b.sid").alias("sid"), F.col("b.d").alias("d"), (F.col("b.d") < accept).alias("accepted"))
+
+
+def fuse_signals(rows: DataFrame, grid: Sequence[int], split_t: int) -> DataFrame:
+    """appearance > free-throw band: vote > close: wrist > vote. The closeness limit is chosen on the first
+    part of the game (largest wins ties) and applied to all of it."""
+    limits = F.explode(F.array(*[F.lit(g) for g in grid]))
+    near = (F.col("dist") < F.col("d_close")) & F.col("wrist").isNotNull()
+    answer = F.when(F.col("appearance").isNotNull(), F.col("appearance")).when(F.col("dist").between(430, 610), F.col("vote")).when(near, F.col("wrist")).otherwise(F.col("vote"))
+    x = rows.withColumn("d_close", limits).withColumn("ok", F.coalesce(answer, F.lit(False)))
+    first = F.col("t") < split_t
+    tally = x.groupBy("d_close").agg(
+        F.sum((first & F.col("ok")).cast("long")).alias("fit_ok"), F.count(F.lit(1)).alias("n"), F.sum(F.col("ok").cast("long")).alias("n_ok"),
+        F.sum((~first).cast("long")).alias("held_n"), F.sum((~first & F.col("ok")).cast("long")).alias("held_ok"))
+    return tally.agg(F.max(F.struct("fit_ok", "d_close", "n", "n_ok", "held_n", "held_ok")).alias("b")).select("b.*")
+
+
+def play_anchors(plays: DataFrame, players: DataFrame, start: float, duration: float, fps: float = 29.97, pre_s: float = 1.0) -> DataFrame:
+    """Plays inside the clip (2 s slack), one per (tick, class), with the ids that wear the player's number.
+    `players`: game, jersey, gid, team - a roster, so the candidate list is short."""
+    t = F.col("ts") - start
+    inside = plays.filter(t.between(-2.0, duration + 2.0)).groupBy("game", "tick", "cls").agg(F.min(F.struct("play_id", "ts", "jersey")).alias("b"))
+    kind = T.play_kind(F.col("cls"))
+    rows = inside.select("game", "cls", F.col("b.jersey").alias("jersey"), (F.col("b.ts") - start).alias("t_clip"), kind.alias("kind")).filter("kind <> 'ignore'")
+    cands = players.groupBy("game", "jersey").agg(F.collect_set(F.struct("gid", "team")).alias("candidates"))
+    out = rows.join(cands, ["game", "jersey"], "left")
+    return out.withColumn("frame", F.bround(F.col("t_clip") * fps).cast("long")).withColumn(
+        "n_candidates", F.coalesce(F.size("candidates"), F.lit(0))).withColumn("n_candidates", F.greatest("n_candidates", F.lit(0))).withColumn(
+        "pre_frames", F.when(F.col("kind") == "shot", int(pre_s * fps)).otherwise(0))
+
+
+def latest_holder(anchors: DataFrame, holders: DataFrame, keys: Sequence[str], lo: int, hi: int) -> DataFrame:
+    """Holder at the last frame in [at+lo, at+hi] that has one."""
+    wide = in_frames(anchors, keys, "at", lo, hi + 1)
+    best = wide.join(holders.select(*keys, "frame", "holder"), [*keys, "frame"]).groupBy(*keys, "shot_id").agg(F.max(F.struct("frame", "holder")).alias("b"))
+    return best.select(*keys, "shot_id", F.col("b.holder").alias("holder"), F.col("b.frame").alias("frame"))
+
+
+def rim_story(ball: DataFrame, streams: DataFrame, rim: tuple[float, float, float], switch_k: int = 6, catch_k: int = 3, flight_v: float = 14.0) -> DataFrame:
+    """Ball story with a RIM state (anything but HOLD counts as time since a hold): the holder each time the
+    ball reaches the rim."""
+    w = Window.partitionBy("game", "cam", "chunk").orderBy("frame")
+    b = ball.withColumn("_v", G.distance(F.col("ball_x"), F.col("ball_y"), F.lag("ball_x").over(w), F.lag("ball_y").over(w)))
+    key = ["game", "chunk", "frame"]
+    at_rim = (F.abs(F.col("ball_x") - rim[0]) < rim[2]) & (F.abs(F.col("ball_y") - rim[1]) < rim[2])
+    frames = b.groupBy(*key).agg(F.percentile(F.col("_v"), F.lit(0.5)).alias("speed"), F.max(at_rim).alias("rim"))
+    spot = b.select("game", "cam", "chunk", "frame", "ball_x", "ball_y")
+    pairs = spot.join(streams.select("game", "cam", "frame", "sid", "x1", "y1", "x2", "y2"), ["game", "cam", "frame"])
+    vote = G.hold_vote(G.Box.of(), F.col("ball_x"), F.col("ball_y"), F.lit(0))
+    votes = pairs.withColumn("w", vote).filter("w is not null").groupBy(*key, "sid").agg(F.floor(F.sum("w") * 1e6 + 0.5).alias("w"))
+    top = votes.groupBy(*key).agg(F.min(F.struct((-F.col("w")).alias("nw"), F.col("sid"))).alias("t"))
+    c = Window.partitionBy("game", "chunk").orderBy("frame")
+    state = F.when(F.col("rim"), "RIM").when(F.col("t").isNotNull(), "HOLD").when(F.col("speed") > flight_v, "FLIGHT").otherwise("GAP")
+    rows = frames.join(top, key, "left").withColumn("state", state)
+    rows = rows.withColumn("lf", F.last(F.when(F.col("state") != "HOLD", F.col("frame")), ignorenulls=True).over(S.upto(c)))
+    hold = rows.filter("state = 'HOLD'").withColumn("sid", F.col("t.sid")).withColumn("need", F.when(F.col("frame") - F.col("lf") <= 4, catch_k).otherwise(switch_k))
+    taken = S.run_position(hold, ["game", "chunk"], "frame", F.col("sid"), "p").select(*key, F.when(F.col("p") >= F.col("need"), F.col("sid")).alias("taken"))
+    told = rows.select(*key, "state").join(taken, key, "left").withColumn("holder", F.last("taken", ignorenulls=True).over(S.upto(c))).withColumn("_ps", F.lag("state").over(c))
+    return told.filter((F.col("state") == "RIM") & ~F.col("_ps").eqNullSafe(F.lit("RIM"))).select(*key, "holder")
