@@ -184,3 +184,37 @@ def tracklet_candidates(spans: DataFrame, keys: Sequence[str], gid: str, max_gap
     pairs = pairs.withColumn("dist", d).filter(
         (F.col("dist") <= F.least(F.lit(cap), base + per_frame * F.col("gap"))) & team_compatible(F.col("a_team"), F.col("b_team")))
     return pairs.select(*keys, "ga", "gb", "gap", "dist", (F.col("dist") + 0.5 * F.col("gap")).alias("cost"))
+
+
+def fragment_ends(rows: DataFrame, keys: Sequence[str], tid: str, tail: int = 8) -> DataFrame:
+    """First and last point, class and end velocity (over the last `tail` rows) of each fragment."""
+    keys = [*keys, tid]
+    w = Window.partitionBy(*keys).orderBy(F.desc("frame"))          # rows of one fragment inside a chunk
+    r = rows.withColumn("_rd", F.row_number().over(w))
+    late = F.when(F.col("_rd") <= tail, F.col("frame"))
+    point = F.struct("px", "py")
+    g = r.groupBy(*keys).agg(
+        F.min("frame").alias("first"), F.max("frame").alias("last"), F.min_by("class_id", "frame").alias("class_id"), F.min_by(point, F.col("frame")).alias("head"),
+        F.max_by(point, F.col("frame")).alias("end"), F.min_by(point, late).alias("_t"), F.greatest(F.least(F.count(F.lit(1)), F.lit(tail)) - 1, F.lit(1)).alias("_n"))
+    return g.withColumn("vx", (F.col("end.px") - F.col("_t.px")) / F.col("_n")).withColumn("vy", (F.col("end.py") - F.col("_t.py")) / F.col("_n")).drop("_t", "_n")
+
+
+def fragment_links(ends: DataFrame, keys: Sequence[str], tid: str, max_gap: int = 150, base: float = 60.0, per_frame: float = 6.0, cap: float = 420.0,
+                   look: DataFrame | None = None, min_cos: float = 0.55) -> DataFrame:
+    """Link fragments of a camera: extrapolated end near the next start, same class, one tail to one head.
+    With `look` (keys, ga, gb, cos) appearance gates and ranks the pairs, else distance does."""
+    from courtloom.operators.joins import greedy_match
+
+    keys = list(keys)
+    a = ends.select(*keys, F.col(tid).alias("ga"), "last", "class_id", "end", "vx", "vy").withColumn(
+        "_b", F.explode(F.array(F.floor(F.col("last") / max_gap), F.floor(F.col("last") / max_gap) + 1)))
+    b = ends.select(*keys, F.col(tid).alias("gb"), "first", "class_id", "head").withColumn("_b", F.floor(F.col("first") / max_gap))
+    pairs = a.join(b, [*keys, "class_id", "_b"]).withColumn("gap", F.col("first") - F.col("last")).filter("ga <> gb and gap > 0").filter(F.col("gap") <= max_gap)
+    ahead = F.least("gap", F.lit(30))
+    d = G.distance(F.col("end.px") + F.col("vx") * ahead, F.col("end.py") + F.col("vy") * ahead, F.col("head.px"), F.col("head.py"))
+    near = pairs.withColumn("dist", d).filter(F.col("dist") <= F.least(base + per_frame * F.col("gap"), F.lit(cap)))
+    rank = F.floor(F.col("dist") * 1e6 + 0.5)
+    if look is not None:
+        near = near.join(look, [*keys, "ga", "gb"]).filter(F.col("cos") >= min_cos)
+        rank = F.floor((F.col("dist") / 1000 - F.col("cos")) * 1e9 + 0.5)
+    return greedy_match(near, keys, "ga", "gb", [rank, F.col("ga"), F.col("gb")])

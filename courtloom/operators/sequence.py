@@ -283,3 +283,33 @@ def step_function(spine: DataFrame, breaks: DataFrame, keys: Sequence[str], orde
     filled = O.carry_last(both, keys, order, F.col(f"_b.{value}"), "_v", block)
     out = filled.select(*keys, order, F.coalesce("_v", F.lit(default)).alias(value))
     return out.join(spine.select(*keys, order).distinct(), [*keys, order], "left_semi")
+
+
+def contact_bursts(tracks: DataFrame, tid: str, min_iou: float, burst: int, block: int = C.BLOCK_FRAMES) -> DataFrame:
+    """A track is hot for `burst` frames after its box overlaps another track's box of the frame."""
+    from courtloom.functions import geometry as G
+
+    key = ["game", "cam", "frame"]
+    other = tracks.select(*key, F.col(tid).alias("_o"), *[F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")])
+    met = tracks.join(other, key).filter((F.col(tid) != F.col("_o")) & (G.iou(G.Box.of(), G.Box.of("b_")) >= min_iou))
+    touch = met.select(*key, tid).distinct().withColumn("_t", F.lit(1))
+    marked = O.with_halo(tracks.join(touch, [*key, tid], "left"), "frame", burst, 0, block)
+    w = O.halo_window(["game", "cam", tid], "frame").rangeBetween(-burst, 0)
+    return O.own_rows(marked.withColumn("hot", F.coalesce(F.max("_t").over(w), F.lit(0))))
+
+
+def stride2(dets: DataFrame, min_iou: float = 0.3) -> DataFrame:
+    """Even frames kept; an odd frame gets the mean box of the even neighbours' greedily matched boxes of
+    one class (detector order first, best overlap next), with the lower score."""
+    from courtloom.functions import geometry as G
+    from courtloom.operators import joins as J
+
+    key = ["game", "cam", "frame"]
+    box = ("x1", "y1", "x2", "y2")
+    even = dets.filter(F.col("frame") % 2 == 0)
+    nxt = even.select("game", "cam", (F.col("frame") - 2).alias("frame"), "class_id", F.col("det_idx").alias("r"), F.col("score").alias("_s"), *[F.col(c).alias(f"b_{c}") for c in box])
+    pairs = even.join(nxt, [*key, "class_id"]).withColumn("iou", G.iou(G.Box.of(), G.Box.of("b_"))).filter(F.col("iou") > min_iou)
+    m = J.greedy_match(pairs, key, "det_idx", "r", [F.col("det_idx"), -F.col("iou"), F.col("r")])
+    odd = pairs.join(m, [*key, "det_idx", "r"]).select(
+        "game", "cam", (F.col("frame") + 1).alias("frame"), "class_id", *[((F.col(c) + F.col(f"b_{c}")) / 2).alias(c) for c in box], F.least("score", "_s").alias("score"))
+    return even.select(*key, "class_id", *box, "score").unionByName(odd)
