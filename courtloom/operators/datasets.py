@@ -169,3 +169,11 @@ def coco_document(boxes: DataFrame, images: DataFrame, split: str, order: str, b
     x, y, bw, bh = G.yolo_to_xywh(F.col("cx"), F.col("cy"), F.col("w"), F.col("h"), F.col("width"), F.col("height"))
     return boxes.join(ids, [split, "stem"]).select(
         split, "image_id", "class_id", x.alias("x"), y.alias("y"), bw.alias("bw"), bh.alias("bh"), (bw * bh).alias("area"))
+
+
+def build_report(frames: DataFrame, offered: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Per split: images, instances, games, cameras and frames offered more than once."""
+    rep = frames.groupBy("split").agg(F.count(F.lit(1)).alias("images"), F.sum("labels").alias("instances"), F.countDistinct("game").alias("games"), F.countDistinct("cam").alias("cams"))
+    n = offered.filter("labels > 0").groupBy(*key).agg((F.count(F.lit(1)) - 1).alias("dup"))
+    dup = n.join(frames.select(*key, "split"), list(key)).groupBy("split").agg(F.sum("dup").alias("duplicates"))
+    return rep.join(dup, "split", "left")

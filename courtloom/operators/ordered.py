@@ -137,3 +137,16 @@ def exact_quantiles(
         for s, q in probs.items()
     ]
     return counted.groupBy(*keys).agg(*aggs)
+
+
+def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, keep: Sequence[str], salts: int = 64) -> DataFrame:
+    """The k smallest rows per key. Rows are ranked per salted sub-key first, so a hot key is sorted in
+    `salts` pieces and only salts * k rows of it meet in the final ranking."""
+    ranked = df.select(*keys, *[c.alias(f"_o{i}") for i, c in enumerate(order)], *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
+    names = [f"_o{i}" for i in range(len(order))]
+    salted = ranked.withColumn("_salt", F.pmod(F.xxhash64(*names), F.lit(salts)))
+    local = Window.partitionBy(*keys, "_salt").orderBy(*names)
+    few = salted.withColumn("_r", F.row_number().over(local)).filter(F.col("_r") <= k)
+    final = Window.partitionBy(*keys).orderBy(*names)
+    out = few.withColumn("_r", F.row_number().over(final)).filter(F.col("_r") <= k)
+    return out.select(*keys, F.col("_r").alias("rank"), *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)])

@@ -199,10 +199,10 @@ def _(spark, sf):
 
 
 @query("agg17_roster_check", "game read on_roster hallucinated", "raw roster",
-       """with m as (select distinct game, pk % 90 as num from raw where qty % 7 = 0), k as (select distinct num, 1 as ok from roster)
+       """with m as (select distinct game, pk % 90 as num from raw), k as (select distinct num, 1 as ok from roster)
           select game, count(*) as read, count(ok) as on_roster, sum(case when ok is null then 1 else 0 end) as hallucinated from m left join k using (num) group by all""")
 def _(spark, sf):
-    r = A.raw_detections(spark, sf).drop("num").filter("qty % 7 = 0").withColumn("num", col("pk") % 90)
+    r = A.raw_detections(spark, sf).drop("num").withColumn("num", col("pk") % 90)
     return R.roster_check(r, A.roster(spark, sf), ["game"], "num")
 
 
@@ -412,12 +412,12 @@ def _(spark, sf):
 
 
 @query("agg36b_oracle_bound", "game n arc_cam any_cam", "ball streams",
-       """with ev as (select distinct game, cam, frame, sid from streams where score >= 9e-1), a as (select *, concat('n', det_idx % 10, 'B') as sid from ball where frame % 7 = 0),
+       """with ev as (select distinct game, cam, frame, sid from streams where score >= 9e-1), a as (select *, concat('n', det_idx % 10, 'B') as sid from ball),
           h as (select a.game, a.cam, a.frame, max(case when e.cam = a.cam then 1 else 0 end) as arc, count(e.cam) > 0 as hit from a left join ev e on a.game = e.game and a.sid = e.sid and abs(e.frame - a.frame) <= 9 group by all)
           select game, count(*) as n, sum(arc) as arc_cam, sum(hit::int) as any_cam from h group by game""")
 def _(spark, sf):
     ev = A.streams(spark, sf).filter("score >= 9e-1")
-    a = A.ball(spark, sf).filter("frame % 7 = 0").selectExpr("game", "cam", "frame as at", "concat('n', det_idx % 10, 'B') as sid", "frame * 4 + cam as shot_id")
+    a = A.ball(spark, sf).selectExpr("game", "cam", "frame as at", "concat('n', det_idx % 10, 'B') as sid", "frame * 4 + cam as shot_id")
     return R.oracle_bound(a, ev)
 
 

@@ -323,13 +323,13 @@ def _(spark, sf):
 @query("evt15_grab_recheck", "game frame sid:s overridden", "ball streams",
        """with ub as (select game, cam, frame, sid, exp(-(sqrt((ball_x - (x1 + x2) / 2) * (ball_x - (x1 + x2) / 2) + (ball_y - y1) * (ball_y - y1)) / w)) as weight from (""" + PAIR_SQL + """)
             where ball_x between x1 - 6e-1 * w and x2 + 6e-1 * w and ball_y <= y2 and ball_y <= y1 + 6e-1 * (y2 - y1)),
-          pk_ as (select distinct game, frame, concat('n', frame % 10, 'B') as sid from ball where frame % 25 = 0),
+          pk_ as (select distinct game, frame, concat('n', frame % 10, 'B') as sid from ball),
           ev as (select p.game, p.frame, ub.sid, sum(weight) as score from pk_ p join ub on ub.game = p.game and ub.frame between p.frame - 6 and p.frame + 17 group by all),
           b as (select * from ev qualify row_number() over (partition by game, frame order by score desc, sid desc) = 1)
           select p.game, p.frame, case when b.sid <> p.sid and b.score >= 15e-1 * coalesce(o.score, 1e-9) then b.sid else p.sid end as sid, coalesce(b.sid <> p.sid and b.score >= 15e-1 * coalesce(o.score, 1e-9), false) as overridden
           from pk_ p left join b using (game, frame) left join ev o on o.game = p.game and o.frame = p.frame and o.sid = p.sid""")
 def _(spark, sf):
-    picks = A.ball(spark, sf).filter("frame % 25 = 0").selectExpr("game", "frame", "concat('n', frame % 10, 'B') as sid").distinct()
+    picks = A.ball(spark, sf).selectExpr("game", "frame", "concat('n', frame % 10, 'B') as sid").distinct()
     cams = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")))
     a = picks.select("game", col("frame").alias("shot_id"), col("frame").alias("at"), cams.alias("cam"))
     ev = H.shooter_scores(a, ball_boxes(spark, sf), -6, 18, 0.6).groupBy("game", col("shot_id").alias("frame"), "sid").agg(F.sum("score").alias("score"))
@@ -481,12 +481,12 @@ def _(spark, sf):
 
 
 @query("evt22_shot_window_features", "game play_id cam frame ball_id conf:k", "plays evt",
-       """with w as (select game, play_id, cast(floor(t / 1800) as bigint) as f from plays where k % 5 = 0), s as (select w.game, w.play_id, c.cam, unnest(range(f - 2, f + 3)) as frame from w cross join (select range as cam from range(4)) c),
+       """with w as (select game, play_id, cast(floor(t / 1800) as bigint) as f from plays), s as (select w.game, w.play_id, c.cam, unnest(range(f - 2, f + 3)) as frame from w cross join (select range as cam from range(4)) c),
           b as (select game, eid % 4 as cam, cast(floor(sec / 1800) as bigint) as frame, arg_max(eid, val * 1e5 + eid) as ball_id, max(val) % 1000 / 1e3 as conf from evt where val % 1000 >= 250 group by all),
           cov as (select w.game, w.play_id from w join (select distinct game, cam, frame from (select game, eid % 4 as cam, cast(floor(sec / 1800) as bigint) as frame from evt)) k on k.game = w.game and k.frame between f - 2 and f + 2 group by all having count(*) >= 14)
           select s.*, b.ball_id, b.conf from s join cov using (game, play_id) left join b using (game, cam, frame)""")
 def _(spark, sf):
-    w = A.plays(spark, sf).filter("k % 5 = 0").selectExpr("game", "play_id", "cast(floor(t / 1800) as bigint) - 2 as f0", "cast(floor(t / 1800) as bigint) + 2 as f1")
+    w = A.plays(spark, sf).selectExpr("game", "play_id", "cast(floor(t / 1800) as bigint) - 2 as f0", "cast(floor(t / 1800) as bigint) + 2 as f1")
     e = A.events(spark, sf).selectExpr("game", "eid % 4 as cam", "cast(floor(sec / 1800) as bigint) as frame", "eid", "val")
     ball = e.filter("val % 1000 >= 250").groupBy("game", "cam", "frame").agg(
         F.max(F.struct("val", "eid")).alias("b")).select("game", "cam", "frame", col("b.eid").alias("ball_id"), (col("b.val") % 1000 / F.lit(1000.0)).alias("conf"))

@@ -319,14 +319,14 @@ def _(spark, sf):
     return S.contact_bursts(A.tracks(spark, sf), "track_id", 0.3, 5, B)
 
 
-@query("win09_stride2_reconstruction", "game cam frame class_id x1:h y2:h score:k", "det", f"""with recursive e as (select a.game, a.cam, a.frame, a.det_idx as l, b.det_idx as r, row_number() over (partition by a.game, a.cam, a.frame order by a.det_idx, {IOU_SQL} desc, b.det_idx) as i
+@query("win09_stride2_reconstruction", "game cam frame class_id x1:h y2:h score:k", "det", f"""with recursive e as materialized (select a.game, a.cam, a.frame, a.class_id, (a.x1 + b.x1) / 2 as x1, (a.y2 + b.y2) / 2 as y2, least(a.score, b.score) as score, a.det_idx as l, b.det_idx as r, row_number() over (partition by a.game, a.cam, a.frame order by a.det_idx, {IOU_SQL} desc, b.det_idx) as i
      from det a join det b on a.game = b.game and a.cam = b.cam and b.frame = a.frame + 2 and a.class_id = b.class_id and a.frame % 2 = 0 where {IOU_SQL} > 3e-1),
   g as (select game, cam, frame, 0::bigint as i, []::bigint[] as ls, []::bigint[] as rs, max(i) as n from e group by all union all
      select g.game, g.cam, g.frame, e.i, case when list_contains(ls, l) or list_contains(rs, r) then ls else list_append(ls, l) end, case when list_contains(ls, l) or list_contains(rs, r) then rs else list_append(rs, r) end, n
      from g join e on g.game = e.game and g.cam = e.cam and g.frame = e.frame and e.i = g.i + 1),
   m as (select game, cam, frame, unnest(ls) as l, unnest(rs) as r from g where i = n)
   select game, cam, frame, class_id, x1, y2, score from det where frame % 2 = 0 union all
-  select m.game, m.cam, m.frame + 1, a.class_id, (a.x1 + b.x1) / 2, (a.y2 + b.y2) / 2, least(a.score, b.score) from m join det a on a.game = m.game and a.cam = m.cam and a.frame = m.frame and a.det_idx = m.l join det b on b.game = m.game and b.cam = m.cam and b.frame = m.frame + 2 and b.det_idx = m.r""")
+  select e.game, e.cam, e.frame + 1, class_id, x1, y2, score from e join m using (game, cam, frame, l, r)""")
 def _(spark, sf):
     return S.stride2(A.detections(spark, sf), 0.3)
 
