@@ -152,7 +152,7 @@ def apply_patches(boxes: DataFrame, patches: DataFrame, keys: Sequence[str], wid
     value = [c for c in boxes.columns if c not in (*keys, "sid", "frame")]
     rows = hit.groupBy(*keys, "sid_from", "frame", *value).agg(F.max(F.when(inside, F.col("_new"))).alias("_new"))
     rows = rows.withColumn("sid", F.coalesce("_new", "sid_from")).withColumn("moved", F.col("_new").isNotNull().cast("int"))
-    return O.best_per(rows, [*keys, "sid", "frame"], [F.col("moved"), F.col("sid_from")], ["sid_from", "moved", *value])
+    return O.best_per(rows, [*keys, "sid", "frame"], ["moved", "sid_from"], ["sid_from", "moved", *value])
 
 
 def fold_roster(players: DataFrame, mapping: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

@@ -71,32 +71,39 @@ class PlanarFilter:
         return self.s[0]
 
 
-def smooth_segment(frames: np.ndarray, xy: np.ndarray, var: float = 16.0) -> np.ndarray:
-    """Constant-acceleration filter and backward smoother over frames[0]..frames[-1].
-    Returns (n, 2 axes, 3) = position, velocity, acceleration per frame and axis."""
-    n = int(frames[-1] - frames[0] + 1)
-    seen = np.full((n, 2), np.nan)
-    seen[frames - frames[0]] = xy
+def smooth_segments(parts: list[tuple[np.ndarray, np.ndarray]], var: float = 16.0) -> list[np.ndarray]:
+    """Constant-acceleration filter and backward smoother of many point segments at once.
+
+    Each part is (frames, xy); the result per part is (n, 2 axes, 3) = position, velocity, acceleration for
+    frames[0]..frames[-1]. All segments advance together, so the loop runs over the longest one only.
+    """
+    size = np.array([int(f[-1] - f[0] + 1) for f, _ in parts])
+    n, s = int(size.max()), len(parts)
+    seen = np.full((n, s, 2), np.nan)
+    for i, (f, xy) in enumerate(parts):
+        seen[f - f[0], i] = xy
     a = np.array([[1.0, 1.0, 0.5], [0.0, 1.0, 1.0], [0.0, 0.0, 1.0]])
     # process noise per axis: position, velocity, acceleration (the vertical axis accelerates more)
-    noise = (np.diag([0.25, 0.5, 1.5 ** 2]), np.diag([0.25, 0.5, 4.0 ** 2]))
-    out = np.zeros((n, 2, 3))
-    for axis in (0, 1):
-        m, p = np.array([xy[0, axis], 0.0, 0.0]), np.eye(3) * 100.0
-        prior_m, prior_p, post_m, post_p = (np.zeros((n, 3)), np.zeros((n, 3, 3)), np.zeros((n, 3)), np.zeros((n, 3, 3)))
-        for k in range(n):
-            m, p = a @ m, a @ p @ a.T + noise[axis]
-            prior_m[k], prior_p[k] = m, p
-            z = seen[k, axis]
-            if not np.isnan(z):
-                gain = p[:, 0] / (p[0, 0] + var)
-                m, p = m + gain * (z - m[0]), p - np.outer(gain, p[0])
-            post_m[k], post_p[k] = m, p
-        out[n - 1, axis] = post_m[n - 1]
-        for k in range(n - 2, -1, -1):
-            back = np.linalg.solve(prior_p[k + 1].T, (post_p[k] @ a.T).T).T
-            out[k, axis] = post_m[k] + back @ (out[k + 1, axis] - prior_m[k + 1])
-    return out
+    noise = np.stack([np.diag([0.25, 0.5, 1.5 ** 2]), np.diag([0.25, 0.5, 4.0 ** 2])])
+    m = np.zeros((s, 2, 3))
+    m[..., 0] = seen[0]
+    p = np.broadcast_to(np.eye(3) * 100.0, (s, 2, 3, 3)).copy()
+    prior_m, post_m = np.zeros((n, s, 2, 3)), np.zeros((n, s, 2, 3))
+    prior_p, post_p = np.zeros((n, s, 2, 3, 3)), np.zeros((n, s, 2, 3, 3))
+    for k in range(n):
+        m, p = m @ a.T, a @ p @ a.T + noise
+        prior_m[k], prior_p[k] = m, p
+        got = ~np.isnan(seen[k])
+        gain = np.where(got[..., None], p[..., :, 0] / (p[..., 0, 0] + var)[..., None], 0.0)
+        m = m + gain * (np.where(got, seen[k], 0.0) - m[..., 0])[..., None]
+        p = p - gain[..., :, None] * p[..., 0, None, :]
+        post_m[k], post_p[k] = m, p
+    out = post_m.copy()
+    for k in range(n - 2, -1, -1):
+        back = post_p[k] @ a.T @ np.linalg.inv(prior_p[k + 1])
+        better = post_m[k] + (back @ (out[k + 1] - prior_m[k + 1])[..., None])[..., 0]
+        out[k] = np.where((k < size - 1)[:, None, None], better, post_m[k])
+    return [out[: size[i], i] for i in range(s)]
 
 
 def unit(v: np.ndarray) -> np.ndarray:

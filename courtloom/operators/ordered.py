@@ -66,15 +66,17 @@ def carry_last(
     local = Window.partitionBy(*keys, BLK).orderBy(order)
     local = local.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     rows = base.withColumn("_loc", F.last("_val", ignorenulls=True).over(local))
+    # the summary reads every column, so both branches share one exchange and the input is computed once
+    whole = F.struct(*[F.col(c) for c in base.columns if c not in (*keys, BLK)])
     tail = base.groupBy(*keys, BLK).agg(
-        F.max_by("_val", F.when(F.col("_val").isNotNull(), F.col(order))).alias("_tail")
-    )
+        F.max_by(whole, F.when(F.col("_val").isNotNull(), F.col(order))).alias("_last")
+    ).withColumn("_tail", F.col("_last._val"))
     over_blocks = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = tail.withColumn("_in", F.last("_tail", ignorenulls=True).over(over_blocks)).drop("_tail")
+    carried = tail.withColumn("_in", F.last("_tail", ignorenulls=True).over(over_blocks)).select(*keys, BLK, "_in", "_last")
     return (
         rows.join(carried, [*keys, BLK], "left")
         .withColumn(out, F.coalesce("_loc", "_in"))
-        .drop("_val", "_loc", "_in", BLK)
+        .drop("_val", "_loc", "_in", "_last", BLK)
     )
 
 
@@ -104,11 +106,15 @@ def rank_in_key(
     return running_sum(df, keys, order, F.lit(1).cast("long"), out, size)
 
 
-def best_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], keep: Sequence[str]) -> DataFrame:
-    """One row per `keys`: the maximum of `order`. A combinable aggregate, so a hot key is pre-reduced
-    on the map side instead of being sorted in one task (what `row_number() = 1` would do)."""
-    ranking = [c.alias(f"_o{i}") for i, c in enumerate(order)]
-    top = F.max(F.struct(*ranking, *[F.col(c) for c in keep])).alias("_top")
+def best_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], keep: Sequence[str]) -> DataFrame:
+    """One row per `keys`: the maximum of `order` (column names, or expressions that are not kept).
+
+    A combinable aggregate, so a hot key is pre-reduced on the map side instead of being sorted in one task
+    (what `row_number() = 1` would do). Each kept column travels once.
+    """
+    ranking = [F.col(c) if isinstance(c, str) else c.alias(f"_o{i}") for i, c in enumerate(order)]
+    named = [c for c in order if isinstance(c, str)]
+    top = F.max(F.struct(*ranking, *[F.col(c) for c in keep if c not in named])).alias("_top")
     return df.groupBy(*keys).agg(top).select(*keys, *[F.col("_top")[c].alias(c) for c in keep])
 
 

@@ -16,6 +16,7 @@ from courtloom.operators import ordered as O
 from courtloom.operators import sequence as S
 from courtloom.operators import sync
 from courtloom.operators.tracking import per_group
+from courtloom.session import cut_lineage
 
 REF = ("game", "chunk", "ref")
 
@@ -107,8 +108,11 @@ def story_segments(takeovers: DataFrame, max_gap: int = 3, block: int = C.BLOCK_
 
 
 def merge_segments(seg: DataFrame, keys: Sequence[str], max_gap: int, block: int = C.BLOCK_FRAMES) -> DataFrame:
-    """Join neighbouring segments of equal value at most max_gap apart."""
+    """Join neighbouring segments of equal value at most max_gap apart.
+
+    Segments are read several times below, so they are written once (they are the small, run-length form)."""
     keys = list(keys)
+    seg = cut_lineage(seg)
     body = F.struct("end_frame", "value")
     prev = O.carry_last(seg, keys, "start_frame", body, "_p", block, inclusive=False)
     fresh = ~F.coalesce((F.col("_p.value") == F.col("value")) & (F.col("start_frame") - F.col("_p.end_frame") <= max_gap), F.lit(False))
@@ -210,7 +214,7 @@ def temporal_gate(points: DataFrame, keys: Sequence[str], px: float = 90.0, k: i
 def run_events(runs: DataFrame, keys: Sequence[str], teams: DataFrame, max_gap: int = C.PASS_MAX_GAP, block: int = C.BLOCK_FRAMES) -> DataFrame:
     """possession per run; pass / turnover between neighbouring runs of different ids. `teams`: keys, gid, team."""
     keys = list(keys)
-    known = runs.join(teams, [*keys, "gid"], "left")
+    known = cut_lineage(runs.join(teams, [*keys, "gid"], "left"))
     prev = O.carry_last(known, keys, "start_frame", F.struct("end_frame", "gid", "team"), "p", block, inclusive=False)
     poss = prev.select(*keys, F.lit("possession").alias("event"), F.col("start_frame").alias("frame"), "gid", F.lit(None).cast("long").alias("to_gid"), "team")
     handed = (F.col("start_frame") - F.col("p.end_frame") <= max_gap) & (F.col("p.gid") != F.col("gid"))
@@ -237,7 +241,7 @@ def team_blocks(seg: DataFrame, keys: Sequence[str], merge_gap: float, min_lengt
     """Merge same-team segments, keep long blocks, with first and last player.
     `seg`: start_frame, end_frame, team, player."""
     keys = list(keys)
-    prev = O.carry_last(seg.filter("team is not null"), keys, "start_frame", F.struct("end_frame", "team"), "_p", block, inclusive=False)
+    prev = O.carry_last(cut_lineage(seg.filter("team is not null")), keys, "start_frame", F.struct("end_frame", "team"), "_p", block, inclusive=False)
     fresh = ~F.coalesce((F.col("_p.team") == F.col("team")) & (F.col("start_frame") - F.col("_p.end_frame") <= merge_gap), F.lit(False))
     run = O.carry_last(prev.withColumn("_f", fresh).drop("_p"), keys, "start_frame", F.when(F.col("_f"), F.col("start_frame")), "f0", block)
     out = run.groupBy(*keys, "f0", "team").agg(
@@ -249,7 +253,7 @@ def turnovers(blocks: DataFrame, shots: DataFrame, keys: Sequence[str], max_gap:
     """Team changes between neighbouring blocks with no shot close by: TURNOVER of the last holder and
     STEAL of the first new one. `shots`: keys, frame (unique)."""
     keys = list(keys)
-    prev = O.carry_last(blocks, keys, "f0", F.struct("f1", "team", "last_player"), "p", block, inclusive=False)
+    prev = O.carry_last(cut_lineage(blocks), keys, "f0", F.struct("f1", "team", "last_player"), "p", block, inclusive=False)
     change = prev.filter((F.col("p.team") != F.col("team")) & (F.col("f0") - F.col("p.f1") <= max_gap))
     near = J.nearest_in_time(change.select(*keys, F.col("f0").alias("frame"), F.col("p.last_player").alias("lost_by"), F.col("first_player").alias("won_by")),
                              shots.select(*keys, "frame", F.lit(1).alias("one")), keys, "frame", ["one"], guard, block)

@@ -63,7 +63,7 @@ def raw_detections(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _unique(df: DataFrame, keys: list[str]) -> DataFrame:
-    return best_per(df, keys, [F.col(c) for c in _RANK], [c for c in _RANK if c not in keys])
+    return best_per(df, keys, _RANK, [c for c in _RANK if c not in keys])
 
 
 def detections(spark: SparkSession, sf: str) -> DataFrame:
@@ -83,12 +83,9 @@ def tracks(spark: SparkSession, sf: str) -> DataFrame:
 
 def streams(spark: SparkSession, sf: str) -> DataFrame:
     """Identity streams: one box per (game, cam, frame, sid), at most 20 sids."""
-    return best_per(
-        detections(spark, sf).filter("class_id < 2").withColumn("sid", F.expr("concat('n', num, kit)")),
-        ["game", "cam", "frame", "sid"],
-        [F.col("score"), F.col("det_idx")],
-        ["chunk", "score", "det_idx", "num", "kit", "x1", "y1", "x2", "y2", "pk", "sk"],
-    )
+    raw = _table(spark, sf, "lineitem").selectExpr(*RAW).filter("class_id < 2").selectExpr("*", *STREAM_KEY)
+    top = best_per(raw, ["game", "cam", "frame", "sid"], STREAM_RANK, STREAM_RANK)
+    return top.selectExpr("sid", *DET)
 
 
 def stream_points(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,19 +96,20 @@ def stream_points(spark: SparkSession, sf: str) -> DataFrame:
 
 def ball(spark: SparkSession, sf: str) -> DataFrame:
     """Best ball per (game, cam, frame)."""
-    return best_per(
-        detections(spark, sf).filter("class_id = 2"),
-        ["game", "cam", "frame"],
-        [F.col("score"), F.col("det_idx")],
-        ["chunk", "x1", "y1", "x2", "y2", "score", "det_idx"],
-    ).selectExpr("*", "(x1 + x2) / 2 as ball_x", "(y1 + y2) / 2 as ball_y")
+    raw = _table(spark, sf, "lineitem").selectExpr(*RAW).filter("class_id = 2")
+    top = best_per(raw, ["game", "cam", "frame"], STREAM_RANK, STREAM_RANK)
+    return top.selectExpr(*DET).selectExpr("*", "(x1 + x2) / 2 as ball_x", "(y1 + y2) / 2 as ball_y")
+
+
+STREAM_KEY = ["concat('n', pk % 10, case when floor(sk / 4) % 2 = 0 then 'B' else 'W' end) as sid"]
+STREAM_RANK = ["score", "det_idx", "pk", "sk", "qty", "class_id"]
 
 
 def world(spark: SparkSession, sf: str) -> DataFrame:
     """Fused court rows: at most 10 global ids per (game, frame)."""
     raw = _table(spark, sf, "lineitem").selectExpr(*RAW).filter("class_id < 2")
     raw = raw.withColumn("gid", F.expr("pk % 10"))
-    top = best_per(raw, ["game", "frame", "gid"], [F.col(c) for c in _RANK], ["cam", "pk", "sk"])
+    top = best_per(raw, ["game", "frame", "gid"], _RANK, ["cam", "pk", "sk"])
     return top.selectExpr(*WORLD)
 
 
@@ -126,7 +124,7 @@ WORLD = [
 def court_ball(spark: SparkSession, sf: str) -> DataFrame:
     """One court ball position per (game, frame)."""
     raw = _table(spark, sf, "lineitem").selectExpr(*RAW).filter("class_id = 2")
-    return best_per(raw, ["game", "frame"], [F.col(c) for c in _RANK], ["pk", "sk"]).selectExpr(*COURT_BALL)
+    return best_per(raw, ["game", "frame"], _RANK, ["pk", "sk"]).selectExpr(*COURT_BALL)
 
 
 COURT_BALL = [
@@ -142,7 +140,7 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Candidate holder per half hour: one row per (game, frame), value null every 7th event."""
     half = events(spark, sf).selectExpr("game", "cast(floor(sec / 1800) as bigint) as frame", "val", "eid", "etype")
-    return best_per(half, ["game", "frame"], [F.col("val"), F.col("eid")], ["etype", "eid"]).selectExpr(
+    return best_per(half, ["game", "frame"], ["val", "eid"], ["etype", "eid"]).selectExpr(
         "game", "frame", "cast(floor(frame / 360) as bigint) as chunk",
         "case when eid % 7 = 0 then null else etype end as cand",
     )
@@ -151,7 +149,7 @@ def candidates(spark: SparkSession, sf: str) -> DataFrame:
 def observations(spark: SparkSession, sf: str) -> DataFrame:
     """Court observation per (game, uid, minute): best event of the minute."""
     per_min = events(spark, sf).selectExpr("*", "cast(floor(sec / 60) as bigint) as frame")
-    top = best_per(per_min, ["game", "uid", "frame"], [F.col("val"), F.col("eid")], ["k", "etype", "val", "eid"])
+    top = best_per(per_min, ["game", "uid", "frame"], ["val", "eid"], ["k", "etype", "val", "eid"])
     return top.selectExpr(*OBS)
 
 
@@ -168,7 +166,7 @@ def plays(spark: SparkSession, sf: str) -> DataFrame:
 def cv_events(spark: SparkSession, sf: str) -> DataFrame:
     """Derived events: clicks, reduced to one per (game, minute)."""
     clicks = events(spark, sf).filter("etype = 'click'").selectExpr("*", "cast(floor(sec / 60) as bigint) as tick")
-    top = best_per(clicks, ["game", "tick"], [F.col("val"), F.col("eid")], ["sec", "k", "uid", "eid", "val"])
+    top = best_per(clicks, ["game", "tick"], ["val", "eid"], ["sec", "k", "uid", "eid", "val"])
     return top.selectExpr("game", "eid", "sec as t", "k", "uid", "case when val % 5 = 0 then null else val % 300 / 1e2 end as rq")
 
 
@@ -209,6 +207,7 @@ def _best(source: str, keys: str, order: str, where: str = "") -> str:
     return f"select * from {source} {where} qualify row_number() over (partition by {keys} order by {order}) = 1"
 
 
+_SR = "score desc, det_idx desc, pk desc, sk desc, qty desc, class_id desc"
 _R = "score desc, pk desc, sk desc, qty desc, class_id desc"
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "raw0": ((), _c(RAW, "lineitem")),
@@ -220,14 +219,12 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
            "(" + _best("(select *, pk % 10 as track_id from raw0 where class_id < 2)", "game, cam, frame, track_id", _R) + ")"),
     ),
     "streams": (
-        ("det",),
-        _best("(select *, concat('n', num, kit) as sid from det where class_id < 2)",
-              "game, cam, frame, sid", "score desc, det_idx desc"),
+        ("raw0",),
+        _c(["sid", *DET], "(" + _best(f"(select *, {STREAM_KEY[0]} from raw0 where class_id < 2)", "game, cam, frame, sid", _SR) + ")"),
     ),
     "ball": (
-        ("det",),
-        "select *, (x1 + x2) / 2 as ball_x, (y1 + y2) / 2 as ball_y from ("
-        + _best("det", "game, cam, frame", "score desc, det_idx desc", "where class_id = 2") + ")",
+        ("raw0",),
+        "select *, (x1 + x2) / 2 as ball_x, (y1 + y2) / 2 as ball_y from (" + _c(DET, "(" + _best("raw0", "game, cam, frame", _SR, "where class_id = 2") + ")") + ")",
     ),
     "world": (
         ("raw0",),

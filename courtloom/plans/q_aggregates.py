@@ -26,7 +26,7 @@ B = A.BLOCK
        "select * from det qualify row_number() over (partition by game, cam, frame, class_id order by score desc, det_idx) = 1")
 def _(spark, sf):
     best = O.best_per(A.detections(spark, sf).withColumn("first", -col("det_idx")), ["game", "cam", "frame", "class_id"],
-                      [col("score"), col("first")], ["score", "det_idx"])
+                      ["score", "first"], ["score", "det_idx"])
     return best
 
 

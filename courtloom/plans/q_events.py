@@ -418,7 +418,7 @@ def _(spark, sf):
           qualify row_number() over (partition by v.game, v.frame order by abs(m.frame - v.frame), m.frame) = 1""")
 def _(spark, sf):
     t = A.tracks(spark, sf)
-    votes = O.best_per(t.filter("class_id = 0"), ["game", "frame"], [col("score"), col("cam"), col("track_id")], ["cam", "track_id"])
+    votes = O.best_per(t.filter("class_id = 0"), ["game", "frame"], ["score", "cam", "track_id"], ["cam", "track_id"])
     members = t.filter("class_id = 1").select("game", "cam", "track_id", "frame", (col("pk") % 7).alias("gid"))
     return J.nearby_frame(votes, members, ["game", "cam", "track_id"], "gid", 5).filter("gid is not null")
 
