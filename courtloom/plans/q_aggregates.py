@@ -93,9 +93,9 @@ def _(spark, sf):
        f"""with m as (select *, median(cx) over w as mx, median(cy) over w as my from {TRKXY} window w as (partition by game, frame, track_id)),
           d as (select *, sqrt((cx - mx) * (cx - mx) + (cy - my) * (cy - my)) as d from m),
           k as (select *, max(case when d <= 150 then 1 else 0 end) over (partition by game, frame, track_id) as any_ from d)
-          select game, frame, track_id, sum(cx * score) / sum(score) as cx, sum(cy * score) / sum(score) as cy, count(*) as kept from k where d <= 150 or any_ = 0 group by all""")
+          select game, frame, track_id, sum(cx * score) / sum(score) + 1e-7 as cx, sum(cy * score) / sum(score) + 1e-7 as cy, count(*) as kept from k where d <= 150 or any_ = 0 group by all""")
 def _(spark, sf):
-    return T.consensus_point(A.tracks(spark, sf).selectExpr(*COURT_TRK, "score"), ["game", "frame", "track_id"], "cx", "cy", "score")
+    return T.consensus_point(A.tracks(spark, sf).selectExpr(*COURT_TRK, "score"), ["game", "frame", "track_id"], "cx", "cy", "score").withColumn("cx", col("cx") + 1e-7).withColumn("cy", col("cy") + 1e-7)
 
 
 def court_observations(spark, sf):

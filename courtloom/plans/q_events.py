@@ -152,7 +152,7 @@ def arrivals(spark, sf):
     return H.rim_arrivals(A.ball(spark, sf), rim(spark, sf))
 
 
-@query("win13_rim_arrivals", "game cam chunk frame apex_f", "ball", RIM_SQL + " select * from tr")
+@query("win13_rim_arrivals", "game cam chunk frame apex_f", "ball det", RIM_SQL + " select * from tr")
 def _(spark, sf):
     return arrivals(spark, sf)
 
@@ -168,12 +168,12 @@ def shot_list(spark, sf):
     return H.release_frames(kept, A.ball(spark, sf))
 
 
-@query("evt05_shot_detection", "game cam chunk frame apex_f rel_f", "ball", SHOT_SQL + " select * from rl")
+@query("evt05_shot_detection", "game cam chunk frame apex_f rel_f", "ball det", SHOT_SQL + " select * from rl")
 def _(spark, sf):
     return shot_list(spark, sf)
 
 
-@query("win15_release_walk_back", "game cam chunk frame rel_f", "ball", SHOT_SQL.replace("[1][1] - a[-1][1] > 30", "[1][1] - a[-1][1] > 5") + " select * from rl")
+@query("win15_release_walk_back", "game cam chunk frame rel_f", "ball det", SHOT_SQL.replace("[1][1] - a[-1][1] > 30", "[1][1] - a[-1][1] > 5") + " select * from rl")
 def _(spark, sf):
     kept = S.debounce(arrivals(spark, sf), ["game", "cam", "chunk"], "frame", 5, ["apex_f"])
     return H.release_frames(kept, A.ball(spark, sf))
@@ -183,7 +183,7 @@ FLIGHT_SQL = """, fl as (select * from (select *, sqrt((ball_x - lag(ball_x) ove
    from ball window o as (partition by game, cam, chunk order by frame)) where gap <= 6 and v >= 120)"""
 
 
-@query("win29_catch_frame", "game cam chunk frame rel_f catch_f", "ball", SHOT_SQL + FLIGHT_SQL + """
+@query("win29_catch_frame", "game cam chunk frame rel_f catch_f", "ball det", SHOT_SQL + FLIGHT_SQL + """
   select rl.game, rl.cam, rl.chunk, rl.frame, rl.rel_f, max(fl.frame) as catch_f from rl left join fl on fl.game = rl.game and fl.cam = rl.cam and fl.chunk = rl.chunk and fl.frame between rl.rel_f - 23 and rl.rel_f group by all""")
 def _(spark, sf):
     return H.catch_frames(shot_list(spark, sf), A.ball(spark, sf), 120.0)
@@ -207,14 +207,14 @@ def scores(spark, sf):
     return H.shooter_scores(a, ball_boxes(spark, sf)).join(a.select("shot_id", "game", "arc").distinct(), ["shot_id", "game"])
 
 
-@query("evt06_release_quality", "game shot_id rq:k", "ball streams offs", SHOT_SQL + ANCHOR_SQL + """
+@query("evt06_release_quality", "game shot_id rq:k", "ball det streams offs", SHOT_SQL + ANCHOR_SQL + """
   , q as (select game, cam, frame, min(abs(ball_x - (x1 + x2) / 2) / w) as off_ from (""" + PAIR_SQL + """) where ball_y <= y2 and ball_y <= y1 + 6e-1 * (y2 - y1) group by all)
   select an.game, an.shot_id, min(off_) as rq from an join q on q.game = an.game and q.cam = an.cam and q.frame between an.at - 6 and an.at + 6 where an.cam = an.arc group by all""")
 def _(spark, sf):
     return H.release_quality(anchors(spark, sf).filter("cam = arc"), ball_boxes(spark, sf))
 
 
-@query("evt07_shooter_attribution", "game shot_id sid:s cam score:k", "ball streams offs", SHOT_SQL + ANCHOR_SQL + """
+@query("evt07_shooter_attribution", "game shot_id sid:s cam score:k", "ball det streams offs", SHOT_SQL + ANCHOR_SQL + """
   select * from sc qualify row_number() over (partition by game, shot_id order by case when cam = arc then -1 else cam end, floor(score * 1e6 + 5e-1) desc, sid) = 1""")
 def _(spark, sf):
     return H.pick_shooter(scores(spark, sf), F.when(col("cam") == col("arc"), -1).otherwise(col("cam")))
@@ -223,7 +223,7 @@ def _(spark, sf):
 FEET = ["game", "cam", "frame", "sid", "cast(pk * 7 % 2144 as double) as cx", "cast(sk * 131 % 1427 as double) as cy"]
 
 
-@query("evt08_shooter_position_zone", "game shot_id sid:s release_dist:h zone:s", "ball streams offs", SHOT_SQL + ANCHOR_SQL + f"""
+@query("evt08_shooter_position_zone", "game shot_id sid:s release_dist:h zone:s", "ball det streams offs", SHOT_SQL + ANCHOR_SQL + f"""
   , pk_ as (select game, shot_id, sid from sc qualify row_number() over (partition by game, shot_id order by case when cam = arc then -1 else cam end, floor(score * 1e6 + 5e-1) desc, sid) = 1),
   ft as (select {', '.join(FEET)} from streams),
   ps as (select p.game, p.shot_id, p.sid, bk.b, an.cam, ft.cx, ft.cy from pk_ p join an using (game, shot_id) cross join (select unnest([0, 6, 12]) as b) bk
@@ -239,7 +239,7 @@ def _(spark, sf):
     return H.shooter_position(a.select("shot_id", "game", "cam", "at", "sid"), feet)
 
 
-@query("evt09_cross_camera_vote", "game shot_id sid:s vote:k", "ball streams offs", SHOT_SQL + ANCHOR_SQL + """
+@query("evt09_cross_camera_vote", "game shot_id sid:s vote:k", "ball det streams offs", SHOT_SQL + ANCHOR_SQL + """
   , rk as (select *, row_number() over (partition by game, shot_id, cam order by score desc, sid) as rn, coalesce(lead(score) over (partition by game, shot_id, cam order by score desc, sid), 0) as nx from sc),
   vt as (select game, shot_id, sid, floor(sum((score - nx) / score * case when cam = arc then 2 else 1 end) * 1e6 + 5e-1) as v from rk where rn = 1 group by all)
   select game, shot_id, sid, v / 1e6 as vote from vt qualify row_number() over (partition by game, shot_id order by v desc, sid desc) = 1""")
@@ -247,7 +247,7 @@ def _(spark, sf):
     return H.margin_vote(scores(spark, sf), col("arc"))
 
 
-@query("evt10_catch_anchored_vote", "game shot_id sid:s score:k", "ball streams offs", SHOT_SQL + FLIGHT_SQL + ANCHOR_SQL + """
+@query("evt10_catch_anchored_vote", "game shot_id sid:s score:k", "ball det streams offs", SHOT_SQL + FLIGHT_SQL + ANCHOR_SQL + """
   , ct as (select rl.game, rl.cam, rl.frame * 4 + rl.cam as shot_id, rl.rel_f, max(fl.frame) as c from rl left join fl on fl.game = rl.game and fl.cam = rl.cam and fl.chunk = rl.chunk and fl.frame between rl.rel_f - 23 and rl.rel_f group by all),
   s2 as (select ct.game, ct.shot_id, ub.sid, sum(weight) as score from ct join ub on ub.game = ct.game and ub.cam = ct.cam and ub.frame between coalesce(c + 1, rel_f - 23) and rel_f + 6 group by all)
   select * from s2 qualify row_number() over (partition by game, shot_id order by floor(score * 1e6 + 5e-1) desc, sid) = 1""")
@@ -389,7 +389,7 @@ def _(spark, sf):
     return run_events(spark, sf)
 
 
-@query("evt02_holder_votes", "game chunk ref sid:s votes", "ball streams offs",
+@query("evt02_holder_votes", "game chunk ref sid:s votes", "ball det streams offs",
        """with d as (select b.game, b.cam, b.chunk, b.frame, s.sid, b.ball_x - (s.x1 + s.x2) / 2 as dx, b.ball_y - (s.y1 + s.y2) / 2 as dy, (s.x2 - s.x1) * 135e-2 / 2 as hw, (s.y2 - s.y1) * 135e-2 / 2 as hh
             from ball b join streams s on b.game = s.game and b.cam = s.cam and b.frame = s.frame),
           e as (select *, case when abs(dx) <= hw and abs(dy) <= hh then 0e0 else sqrt((dx / greatest(hw, 1e0)) * (dx / greatest(hw, 1e0)) + (dy / greatest(hh, 1e0)) * (dy / greatest(hh, 1e0))) end as dist from d),
