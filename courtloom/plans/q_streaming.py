@@ -13,6 +13,7 @@ from courtloom.operators import shot_model as M
 from courtloom.operators import votes as W
 from courtloom.plans import adapters as A
 from courtloom.plans.q_columns import DIST_SQL, IOU_SQL
+from courtloom.plans.q_joins import SWEEP_SQL
 from courtloom.plans.q_windows import RLE_SQL
 from courtloom.plans.registry import query
 from courtloom.session import scratch_path
@@ -170,13 +171,17 @@ def _(spark, sf):
     return sync.offset_mode(lags, ["cam"], 1.0).withColumnRenamed("offset", "off")
 
 
-@query("jn20c_best_residual", "game cam d median_cm:h n margin:k", "streams")
+@query("jn20c_best_residual", "game cam d median_cm:h n margin:k", "streams", f"""with curve as ({SWEEP_SQL}), b as (select * from curve qualify row_number() over (partition by game, cam order by median_cm, d) = 1),
+  v as (select c.game, c.cam, min(case when abs(c.d - b.d) > 3 then c.median_cm end) as rival from curve c join b on c.game = b.game and c.cam = b.cam group by all)
+  select b.game, b.cam, b.d, b.median_cm, b.n, rival / median_cm as margin from b join v using (game, cam)""")
 def _(spark, sf):
     from courtloom.operators import sync
     return sync.best_residual(sync.read_lag_sweep(A.stream_points(spark, sf), 0, sweep=10, tol=1, min_pairs=20))
 
 
-@query("agg32b_leave_one_out_threshold", "threshold:k")
+@query("agg32b_leave_one_out_threshold", "threshold:k", "", """with e as (select vec_id, label, embedding::double[] as v from embeddings), u as (select vec_id, label, list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-8)) as v from e),
+  d as (select q.vec_id, min(floor((1 - list_dot_product(q.v, g.v)) * 1e9 + 5e-1)) / 1e9 as s from u q join u g on q.vec_id <> g.vec_id and q.label = g.label group by q.vec_id)
+  select quantile_cont(floor(s * 1e6 + 5e-1), 75e-2) / 1e6 as threshold from d""")
 def _(spark, sf):
     from courtloom.operators import appearance
     u = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label", V.l2_normalise(V.as_double(col("embedding"))).alias("v"))
