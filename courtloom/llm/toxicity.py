@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from courtloom.llm.common import fold, mix64, rated_sample
 from courtloom.session import cut_lineage
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: Runs of letters that touch no digit, so that keys and codes give no words.
+_WORD = re.compile(r"\b[^\W\d_]+\b")
 #: Letters of a word that are modelled; a longer word is cut into pieces of this length, all of which count.
 LONGEST = 40
 MARGINS = ("mean", "best_1", "best_4", "best_16")
@@ -147,7 +148,7 @@ def _class_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text, label in zip(batch.column("summary").to_pylist(), batch.column("label").to_pylist(), strict=True):
-            for w in words_of(text):
+            for w in set(words_of(text)):       # once for each narration, so that a text that repeats itself counts no more
                 held.setdefault(w, [0, 0])[0 if label else 1] += 1
             if len(held) > 200_000:
                 yield flush()
