@@ -127,11 +127,15 @@ def claims(tracks: DataFrame, reads: DataFrame, min_iou: float = 0.35, min_conf:
 
 
 # --- aliases and patches ---------------------------------------------------------------------------------------
-def resolve_aliases(parents: DataFrame, child: str = "child", parent: str = "parent", keys: Sequence[str] = (), max_rounds: int = 40) -> DataFrame:
-    """Follow child -> parent to the root by pointer jumping: log2(longest chain) rounds, each a join."""
+def resolve_aliases(parents: DataFrame, child: str = "child", parent: str = "parent", keys: Sequence[str] = ()) -> DataFrame:
+    """Follow child -> parent to the root by pointer jumping: log2(longest chain) rounds, each a join. A chain has at
+    most as many links as there are rows, so rows that still move after that many doublings run in a circle: an error."""
     keys = list(keys)
-    current = parents.select(*keys, child, parent).distinct()
-    for _ in range(max_rounds):
+    current = cut_lineage(parents.select(*keys, child, parent).distinct())
+    rounds = max(1, current.count()).bit_length() + 1
+    for k in range(rounds + 1):
+        if k == rounds:
+            raise ValueError(f"aliases run in a circle: {current.take(3)}")
         up = current.select(*keys, F.col(child).alias(parent), F.col(parent).alias("_up"))
         jumped = cut_lineage(
             current.join(up, [*keys, parent], "left").select(

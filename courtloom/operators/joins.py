@@ -18,12 +18,6 @@ from courtloom.functions import geometry as G
 from courtloom.operators import ordered as O
 
 FRAME = ("game", "cam", "frame")
-BROADCAST_ROWS = 200_000
-
-
-def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Broadcast a side only when its row count is known and small; otherwise leave the choice to AQE."""
-    return F.broadcast(df) if rows is not None and rows <= BROADCAST_ROWS else df
 
 
 # --- roster ---------------------------------------------------------------------------------------------
@@ -74,23 +68,26 @@ def nearby_frame(left: DataFrame, right: DataFrame, keys: Sequence[str], value:
 
 # --- time joins -------------------------------------------------------------------------------------------
 def nearest_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, payload: Sequence[str], tol: float,
-                    block: int = C.BLOCK_FRAMES) -> DataFrame:
-    """Nearest `right` row (unique per keys and time) within `tol` of each left row; earlier wins ties.
+                    block: int | None = None) -> DataFrame:
+    """Nearest `right` row within `tol` of each left row; the earlier of two equally near ones, and of rows at one time
+    the one with the smallest payload.
 
-    Both sides are merged into one ordered stream and the last / next right row is read by a window of
-    bounded reach: no pairs are formed, and the stream is cut into blocks, so neither a dense minute nor a
-    game with a third of the rows becomes one task's work.
+    Both sides are merged into one ordered stream, cut into blocks of about the tolerance. The last right row is read
+    by a running window in time order and the next one by a running window in reverse order: each row is visited once
+    for either, no pairs are formed, and a game with a third of the rows is many blocks.
     """
     keys = list(keys)
     reach = int(tol) + 1
-    body = F.struct(F.col(time).alias("t"), *[F.col(c) for c in payload])
-    marks = O.with_halo(right.select(*keys, time, body.alias("_r")), time, reach, reach, block)
+    block = block or max(4 * reach, 64)
+    first = right.groupBy(*keys, time).agg(F.min(F.struct(*[F.col(c) for c in payload])).alias("_f"))
+    body = F.struct(F.col(time).alias("t"), *[F.col("_f")[c].alias(c) for c in payload])
+    marks = O.with_halo(first.select(*keys, time, body.alias("_r")), time, reach, reach, block)
     rows = left.withColumn("_l", F.struct(*[F.col(c) for c in left.columns if c not in (*keys, time)]))
     rows = rows.select(*keys, time, "_l").withColumn(O.BLK, O.block_of(time, block)).withColumn(O.OWN, F.lit(True))
     both = rows.withColumn("_is", F.lit(1)).unionByName(marks.withColumn("_is", F.lit(0)), allowMissingColumns=True)
     w = Window.partitionBy(*keys, O.BLK).orderBy(time).rangeBetween(Window.unboundedPreceding, 0)
-    v = Window.partitionBy(*keys, O.BLK).orderBy(time).rangeBetween(0, Window.unboundedFollowing)
-    prev, nxt = F.last("_r", ignorenulls=True).over(w), F.first("_r", ignorenulls=True).over(v)
+    v = Window.partitionBy(*keys, O.BLK).orderBy(F.desc(time)).rangeBetween(Window.unboundedPreceding, 0)
+    prev, nxt = F.last("_r", ignorenulls=True).over(w), F.last("_r", ignorenulls=True).over(v)
     out = both.withColumn("_p", prev).withColumn("_n", nxt).filter("_is = 1")
     dp, dn = F.col(time) - F.col("_p.t"), F.col("_n.t") - F.col(time)
     use_prev = F.col("_n").isNull() | (dp <= dn)

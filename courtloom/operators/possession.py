@@ -229,8 +229,9 @@ def fast_breaks(world: DataFrame, keys: Sequence[str], win: int, cm: float = C.F
     Keys are (game, chunk): a centroid row per frame bounds the window."""
     keys = list(keys)
     c = world.filter(F.col("team").isin("A", "B")).groupBy(*keys, "team", "frame").agg(F.avg("cx").alias("x"))
-    w = Window.partitionBy(*keys, "team").orderBy("frame").rangeBetween(win, Window.unboundedFollowing)
-    nxt = F.first(F.struct("frame", "x")).over(w)
+    # in reverse order the frames at least `win` later are a growing prefix, and the nearest of them is its last row
+    w = Window.partitionBy(*keys, "team").orderBy(F.desc("frame")).rangeBetween(Window.unboundedPreceding, -win)
+    nxt = F.last(F.struct("frame", "x")).over(w)
     moved = c.withColumn("n", nxt).withColumn("dx", F.col("n.x") - F.col("x")).filter(F.abs("dx") >= cm)
     best = moved.groupBy(*keys, "team").agg(F.min(F.struct("frame", F.col("n.frame").alias("f1"), "dx")).alias("b"))
     return best.select(*keys, "team", F.col("b.frame").alias("f0"), "b.f1", F.bround("b.dx").alias("dx"),

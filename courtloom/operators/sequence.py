@@ -189,16 +189,23 @@ def majority_smooth(df: DataFrame, keys: Sequence[str], order: str, value: str,
     return out.select(*keys, F.col("_f").alias(order), F.col("b.v").alias(value), F.col("b.c").alias("votes"), "n")
 
 
-def ema(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], alpha: float = 0.35, reach: int = 90) -> DataFrame:
-    """Exponential moving average. (1-alpha)^90 is below double resolution, so a window of 90 earlier
-    rows gives the same double as the unbounded recursion."""
-    w = runs_over(keys, order).rowsBetween(-reach, 0)
-
-    def smooth(v: str) -> Column:
-        seq = F.collect_list(F.col(v)).over(w)
-        return F.aggregate(F.slice(seq, 2, reach), F.get(seq, F.lit(0)), lambda acc, x: acc + alpha * (x - acc))
-
-    return df.select("*", *[smooth(v).alias(f"{v}_ema") for v in values])
+def ema(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str], alpha: float = 0.35) -> DataFrame:
+    """Exponential moving average, the unbounded recursion: one fold over the rows of a key (a track of one chunk, so
+    its list is bounded by the chunk's frames), which gives every row its average in one pass."""
+    keys, others = list(keys), [c for c in df.columns if c not in keys]
+    row = F.struct(F.col(order).alias("_at"), *[F.col(c) for c in others])
+    lists = df.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+
+    def step(acc: Column, r: Column) -> Column:
+        now = [F.when(F.size(acc["out"]) == 0, r[v].cast("double")).otherwise(acc["last"][v] + alpha * (r[v].cast("double") - acc["last"][v])).alias(v) for v in values]
+        last = F.struct(*now)
+        return F.struct(last.alias("last"), F.concat(acc["out"], F.array(last)).alias("out"))
+
+    kind = ", ".join(f"{v}: double" for v in values)
+    start = F.struct(F.expr(f"cast(null as struct<{kind}>)").alias("last"), F.expr(f"cast(array() as array<struct<{kind}>>)").alias("out"))
+    smooth = F.aggregate(F.col("_rows"), start, step, lambda a: a["out"])
+    flat = lists.select(*keys, F.inline(F.arrays_zip(F.col("_rows").alias("r"), smooth.alias("s"))))
+    return flat.select(*[F.col(c) if c in keys else F.col(f"r.{c}") for c in df.columns], *[F.col(f"s.{v}").alias(f"{v}_ema") for v in values])
 
 
 def row_median(col: str, window: Window, half: int) -> Column:

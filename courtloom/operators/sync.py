@@ -47,7 +47,8 @@ def peak_ratio(curve: DataFrame, keys: Sequence[str], away: int = 5) -> DataFram
     far = curve.join(peak, keys).groupBy(*keys).agg(
         F.first("_p").alias("_p"),
         F.max(F.when(F.abs(F.col("lag") + F.col("_p.l")) > away, F.col("c"))).alias("_second"))
-    ratio = F.when(F.col("_second") != 0, F.col("_p.c") / F.abs(F.col("_second")))
+    # a second best of 0 makes the peak infinitely better; without any value far away there is nothing to compare with
+    ratio = F.when(F.col("_second") == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.col("_p.c"), F.abs(F.col("_second"))))
     return far.select(*keys, (-F.col("_p.l")).alias("lag"), F.col("_p.c").alias("peak"), ratio.alias("ratio"))
 
 

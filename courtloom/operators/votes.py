@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from courtloom import constants as C
 from courtloom.functions import geometry as G
 from courtloom.operators import ordered as O
+from courtloom.session import cut_lineage
 
 
 def modal(df: DataFrame, keys: Sequence[str], value: str, seen: str, weight: Column | None = None) -> DataFrame:
@@ -295,19 +296,42 @@ def two_means(df: DataFrame, keys: Sequence[str], value: str, rounds: int = 30,
                       ((F.col("m.lo") < lo_max) & (F.col("m.hi") > hi_min)).alias("accepted"))
 
 
-def two_team_clusters(features: DataFrame, keys: Sequence[str], hue: str, brightness: str, refuse: float = 0.75, hue_gap: float = 8.0, seed: int = 0) -> DataFrame:
-    """KMeans k=2 on the colour features; A is the lower hue (the darker when hues are close); a point
-    nearly as close to the other centre gets null. The model is fitted by Spark ML over the whole input."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    data = VectorAssembler(inputCols=[hue, brightness], outputCol="_x").transform(features)
-    model = KMeans(k=2, seed=seed, featuresCol="_x", predictionCol="_c", maxIter=30).fit(data)
-    c0, c1 = model.clusterCenters()
-    key = 1 if abs(c0[0] - c1[0]) < hue_gap else 0
-    a, b = (c0, c1) if c0[key] <= c1[key] else (c1, c0)
-    da = G.distance(F.col(hue), F.col(brightness), F.lit(float(a[0])), F.lit(float(a[1])))
-    db = G.distance(F.col(hue), F.col(brightness), F.lit(float(b[0])), F.lit(float(b[1])))
-    near, far = F.least(da, db), F.greatest(da, db)
-    team = F.when(near / F.greatest(far, F.lit(1e-9)) > refuse, F.lit(None)).when(da <= db, "A").otherwise("B")
-    return data.withColumn("team", team).drop("_x")
+def two_team_clusters(features: DataFrame, keys: Sequence[str], hue: str, brightness: str, refuse: float = 0.75, hue_gap: float = 8.0, rounds: int = 30) -> DataFrame:
+    """Two-means on the colour features of each key (a camera of a game, say), all keys at once.
+
+    Equal features are counted first, so a round is a map over distinct colours and two combinable means. Centres start
+    at the lowest and highest hue (brightness breaks ties). A is the cluster with the lower median hue (the darker when
+    the hues are within `hue_gap`); a point nearly as close to the other centre, or of a key with fewer than two rows,
+    gets null.
+    """
+    keys = list(keys)
+    cells = cut_lineage(features.groupBy(*keys, F.col(hue).cast("double").alias("_h"), F.col(brightness).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
+    spot = F.struct("_h", "_v")
+    centres = cells.groupBy(*keys).agg(F.min(spot).alias("a"), F.max(spot).alias("b"), F.sum("_n").alias("rows"))
+
+    def far(c: str) -> Column:
+        return G.distance(F.col("_h"), F.col("_v"), F.col(f"{c}._h"), F.col(f"{c}._v"))
+
+    def mean(side: Column, old: str) -> Column:
+        n = F.sum(F.when(side, F.col("_n")))
+        return F.when(n > 0, F.struct((F.sum(F.when(side, F.col("_h") * F.col("_n"))) / n).alias("_h"), (F.sum(F.when(side, F.col("_v") * F.col("_n"))) / n).alias("_v"))).otherwise(F.first(old))
+
+    for _ in range(rounds):
+        near_a = far("a") <= far("b")
+        new = cut_lineage(cells.join(centres, keys).groupBy(*keys).agg(mean(near_a, "a").alias("na"), mean(~near_a, "b").alias("nb"), F.first("rows").alias("rows"),
+                                                                      F.first("a").alias("a"), F.first("b").alias("b")))
+        done = new.filter("na <> a or nb <> b").isEmpty()
+        centres = new.select(*keys, F.col("na").alias("a"), F.col("nb").alias("b"), "rows")
+        if done:
+            break
+    placed = cells.join(centres, keys).withColumn("_da", far("a")).withColumn("_db", far("b")).withColumn("_low", F.col("_da") <= F.col("_db"))
+    middle = placed.groupBy(*keys).agg(*[F.expr(f"percentile({c}, 0.5D, _n) filter (where {side})").alias(name) for c, side, name in (
+        ("_h", "_low", "ha"), ("_h", "not _low", "hb"), ("_v", "_low", "va"), ("_v", "not _low", "vb"))])
+    dark = F.abs(F.col("ha") - F.col("hb")) < hue_gap
+    placed = placed.join(middle.select(*keys, F.coalesce(F.when(dark, F.col("va") <= F.col("vb")).otherwise(F.col("ha") <= F.col("hb")), F.lit(True)).alias("_a_low")), keys)
+    near, other = F.least("_da", "_db"), F.greatest("_da", "_db")
+    unsure = (near / F.greatest(other, F.lit(1e-9)) > refuse) | (F.col("rows") < 2)
+    team = F.when(unsure, F.lit(None)).when(F.col("_low") == F.col("_a_low"), "A").otherwise("B")
+    named = placed.select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)], "_h", "_v", team.alias("_team"))
+    on = [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)] + [F.col(hue).cast("double").eqNullSafe(F.col("_h")), F.col(brightness).cast("double").eqNullSafe(F.col("_v"))]
+    return features.join(named, on, "left").select(*[c for c in features.columns if c != "team"], F.col("_team").alias("team"))

@@ -138,12 +138,11 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidate holder per half hour: one row per (game, frame), value null every 7th event."""
-    half = events(spark, sf).selectExpr("game", "cast(floor(sec / 1800) as bigint) as frame", "val", "eid", "etype")
-    return best_per(half, ["game", "frame"], ["val", "eid"], ["etype", "eid"]).selectExpr(
-        "game", "frame", "cast(floor(frame / 360) as bigint) as chunk",
-        "case when eid % 7 = 0 then null else etype end as cand",
-    )
+    """Candidate holder of every event; its number in time order is the frame, so keys are unique. Null every 7th event."""
+    return events(spark, sf).selectExpr(*CAND)
+
+
+CAND = ["game", "eid as frame", "cast(floor(eid / 360) as bigint) as chunk", "case when eid % 7 = 0 then null else etype end as cand"]
 
 
 def observations(spark: SparkSession, sf: str) -> DataFrame:
@@ -164,10 +163,11 @@ def plays(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cv_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Derived events: clicks, reduced to one per (game, minute)."""
-    clicks = events(spark, sf).filter("etype = 'click'").selectExpr("*", "cast(floor(sec / 60) as bigint) as tick")
-    top = best_per(clicks, ["game", "tick"], ["val", "eid"], ["sec", "k", "uid", "eid", "val"])
-    return top.selectExpr("game", "eid", "sec as t", "k", "uid", "case when val % 5 = 0 then null else val % 300 / 1e2 end as rq")
+    """Derived events: every click. Several may share a second; matchings break such ties by eid."""
+    return events(spark, sf).filter("etype = 'click'").selectExpr(*CV)
+
+
+CV = ["game", "eid", "sec as t", "k", "uid", "case when val % 5 = 0 then null else val % 300 / 1e2 end as rq"]
 
 
 # --- small dimensions made from a rule ---------------------------------------------------------------
@@ -234,8 +234,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "evt": ((), _c(_evt(DUCK_SEC, DUCK_K), "events")),
     "cand": (
         ("evt",),
-        "select game, frame, cast(floor(frame / 360) as bigint) as chunk, case when eid % 7 = 0 then null else etype end as cand from ("
-        + _best("(select *, cast(floor(sec / 1800) as bigint) as frame from evt)", "game, frame", "val desc, eid desc") + ")",
+        _c(CAND, "evt"),
     ),
     "obs": (
         ("evt",),
@@ -244,8 +243,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "plays": (("evt",), "select game, eid as play_id, sec as t, k, uid from evt where etype = 'purchase'"),
     "cv": (
         ("evt",),
-        "select game, eid, sec as t, k, uid, case when val % 5 = 0 then null else val % 300 / 1e2 end as rq from ("
-        + _best("(select *, cast(floor(sec / 60) as bigint) as tick from evt where etype = 'click')", "game, tick", "val desc, eid desc") + ")",
+        _c(CV, "evt", "where etype = 'click'"),
     ),
     "offs": ((), f"select game, cam, {OFFSET} from (select {', '.join(OFFSETS_RANGE)} from (select range as id from range(16)))"),
     "calib": ((), _c(CALIB, "(select range as cam from range(4))")),

@@ -209,14 +209,14 @@ def _(spark, sf):
 @query("agg18_precision_recall", "game chunk precision:k recall:k f1:k", "plays cv",
        """with c as (select game, cast(floor(t / 86400) as bigint) as chunk, count(*) as n_gt, sum(case when k % 3 = 0 then 1 else 0 end) as tp from plays group by all),
           d as (select game, cast(floor(t / 86400) as bigint) as chunk, count(*) as n_cv from cv group by all),
-          p as (select game, chunk, n_gt, n_cv, least(tp, n_cv) as tp from c join d using (game, chunk)),
+          p as (select game, chunk, coalesce(n_gt, 0) as n_gt, coalesce(n_cv, 0) as n_cv, least(coalesce(tp, 0), coalesce(n_cv, 0)) as tp from c full join d using (game, chunk)),
           q as (select *, case when n_cv > 0 then tp / n_cv when n_gt = 0 then 1 else 0 end as precision, case when n_gt > 0 then tp / n_gt else 1 end as recall from p)
           select *, case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0 end as f1 from q""")
 def _(spark, sf):
     day = "cast(floor(t / 86400) as bigint) as chunk"
     c = A.plays(spark, sf).selectExpr("game", day, "k").groupBy("game", "chunk").agg(F.count(F.lit(1)).alias("n_gt"), R.count_if(col("k") % 3 == 0).alias("tp"))
     d = A.cv_events(spark, sf).selectExpr("game", day).groupBy("game", "chunk").agg(F.count(F.lit(1)).alias("n_cv"))
-    return R.prf(c.join(d, ["game", "chunk"]).withColumn("tp", F.least("tp", "n_cv")))
+    return R.prf(c.join(d, ["game", "chunk"], "full").na.fill(0).withColumn("tp", F.least("tp", "n_cv")))
 
 
 @query("agg19_possession_agreement", "game n same swap mapping:s accuracy:k", "cand",
@@ -232,14 +232,14 @@ def _(spark, sf):
 
 
 SCORE_SQL = """with m as (select p.game, p.play_id, p.k, p.uid, c.uid as cu, c.k as ck from plays p left join cv c on p.game = c.game and abs(c.t - p.t) <= 1800
-     qualify row_number() over (partition by p.game, p.play_id order by abs(c.t - p.t), c.t) = 1),
+     qualify row_number() over (partition by p.game, p.play_id order by abs(c.t - p.t), c.t, c.eid) = 1),
   x as (select case k % 3 when 0 then 'FG' when 1 then '3PT' else '4PT' end as cls, ck is not null as det, uid % 3 = cu % 3 as w, k % 2 = ck % 2 as z, (k % 5 < 3) = (ck % 5 < 3) as mm from m)
   select cls, count(*) as n, sum(case when det then 1 else 0 end) as detected, sum(case when det and w then 1 else 0 end) as who, sum(case when det and z then 1 else 0 end) as zone,
    sum(case when det and mm then 1 else 0 end) as make_miss, sum(case when det and w and z and mm then 1 else 0 end) as all_correct from x group by rollup (cls)"""
 
 
 def matched_plays(spark, sf):
-    m = J.nearest_in_time(A.plays(spark, sf), A.cv_events(spark, sf), ["game"], "t", ["uid", "k", "rq"], 1800, block=86400)
+    m = J.nearest_in_time(A.plays(spark, sf), A.cv_events(spark, sf), ["game"], "t", ["eid", "uid", "k", "rq"], 1800)
     return m.select("game", "play_id", "k", "uid", "t", "m_k", "m_uid", "m_rq", "dt", F.expr("case k % 3 when 0 then 'FG' when 1 then '3PT' else '4PT' end").alias("cls"),
                     col("m_k").isNotNull().alias("detected"), (col("uid") % 3 == col("m_uid") % 3).alias("who_ok"),
                     (col("k") % 2 == col("m_k") % 2).alias("zone_ok"), ((col("k") % 5 < 3) == (col("m_k") % 5 < 3)).alias("mm_ok"))
@@ -398,7 +398,7 @@ def _(spark, sf):
 
 
 ARB_SQL = """with m as (select p.k, p.uid, c.uid as cu, c.k as ck, c.rq from plays p join cv c on p.game = c.game and abs(c.t - p.t) <= 1800
-     qualify row_number() over (partition by p.game, p.play_id order by abs(c.t - p.t), c.t) = 1),
+     qualify row_number() over (partition by p.game, p.play_id order by abs(c.t - p.t), c.t, c.eid) = 1),
   r as (select uid % 3 = cu % 3 as b, k % 2 = ck % 2 as v, uid % 2 = ck % 2 as agree, rq, ck * 10 as dist from m)
   select count(*) as n, sum(b::int) as base, sum(v::int) as story, sum((case when coalesce(not agree and rq > 6e-1, false) then v else b end)::int) as rule_a,
     sum((case when coalesce(rq > 6e-1, false) then v else b end)::int) as rule_b, sum((case when dist < 500 then v else b end)::int) as rule_c, sum((case when not agree and dist < 600 then v else b end)::int) as rule_d,
@@ -433,10 +433,10 @@ def _(spark, sf):
     return T.z_normalise(A.tracks(spark, sf), ["cam"], "qty", "z")
 
 
-@query("agg39_two_team_clusters", "team:s n")
+@query("agg39_two_team_clusters", "game cam team:s n")
 def _(spark, sf):
     f = A.tracks(spark, sf).withColumn("hue", F.expr("cast(case when pk % 2 = 0 then 10 + qty % 13 else 60 + qty % 17 end as double)")).withColumn("value", F.expr("cast(sk % 50 as double)"))
-    return T.two_team_clusters(f, ["cam"], "hue", "value").groupBy("team").agg(F.count(F.lit(1)).alias("n"))
+    return T.two_team_clusters(f, ["game", "cam"], "hue", "value").groupBy("game", "cam", "team").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("agg40_read_count_roster", "game num n", "det",

@@ -506,10 +506,10 @@ def _(spark, sf):
 
 
 @query("evt25_clock_shift", "game shift:h n", "plays cv",
-       """with m as (select p.game, c.t - p.t as d from plays p join cv c on p.game = c.game and abs(c.t - p.t) <= 1800 qualify row_number() over (partition by p.game, p.play_id order by abs(c.t - p.t), c.t) = 1)
+       """with m as (select p.game, c.t - p.t as d from plays p join cv c on p.game = c.game and abs(c.t - p.t) <= 1800 qualify row_number() over (partition by p.game, p.play_id order by abs(c.t - p.t), c.t, c.eid) = 1)
           select game, median(d) as shift, count(*) as n from m group by game""")
 def _(spark, sf):
-    m = J.nearest_in_time(A.plays(spark, sf), A.cv_events(spark, sf), ["game"], "t", ["eid"], 1800, block=86400).filter("m_t is not null")
+    m = J.nearest_in_time(A.plays(spark, sf), A.cv_events(spark, sf), ["game"], "t", ["eid"], 1800).filter("m_t is not null")
     d = m.withColumn("d", col("m_t") - col("t"))
     return O.exact_quantiles(d, ["game"], {"shift": "d"}, {"": 0.5}).join(d.groupBy("game").agg(F.count(F.lit(1)).alias("n")), "game")
 

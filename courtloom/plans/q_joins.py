@@ -74,14 +74,14 @@ def _(spark, sf):
 
 @query("jn06_nearest_event", "game play_id m_eid dt", "plays cv",
        """select p.game, p.play_id, c.eid as m_eid, abs(c.t - p.t) as dt from plays p left join cv c on p.game = c.game and abs(c.t - p.t) <= 1800
-          qualify row_number() over (partition by p.game, p.play_id order by abs(c.t - p.t), c.t) = 1""")
+          qualify row_number() over (partition by p.game, p.play_id order by abs(c.t - p.t), c.t, c.eid) = 1""")
 def _(spark, sf):
-    return J.nearest_in_time(A.plays(spark, sf), A.cv_events(spark, sf), ["game"], "t", ["eid"], 1800, block=86400)
+    return J.nearest_in_time(A.plays(spark, sf), A.cv_events(spark, sf), ["game"], "t", ["eid"], 1800)
 
 
 @query("jn06b_nearest_shot_preferring_quality", "game play_id eid m_t", "plays cv",
        """select p.game, p.play_id, c.eid, c.t as m_t from plays p join cv c on p.game = c.game and abs(c.t - p.t) <= 3600
-          qualify row_number() over (partition by p.game, p.play_id order by c.rq is null, c.rq, abs(c.t - p.t), c.t) = 1""")
+          qualify row_number() over (partition by p.game, p.play_id order by c.rq is null, c.rq, abs(c.t - p.t), c.t, c.eid) = 1""")
 def _(spark, sf):
     prefer = [col("rq").isNull().cast("int"), F.coalesce(col("rq"), F.lit(9.9)), col("_dt")]
     return J.preferred_in_window(A.plays(spark, sf), A.cv_events(spark, sf), ["game"], "play_id", "t", 3600, prefer, ["eid", "rq"])
@@ -89,15 +89,15 @@ def _(spark, sf):
 
 @query("jn07_two_tier_as_of", "game play_id m_eid tier", "plays cv",
        """with e as (select p.game, p.play_id, c.eid from plays p join cv c on p.game = c.game and abs(c.t - p.t) <= 600
-             qualify row_number() over (partition by p.game, p.play_id order by abs(c.t - p.t), c.t) = 1),
+             qualify row_number() over (partition by p.game, p.play_id order by abs(c.t - p.t), c.t, c.eid) = 1),
           f as (select p.game, p.play_id, c.eid from plays p join cv c on p.game = c.game and c.rq is not null and abs(c.t - p.t) <= 3600
-             qualify row_number() over (partition by p.game, p.play_id order by abs(c.t - p.t), c.t) = 1)
+             qualify row_number() over (partition by p.game, p.play_id order by abs(c.t - p.t), c.t, c.eid) = 1)
           select p.game, p.play_id, coalesce(e.eid, f.eid) as m_eid, case when e.eid is not null then 1 when f.eid is not null then 2 else 0 end as tier
           from plays p left join e using (game, play_id) left join f using (game, play_id)""")
 def _(spark, sf):
     cv = A.cv_events(spark, sf)
-    near = J.nearest_in_time(A.plays(spark, sf), cv, ["game"], "t", ["eid"], 600, block=86400).drop("dt", "m_t")
-    both = J.nearest_in_time(near.withColumnRenamed("m_eid", "e1"), cv.filter("rq is not null"), ["game"], "t", ["eid"], 3600, block=86400)
+    near = J.nearest_in_time(A.plays(spark, sf), cv, ["game"], "t", ["eid"], 600).drop("dt", "m_t")
+    both = J.nearest_in_time(near.withColumnRenamed("m_eid", "e1"), cv.filter("rq is not null"), ["game"], "t", ["eid"], 3600)
     tier = F.when(col("e1").isNotNull(), 1).when(col("m_eid").isNotNull(), 2).otherwise(0)
     return both.withColumn("tier", tier).withColumn("m_eid", F.coalesce("e1", "m_eid"))
 

@@ -23,10 +23,10 @@ col = F.col
 
 
 def stream_table(spark, df, name):
-    """Write a derived table to shared storage and read it back as a stream of files."""
+    """Write a derived table to shared storage in time ranges and read it back as a stream, one file for each micro-batch."""
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(f"{path}/in")
-    return spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).parquet(f"{path}/in"), path
+    T.write_replay(df, f"{path}/in")
+    return spark.readStream.schema(spark.read.parquet(f"{path}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in"), path
 
 
 def raw_stream(spark, sf, table):
@@ -49,7 +49,7 @@ def _(spark, sf):
     return T.run_available(T.track_ball_online(s), path).withColumnRenamed("by", "by_")
 
 
-HOLD_SQL = """with c as (select game, chunk, frame, case when cand is null then 'GAP' when cand = 'error' then 'FLIGHT' else 'HOLD' end as state, cand as top from cand where frame <= (select max(frame) from cand) - 30),
+HOLD_SQL = """with c as (select game, chunk, frame, case when cand is null then 'GAP' when cand = 'error' then 'FLIGHT' else 'HOLD' end as state, cand as top from cand),
   f as (select *, last_value(case when state = 'FLIGHT' then frame end ignore nulls) over (partition by game, chunk order by frame rows between unbounded preceding and current row) as lf from c),
   h as (select *, case when coalesce(frame - lf <= 4, false) then 2 else 3 end as need, case when top = lag(top) over (partition by game, chunk order by frame) then 0 else 1 end as ch from f where state = 'HOLD'),
   r as (select *, sum(ch) over (partition by game, chunk order by frame) as run from h), p as (select *, row_number() over (partition by game, chunk, run order by frame) as p from r),
@@ -71,27 +71,27 @@ def _(spark, sf):
     return T.run_available(T.triggered_reads(s, 10, 5), path)
 
 
-@query("str05_track_expiry", "game gid frame event:s", "world", """select game, gid, frame, case when p is null then 'enter' else 'reentry' end as event from (select *, lag(frame) over (partition by game, gid order by frame) as p from world where frame <= (select max(frame) from world) - 30)
+@query("str05_track_expiry", "game gid frame event:s", "world", """select game, gid, frame, case when coalesce(frame - p <= 300, false) then 'reentry' else 'enter' end as event from (select *, lag(frame) over (partition by game, gid order by frame) as p from world)
   where p is null or frame - p > 3""")
 def _(spark, sf):
     s, path = stream_table(spark, A.world(spark, sf).select("game", "gid", "frame", T.event_time("frame").alias("ts")), "seen")
     return T.run_available(T.expire_tracks(s, 3), path)
 
 
-@query("str06_camera_alignment", "game ref left_id right_id", "trk offs",
+@query("str06_camera_alignment", "game ref left_cam right_cam left_id right_id", "trk offs",
        """with r as (select t.game, t.cam, frame - off as ref, frame * 10 + track_id as id from trk t join offs o on t.game = o.game and t.cam = o.cam)
-          select a.game, a.ref, a.id as left_id, b.id as right_id from r a join r b on a.game = b.game and a.ref = b.ref and a.cam = 0 and b.cam = 1""")
+          select a.game, a.ref, a.cam as left_cam, b.cam as right_cam, a.id as left_id, b.id as right_id from r a join r b on a.game = b.game and a.ref = b.ref and a.cam < b.cam""")
 def _(spark, sf):
     from courtloom.operators import sync
     r = sync.align(A.tracks(spark, sf), A.offsets(spark)).select("game", "cam", "ref", (col("frame") * 10 + col("track_id")).alias("id")).withColumn("ts", T.event_time("ref"))
     s, path = stream_table(spark, r, "cams")
-    return T.run_available(T.align_cameras(s.filter("cam = 0").drop("cam"), s.filter("cam = 1").drop("cam")), path)
+    return T.run_available(T.align_cameras(s, s), path)
 
 
 @query("str07_possession_sessions", "game holder:s start_sec n", "evt",
        """with g as (select *, sum(cut) over (partition by game, etype order by sec, eid) as s from (select *, case when sec - lag(sec) over (partition by game, etype order by sec, eid) <= 1800 then 0 else 1 end as cut from evt)),
           w as (select game, etype as holder, min(sec) as start_sec, max(sec) + 1800 as e, count(*) as n from g group by game, etype, s)
-          select game, holder, start_sec, n from w where e <= (select max(sec) - 3600 from evt)""")
+          select game, holder, start_sec, n from w""")
 def _(spark, sf):
     e = A.events(spark, sf).select("game", col("etype").alias("holder"), F.timestamp_seconds("sec").alias("ts"))
     s, path = stream_table(spark, e, "sessions")
@@ -132,7 +132,7 @@ def _(spark, sf):
 @query("udf04_match_functions", "game matched", "plays cv", "select game, count(*) as matched from (select p.game, p.play_id from plays p join cv c on p.game = c.game and abs(c.t - p.t) <= 900 group by all) group by game")
 def _(spark, sf):
     from courtloom.operators import joins as J
-    m = J.nearest_in_time(A.plays(spark, sf), A.cv_events(spark, sf), ["game"], "t", ["eid"], 900, block=86400)
+    m = J.nearest_in_time(A.plays(spark, sf), A.cv_events(spark, sf), ["game"], "t", ["eid"], 900)
     return m.filter("m_eid is not null").groupBy("game").agg(F.count(F.lit(1)).alias("matched"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from courtloom.functions import geometry as G
 from courtloom.operators import correction as K
+from courtloom.operators import fusion as N
 from courtloom.operators import identity as I
 from courtloom.operators import joins as J
 from courtloom.operators import ordered as O
@@ -61,7 +62,7 @@ def player_groups(spark, sf):
 
 @query("trk04_cross_camera_fusion", "game chunk frame gid cx:h cy:h team:s jersey n_members")
 def _(spark, sf):
-    return T.fuse_groups(player_groups(spark, sf), max_dist=400.0)
+    return N.fuse_groups(player_groups(spark, sf), max_dist=400.0)
 
 
 @query("trk05_alias_resolution", "game child root", "",
@@ -278,7 +279,7 @@ def _(spark, sf):
 @query("trk20_fusion_grid_search", "config ids stable ghosts penalty:k")
 def _(spark, sf):
     grid = [{"max_dist": d, "gate_cost": g} for d in (250.0, 400.0) for g in (4.0, 7.0)]
-    out = T.fusion_grid(player_groups(spark, sf), ["game", "chunk"], grid)
+    out = N.fusion_grid(player_groups(spark, sf), ["game", "chunk"], grid)
     h = R.identity_health(out, ["config", "game", "chunk"], "gid", "frame", F.lit(False))
     s = h.groupBy("config").agg(F.sum("ids").alias("ids"), F.sum("stable").alias("stable"), F.sum("ghosts").alias("ghosts"))
     return s.withColumn("penalty", (col("ghosts") + F.abs(col("stable") - 10)) / col("ids")).orderBy("penalty", "config")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from courtloom.plans.adapters import with_ctes
+from courtloom.session import ship_package
 
 Plan = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Plan] = {}
@@ -35,7 +36,7 @@ def _casts(cols: str, text: str) -> list[str]:
 def query(name: str, cols: str, ctes: str = "", sql: str | None = None) -> Callable[[Plan], Plan]:
     def register(plan: Plan) -> Plan:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return plan(spark, sf_dir).selectExpr(*_casts(cols, "string"))
+            return plan(ship_package(spark), sf_dir).selectExpr(*_casts(cols, "string"))
 
         assert name not in QUERIES, name
         QUERIES[name] = run

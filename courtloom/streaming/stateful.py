@@ -17,7 +17,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from courtloom import constants as C
+from courtloom.operators import fusion
 from courtloom.operators import tracking as T
+from courtloom.session import cut_lineage
+
+
+#: Event time of the rows that end a bounded replay; watermarks beyond LAST mean that all its rows are in.
+END = "2200-01-01 00:00:00"
+LAST = pd.Timestamp("2199-01-01")
+
+
+def watermarked(stream: DataFrame, time: str, delay: str) -> DataFrame:
+    """A watermark that end marks move on, although they go no further."""
+    return stream.withWatermark(time, delay).filter(F.col(time) < F.lit(END).cast("timestamp"))
+
+
+def write_replay(df: DataFrame, path: str, time: str = "ts", least: int = 3, rows_per_file: int = 500_000) -> None:
+    """A bounded table as files in time order, each of about `rows_per_file` rows, and two end marks: the first moves the
+    watermark past every row, the second starts the micro-batch that lets go of what waits for it."""
+    df = cut_lineage(df)
+    n, low, high = df.agg(F.count("*"), F.min(F.unix_micros(time)), F.max(F.unix_micros(time))).first()
+    parts = max(least, -(-n // rows_per_file))
+    width = ((high or 0) - (low or 0)) // parts + 1
+    slot = F.floor((F.unix_micros(time) - (low or 0)) / width)
+    for k in range(parts):
+        df.filter(slot == k).coalesce(1).write.mode("append").parquet(path)
+    mark = df.sparkSession.range(1).select(*[F.lit(END if f.name == time else None).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+    for _ in range(2):
+        mark.coalesce(1).write.mode("append").parquet(path)
 
 
 def event_time(frame: str, fps: float = C.FPS):
@@ -27,8 +54,9 @@ def event_time(frame: str, fps: float = C.FPS):
 
 
 def ordered_state(stream: DataFrame, keys: Sequence[str], time: str, order: str, machine: Callable[[], object],
-                  step: Callable[[object, int, pd.DataFrame], list[tuple]], schema: str, delay: str, expire_ms: int | None = None) -> DataFrame:
-    """Step `machine` over complete frames in order. `step(state, frame, rows)` returns output tuples."""
+                  step: Callable[[object, int, pd.DataFrame], list[tuple]], schema: str, delay: str, expire_ms: int = 600_000) -> DataFrame:
+    """Step `machine` over complete frames in order. `step(state, frame, rows)` returns output tuples. A key that stays
+    silent for `expire_ms` (a chunk's length by default) is forgotten, at the latest when the end mark has passed."""
     keys = list(keys)
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
     names = [p.split()[0] for p in schema.split(", ")]
@@ -49,29 +77,28 @@ def ordered_state(stream: DataFrame, keys: Sequence[str], time: str, order: str,
             state.update((pickle.dumps((stepper, waiting)),))
             first = int(waiting[time].min().timestamp() * 1000)
             state.setTimeoutTimestamp(max(first, int(mark.timestamp() * 1000)) + 1)
-        elif expire_ms is not None and state.hasTimedOut and not fresh and not out:
-            state.remove()                               # silent for the retention time: forget the key
+        elif mark >= LAST or (state.hasTimedOut and not fresh and not out):
+            if state.exists:
+                state.remove()                           # silent for the retention time, or the end: forget the key
         else:
             state.update((pickle.dumps((stepper, None)),))
-            if expire_ms is not None:
-                state.setTimeoutTimestamp(int(mark.timestamp() * 1000) + expire_ms)
+            state.setTimeoutTimestamp(int(mark.timestamp() * 1000) + expire_ms)
         frame = pd.DataFrame(out, columns=names)
         for k, v in zip(keys, key):
             frame[k] = v
         yield frame[[*keys, *names]]
 
-    return stream.withWatermark(time, delay).groupBy(*keys).applyInPandasWithState(
+    return watermarked(stream, time, delay).groupBy(*keys).applyInPandasWithState(
         run, f"{head}, {schema}", "blob binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # --- trackers -------------------------------------------------------------------------------------------------
 def fuse_online(groups: DataFrame, delay: str = "1 seconds", **params) -> DataFrame:
-    """Cross-camera fusion per (game, chunk); rows as in `tracking.fuse_groups` plus `ts`."""
-    def step(engine: T.Fuser, frame: int, rows: pd.DataFrame) -> list[tuple]:
-        people = next(T.frames_of_groups(rows))[1]
-        return [(frame, w.id, round(float(w.xy[0]), 1), round(float(w.xy[1]), 1), w.best_team(), w.number()) for w in engine.step(frame, people)]
+    """Cross-camera fusion per (game, chunk); rows as in `fusion.fuse_groups`, ids as they were when reported."""
+    def step(tracks: fusion.CourtTracks, frame: int, rows: pd.DataFrame) -> list[tuple]:
+        return [r[:6] for f in fusion.frames(rows) for r in fusion.report(tracks, f)]
 
-    return ordered_state(groups, ["game", "chunk"], "ts", "frame", lambda: T.Fuser(**params), step,
+    return ordered_state(groups, ["game", "chunk"], "ts", "frame", lambda: fusion.CourtTracks(**params), step,
                          "frame long, gid long, cx double, cy double, team string, jersey long", delay)
 
 
@@ -125,16 +152,23 @@ def hold_online(observed: DataFrame, switch_k: int = C.SWITCH_K, catch_k: int =
 
 class _Reader:
     def __init__(self):
+        self.seen = None
+        self.forget()
+
+    def forget(self) -> None:
         self.votes, self.claim, self.last, self.hot = {}, None, None, -1
 
 
 def triggered_reads(boxes: DataFrame, heartbeat: int = 30, burst: int = 15, min_votes: int = 2, share: float = 0.6, delay: str = "1 seconds",
-                    expire_frames: int | None = None) -> DataFrame:
+                    forget_after: int = 18_000) -> DataFrame:
     """Which boxes to read, per (game, cam, track): while unclaimed, when the heartbeat is due, or while hot
     (contact, or a read that contradicts the claim). Rows: frame, ts, num (what a read would return), conf,
-    contact. The claim needs enough votes and share."""
+    contact. The claim needs enough votes and share; a track away for `forget_after` frames starts anew."""
     def step(r: _Reader, frame: int, rows: pd.DataFrame) -> list[tuple]:
         row = rows.iloc[0]
+        if r.seen is not None and frame - r.seen > forget_after:
+            r.forget()
+        r.seen = frame
         if row["contact"]:
             r.hot = max(r.hot, frame + burst)
         due = r.last is None or frame - r.last >= heartbeat
@@ -153,8 +187,7 @@ def triggered_reads(boxes: DataFrame, heartbeat: int = 30, burst: int = 15, min_
                 r.hot = frame + burst
         return [(frame, r.claim)]
 
-    expire = None if expire_frames is None else int(expire_frames / C.FPS * 1000)
-    return ordered_state(boxes, ["game", "cam", "track_id"], "ts", "frame", _Reader, step, "frame long, claim long", delay, expire)
+    return ordered_state(boxes, ["game", "cam", "track_id"], "ts", "frame", _Reader, step, "frame long, claim long", delay, int(forget_after / C.FPS * 1000) + 1000)
 
 
 class _Seen:
@@ -164,29 +197,29 @@ class _Seen:
 
 def expire_tracks(tracks: DataFrame, lost_after: int = 60, delay: str = "1 seconds", forget_after: int = 300) -> DataFrame:
     """Per (game, gid): a gap of more than `lost_after` frames retires the track, its return is a re-entry;
-    the key's state is dropped when it stays away for `forget_after` frames."""
+    a track that stays away for more than `forget_after` frames is forgotten and enters anew."""
     def step(s: _Seen, frame: int, rows: pd.DataFrame) -> list[tuple]:
-        gap = None if s.last is None else frame - s.last
+        gap = None if s.last is None or frame - s.last > forget_after else frame - s.last
         s.last = frame
         kind = "enter" if gap is None else "reentry" if gap > lost_after else None
         return [(frame, kind)] if kind else []
 
-    return ordered_state(tracks, ["game", "gid"], "ts", "frame", _Seen, step, "frame long, event string", delay, int(forget_after / C.FPS * 1000))
+    return ordered_state(tracks, ["game", "gid"], "ts", "frame", _Seen, step, "frame long, event string", delay, int(forget_after / C.FPS * 1000) + 1000)
 
 
 # --- stateless and windowed forms -------------------------------------------------------------------------------
 def align_cameras(left: DataFrame, right: DataFrame, tolerance: str = "0 seconds", delay: str = "1 seconds") -> DataFrame:
-    """Two camera streams joined on the reference frame; both sides are watermarked so state is released."""
+    """Camera streams joined pair by pair on the reference frame; both sides are watermarked so state is released."""
     a = left.withWatermark("ts", delay).alias("a")
     b = right.withWatermark("ts", delay).alias("b")
-    on = (F.col("a.game") == F.col("b.game")) & (F.col("a.ref") == F.col("b.ref"))
+    on = (F.col("a.game") == F.col("b.game")) & (F.col("a.ref") == F.col("b.ref")) & (F.col("a.cam") < F.col("b.cam"))
     on = on & F.col("b.ts").between(F.col("a.ts") - F.expr(f"interval {tolerance}"), F.col("a.ts") + F.expr(f"interval {tolerance}"))
-    return a.join(b, on, "inner").select(F.col("a.game"), F.col("a.ref"), F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"))
+    return a.join(b, on, "inner").select(F.col("a.game"), F.col("a.ref"), F.col("a.cam").alias("left_cam"), F.col("b.cam").alias("right_cam"), F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"))
 
 
 def possession_sessions(holders: DataFrame, gap: str, delay: str) -> DataFrame:
     """Possession runs as session windows per (game, holder)."""
-    return holders.withWatermark("ts", delay).groupBy("game", "holder", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(
+    return watermarked(holders, "ts", delay).groupBy("game", "holder", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(
         "game", "holder", F.col("w.start").alias("start_ts"), F.col("w.end").alias("end_ts"), "n")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from courtloom.functions import geometry as G
 from courtloom.functions import text as X
 from courtloom.operators import datasets as D
+from courtloom.operators import fusion as N
 from courtloom.operators import identity as I
 from courtloom.operators import joins as J
 from courtloom.operators import possession as P
@@ -81,7 +82,7 @@ def observations(spark, players, frames, cams=("FL", "FR", "NL"), noise=25.0, le
 def fuse(obs, **kw):
     g = V.cluster_players(obs, ["game", "chunk", "frame"], kw.pop("cluster", 150.0))
     m = g.select("game", "chunk", "frame", "group_id", F.explode("members").alias("m")).select("game", "chunk", "frame", "group_id", "m.cam", F.col("m.t").alias("track_id"))
-    return T.fuse_groups(m.join(obs, ["game", "chunk", "frame", "cam", "track_id"]), **kw)
+    return N.fuse_groups(m.join(obs, ["game", "chunk", "frame", "cam", "track_id"]), **kw)
 
 
 def test_fusion_keeps_one_id_per_player(spark):
@@ -106,15 +107,11 @@ def test_fusion_returns_after_blackout(spark):
 
 
 def test_number_is_retracted_not_the_track():
-    eng = T.Fuser(min_hits=1, max_dist=200.0)
-
-    def group(x, track):
-        return {"xy": np.array([x, 500.0]), "mean": np.array([x, 500.0]), "weight": 1.0, "team": "A", "jersey": 7, "reid": None,
-                "members": [{"cam": "NL", "track": track, "team": "A", "jersey": 7, "zone": 1.0, "reid": None}, {"cam": "NR", "track": track, "team": "A", "jersey": 7, "zone": 1.0, "reid": None}]}
-
-    for f in range(12):
-        live = eng.step(f, [group(300.0, 1), group(1500.0, 2)])
-    assert len(live) == 2 and sum(w.number() == 7 for w in live) == 1
+    tracks = N.CourtTracks(min_hits=1, max_dist=200.0)
+    rows = [(f, g, cam, g, 300.0 + 1200 * g, 500.0, "A", 7, 1.0, 1.0) for f in range(12) for g in (0, 1) for cam in ("NL", "NR")]
+    for f in N.frames(pd.DataFrame(rows, columns=["frame", "group_id", "cam", "track_id", "cx", "cy", "team", "jersey", "score", "zone_conf"])):
+        live = tracks.step(f)
+    assert len(live) == 2 and list(tracks.numbers(live)).count(7) == 1
 
 
 def spans(spark, rows):
