@@ -189,6 +189,12 @@ def rated_sample(narrations: DataFrame, ratings: DataFrame, label: str, bound: i
 
 # ---------------------------------------------------------------- components
 
+def dealt_anew(summed: DataFrame, key: str) -> DataFrame:
+    """The rows of an aggregate by `key`, dealt by another hash, so that a join on `key` shuffles either side plainly and
+    adaptive execution can split the large keys of the other one. `summed` has one row for each key."""
+    return summed.repartition(F.xxhash64(F.lit(1), key))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each connected component of undirected `edges` (a, b), for nodes with an edge.
 
@@ -204,9 +210,9 @@ def components(edges: DataFrame) -> DataFrame:
     while seen[0]:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.join(dealt_anew(low, "a"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(dealt_anew(low, "a"), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = cut_lineage(small.union(low.select("a", F.col("m").alias("b"))).distinct())
         last, seen = seen, mark(e)
         if last == seen:

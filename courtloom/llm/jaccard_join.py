@@ -166,7 +166,7 @@ def _verify(words: int, n_hashes: int, threshold: float, steps: list[tuple[int,
 
 
 def link_narrations(narrations: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 28, rows: int = 5,
-                    tolerance: float = 1e-4, step: int = 20, block: int = 192) -> DataFrame:
+                    tolerance: float = 1e-9, step: int = 20, block: int = 192) -> DataFrame:
     """(job_id, class_id, n_links, n_text_links): one row for each row of `narrations`, by Jaccard similarity of shingles.
 
     Shingles are runs of `words` words (a shorter text is one shingle). Narrations with one shingle set are one node;
