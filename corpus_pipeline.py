@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from courtloom.llm import bpe, decontamination, jaccard_join, pii, quality_rules
 from courtloom.llm.queries import as_documents, as_narrations, ratings_of, references_of, tokenizer_path
-from courtloom.session import scratch_path
+from courtloom.session import scratch_path, ship_package
 
 #: The operators of the stages have no SQL form (learned rules, MinHash classes, tokenizer); tests compare with brute force.
 ORACLE_SQL = None
@@ -51,6 +51,7 @@ STAGES = [("quality_rules", quality), ("ngram_jaccard_join", near_duplicates), (
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to `documents`; each is written as Parquet in the shared folder and read again by the next."""
     docs, to = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch_path(spark, f"pipeline-{uuid.uuid4().hex}")
+    ship_package(spark)
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{to}/{k}-{name}")
         docs = spark.read.parquet(f"{to}/{k}-{name}")

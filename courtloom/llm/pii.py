@@ -93,6 +93,10 @@ def base_spans(hits: Column, kind: str) -> Column:
     return F.coalesce(spans, F.expr("cast(array() as array<struct<kind: int, start: int, end: int>>)"))
 
 
+def count_of(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == KINDS.index(kind))).cast("long")
+
+
 def span_list(spans: Column) -> Column:
     """kind:start:end of spans in order, joined by commas."""
     names = F.array(*[F.lit(k) for k in KINDS])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from courtloom.llm import (bpe, decontamination, html_extraction, jaccard_join, language_id, passages, pii, quality_classifier,
                            quality_rules, toxicity)
 from courtloom.llm.common import fold
+from courtloom.session import ship_package
 
 
 def tokenizer_path() -> str:
@@ -30,7 +31,7 @@ def as_documents(narrations: DataFrame) -> DataFrame:
 
 
 def _narrations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_narrations(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
+    return as_narrations(ship_package(spark).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
 
 
 def ratings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    pages = ship_package(spark).read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     out = html_extraction.extract_main_text(pages, html_extraction.fit_block_model(pages))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
@@ -61,7 +62,7 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(_narrations(spark, sf_dir))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    counts = [pii.count_of(F.col("base"), name).alias(f"n_{name}") for name in pii.KINDS]
     return found.select(F.col("job_id").alias("doc_id"), *counts, F.sha2(pii.span_list(F.col("base")), 256).alias("base_sha256"), pii.span_list(F.col("spans")).alias("spans"))
 
 

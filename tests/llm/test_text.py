@@ -67,7 +67,7 @@ def test_redaction(spark):
     rows = [(1, "mail é a@b.c or call +1 (988) 555-2485 now", "x"), (2, None, "y"), (3, "", "z"), (1, "10.0.0.1", "w")]
     out = pii.redact(spark.createDataFrame(rows, "job_id long, summary string, base string"))
     assert out.columns == ["job_id", "summary", "base"]
-    assert sorted(r.summary or "-" for r in out.collect()) == sorted(["mail é [EMAIL] or call [PHONE] now", "-", "", "[IP]"])
+    assert sorted("-" if r.summary is None else r.summary for r in out.collect()) == sorted(["mail é [EMAIL] or call [PHONE] now", "-", "", "[IP]"])
     assert pii.redact(spark.createDataFrame([], "job_id long, summary string")).count() == 0
 
 
