@@ -15,7 +15,8 @@ from courtloom.session import build_session
 HEADLINE = (
     "prj04_homography", "agg01_best_detection", "jn03_ball_box_join", "jn05_nearest_detection", "jn06_nearest_event", "jn14_greedy_match",
     "win01_rle_segments", "win02_hysteresis_holder", "win08_track_gap_fill", "win13_rim_arrivals", "agg10_ball_candidate_fusion", "agg16_identity_health",
-    "agg28_average_precision", "trk02_ball_trajectory", "trk03_ball_tracker", "trk09_identity_claims", "trk15_cross_camera_correction",
+    "agg28_average_precision", "trk02_ball_trajectory", "trk03_ball_tracker", "trk04_cross_camera_fusion", "trk08_iou_tracker", "trk09_identity_claims",
+    "trk10_identity_chaining", "trk11_two_way_identities", "trk14_joint_assignment", "trk15_cross_camera_correction", "trk20_fusion_grid_search",
     "evt00_ball_story_segments", "evt05_shot_detection", "evt07_shooter_attribution", "evt16_turnovers_steals", "etl08_capped_identity_sample",
 )
 

@@ -14,7 +14,7 @@ or partition numbers), so a re-run after a lost executor gives the same rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,20 +81,32 @@ def carry_last(
 
 
 def running_sum(
-    df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, size: int = BLOCK_FRAMES
+    df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, size: float = BLOCK_FRAMES
 ) -> DataFrame:
     """Inclusive prefix sum of `value` per `keys` over `order`."""
+    return _running(df, keys, order, value, out, size, F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+
+
+def running_max(
+    df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, size: float = BLOCK_FRAMES
+) -> DataFrame:
+    """Inclusive prefix maximum of `value` per `keys` over `order`."""
+    return _running(df, keys, order, value, out, size, F.max, F.greatest)
+
+
+def _running(df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, size: float, fold: Callable, join: Callable) -> DataFrame:
+    """A local prefix of each block joined with one value carried in from the blocks before it."""
     keys = list(keys)
     base = df.withColumn("_val", value).withColumn(BLK, block_of(order, size))
     base = base.repartition(*[F.col(k) for k in keys], F.col(BLK))
     local = Window.partitionBy(*keys, BLK).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = base.withColumn("_loc", F.sum("_val").over(local))
-    total = base.groupBy(*keys, BLK).agg(F.sum("_val").alias("_total"))
+    rows = base.withColumn("_loc", fold("_val").over(local))
+    total = base.groupBy(*keys, BLK).agg(fold("_val").alias("_total"))
     over_blocks = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
-    offset = total.withColumn("_in", F.sum("_total").over(over_blocks)).drop("_total")
+    offset = total.withColumn("_in", fold("_total").over(over_blocks)).drop("_total")
     return (
         rows.join(offset, [*keys, BLK], "left")
-        .withColumn(out, F.coalesce("_loc", F.lit(0)) + F.coalesce("_in", F.lit(0)))
+        .withColumn(out, join(F.col("_loc"), F.col("_in")))
         .drop("_val", "_loc", "_in", BLK)
     )
 

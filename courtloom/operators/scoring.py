@@ -12,6 +12,7 @@ from courtloom.functions import geometry as G
 from courtloom.operators import joins as J
 from courtloom.operators import ordered as O
 from courtloom.operators import sequence as S
+from courtloom.session import cut_lineage
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -252,14 +253,15 @@ def average_precision(gt: DataFrame, pred: DataFrame, frame: Sequence[str], thre
     s = p.join(m.select(*frame, *key, "pred", "tp"), [*frame, *key, "pred"], "left").groupBy(*key, "score").agg(
         F.count(F.lit(1)).alias("n"), F.count("tp").alias("tp"))
     n_gt = gt.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_gt"))
-    w = Window.partitionBy(*key).orderBy(F.desc("score"))
-    run = s.withColumn("ctp", F.sum("tp").over(w)).withColumn("cn", F.sum("n").over(w)).join(n_gt, "class_id")
-    run = run.withColumn("prec", F.col("ctp") / F.col("cn")).withColumn("rec", F.col("ctp") / F.col("n_gt"))
-    best = run.withColumn("env", F.max("prec").over(Window.partitionBy(*key).orderBy("score").rowsBetween(Window.unboundedPreceding, 0)))
+    # scores are ordered in blocks of 1 / `block`, from high to low for the sums and from low to high for the envelope
+    s = cut_lineage(s.withColumn("_down", -F.col("score")))
+    run = O.running_sum(s, key, "_down", F.col("tp"), "ctp", 1 / block)
+    run = O.running_sum(run, key, "_down", F.col("n"), "cn", 1 / block).join(n_gt, "class_id")
+    run = cut_lineage(run.withColumn("prec", F.col("ctp") / F.col("cn")).withColumn("rec", F.col("ctp") / F.col("n_gt")))
+    best = O.running_max(run, key, "score", F.col("prec"), "env", 1 / block)
     # points of the recall grid reached between the previous and this recall take this envelope value
-    prev = F.coalesce(F.lag("rec").over(w), F.lit(-1.0))
-    pts = best.withColumn("_prev", prev).withColumn("pts", F.floor(F.col("rec") * 100 + 1e-9) - F.floor(F.col("_prev") * 100 + 1e-9))
-    pts = pts.withColumn("pts", F.when(F.col("_prev") < 0, F.floor(F.col("rec") * 100 + 1e-9) + 1).otherwise(F.col("pts")))
+    before = F.when(F.col("cn") == F.col("n"), F.lit(0)).otherwise(F.floor((F.col("ctp") - F.col("tp")) / F.col("n_gt") * 100 + 1e-9) + 1)
+    pts = best.withColumn("pts", F.floor(F.col("rec") * 100 + 1e-9) + 1 - before)
     ap = pts.groupBy(*key).agg((F.sum(F.col("env") * F.col("pts")) / 101).alias("ap"), F.max("rec").alias("ar"))
     grid = n_gt.withColumn("thr", F.explode(F.array(*[F.lit(t) for t in thresholds])))
     return grid.join(ap, key, "left").select(*key, "n_gt", F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("ar", F.lit(0.0)).alias("ar"))

@@ -102,9 +102,9 @@ def number_reads(spark: SparkSession, path: str) -> DataFrame:
 
 def stitch_chunks(df: DataFrame, chunks: DataFrame, fps: float = C.FPS) -> DataFrame:
     """Chunk-local frames to game frames; rows of chunks that are not listed are skipped.
-    `chunks`: game, tag, start_s - one row per 600 s, a dimension."""
+    `chunks`: game, tag, start_s - one row per 600 s of a game; it grows with the games, so the join is left to its size."""
     base = chunks.select("game", "tag", F.bround(F.col("start_s") * fps).cast("long").alias("_base"))
-    return df.join(F.broadcast(base), ["game", "tag"]).withColumn("global_frame", F.col("_base") + F.col("frame")).drop("_base")
+    return df.join(base, ["game", "tag"]).withColumn("global_frame", F.col("_base") + F.col("frame")).drop("_base")
 
 
 def approved_players(spark: SparkSession, path: str, min_frames: int = 30) -> DataFrame:
