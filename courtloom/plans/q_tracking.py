@@ -140,11 +140,18 @@ def _(spark, sf):
     return I.claims(A.tracks(spark, sf), reads)
 
 
+def looks(spark, sf):
+    """Appearance vectors by (game, gid): the vectors of the embeddings table, 40 numbered slots as (game, gid), first of each."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id % 4 as game", "cast(floor(vec_id / 4) as bigint) % 10 as gid", "vec_id", "embedding")
+    first = F.min(F.struct("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("reid")))
+    return e.groupBy("game", "gid").agg(first.alias("b")).select("game", "gid", F.when(col("gid") % 4 > 0, col("b.reid")).alias("reid"))
+
+
 def tracklet_table(spark, sf):
-    f = fragments(spark, sf)
+    f = fragments(spark, sf).withColumn("slot", col("tid") % 10).join(looks(spark, sf).withColumnRenamed("gid", "slot"), ["game", "slot"], "left")
     number = F.when(col("n") >= 4, F.floor(col("tid") / 1000) % 7)
     return f.select("game", "chunk", col("tid").alias("gid"), "first", "last", col("first_xy.x").alias("x0"), col("first_xy.y").alias("y0"), col("last_xy.x").alias("x1"),
-                    col("last_xy.y").alias("y1"), "team", number.cast("double").alias("number"), col("n").cast("double").alias("strength"), F.lit(None).cast("array<double>").alias("reid"))
+                    col("last_xy.y").alias("y1"), "team", number.cast("double").alias("number"), col("n").cast("double").alias("strength"), "reid")
 
 
 @query("trk10_identity_chaining", "game chunk gid identity named")
@@ -152,9 +159,10 @@ def _(spark, sf):
     return T.chain_tracklets(tracklet_table(spark, sf), ["game", "chunk"], max_gap=1.0, speed=900.0)
 
 
-@query("trk11_two_way_identities", "game chunk frame oid identity")
+@query("trk11_two_way_identities", "game chunk frame oid identity named")
 def _(spark, sf):
     w = A.world(spark, sf).withColumn("anchor", F.when(col("cx") % 9 == 0, col("gid")).cast("double")).withColumn("reads", F.when(col("cy") % 2 == 0, 2).otherwise(1))
+    w = w.withColumn("anchor_team", F.when(col("gid") % 2 == 0, "A").otherwise("B")).join(looks(spark, sf), ["game", "gid"], "left")
     return T.two_way_identities(w.withColumn("oid", col("gid")), ["game", "chunk"])
 
 
@@ -166,9 +174,10 @@ def _(spark, sf):
     key = ["game", "chunk", "gid"]
     span = S.span_summary(rows, key, "frame", "cx", "cy", "team")
     number = V.committed_mode(rows, key, "jersey", "frame", 2, 0.7).select(*key, col("jersey").cast("double").alias("number"))
-    t = span.join(number, key, "left").select(
+    seen = rows.groupBy(*key).agg(F.min("oid").alias("oid")).join(looks(spark, sf).withColumnRenamed("gid", "oid"), ["game", "oid"], "left").drop("oid")
+    t = span.join(number, key, "left").join(seen, key, "left").select(
         *key, "first", "last", col("first_xy.x").alias("x0"), col("first_xy.y").alias("y0"), col("last_xy.x").alias("x1"), col("last_xy.y").alias("y1"),
-        F.lit(None).cast("string").alias("team"), "number", col("n").cast("double").alias("strength"), F.lit(None).cast("array<double>").alias("reid"))
+        F.lit(None).cast("string").alias("team"), "number", col("n").cast("double").alias("strength"), "reid")
     return T.chain_tracklets(t, ["game", "chunk"], max_gap=1.0, speed=900.0, slack=0, rounds=8, w_gap=0.12, w_dist=900.0, w_cos=0.8, floor_cm=120.0, min_cos=0.4)
 
 
