@@ -224,7 +224,7 @@ def static_logos(df: DataFrame, keys: Sequence[str], order: str, x: str, y: str,
     seeds = lists.select(*keys, F.aggregate("u", F.slice("u", 1, 0), step).alias("seeds"))
     member = df.join(seeds, keys).withColumn(
         "cluster", F.array_position(F.transform("seeds", lambda c: G.distance(F.col(x), F.col(y), c["x"], c["y"]) <= radius), F.lit(True))).drop("seeds")
-    w = Window.partitionBy(*keys, "cluster").orderBy(order)
+    w = Window.partitionBy(*keys, "cluster").orderBy(order, x, y)
     moved = member.withColumn("_s", G.distance(F.col(x), F.col(y), F.lag(x).over(w), F.lag(y).over(w)))
     span = df.groupBy(*keys).agg((F.max(order) - F.min(order) + 1).alias("span"))
     stat = moved.groupBy(*keys, "cluster").agg(

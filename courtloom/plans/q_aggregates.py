@@ -170,7 +170,19 @@ def _(spark, sf):
     return T.reject_stationary(ball_points(spark, sf), ["game", "chunk"], "frame", "cx", "cy", max_occupancy=0.04)
 
 
-@query("agg14_static_logos", "game cam chunk cluster frames points is_static")
+LOGO_SQL = """with recursive o as (select game, cam, chunk, frame, cx, cy, row_number() over (partition by game, cam, chunk order by frame, cx, cy) as i, count(*) over (partition by game, cam, chunk) as n from bpts),
+  s as (select game, cam, chunk, 1::bigint as i, n, [{'x': cx, 'y': cy}] as c from o where i = 1 union all
+    select s.game, s.cam, s.chunk, o.i, s.n, case when list_contains(list_transform(s.c, lambda q: sqrt((o.cx - q.x) * (o.cx - q.x) + (o.cy - q.y) * (o.cy - q.y)) <= 60), true) then s.c
+      else list_append(s.c, {'x': o.cx, 'y': o.cy}) end from s join o on s.game = o.game and s.cam = o.cam and s.chunk = o.chunk and o.i = s.i + 1),
+  m as (select o.*, list_position(list_transform(s.c, lambda q: sqrt((o.cx - q.x) * (o.cx - q.x) + (o.cy - q.y) * (o.cy - q.y)) <= 60), true) as cluster
+    from o join s on s.game = o.game and s.cam = o.cam and s.chunk = o.chunk and s.i = s.n),
+  t as (select *, sqrt(pow(cx - lag(cx) over w, 2) + pow(cy - lag(cy) over w, 2)) as step from m window w as (partition by game, cam, chunk, cluster order by frame, cx, cy)),
+  p as (select game, cam, chunk, max(frame) - min(frame) + 1 as span from bpts group by all)
+  select game, cam, chunk, cluster, count(distinct frame) as frames, count(*) as points, count(distinct frame) / any_value(span) > 6e-2 and coalesce(median(step), 0) < 40 as is_static
+  from t join p using (game, cam, chunk) group by game, cam, chunk, cluster"""
+
+
+@query("agg14_static_logos", "game cam chunk cluster frames points is_static", "bpts", LOGO_SQL)
 def _(spark, sf):
     return T.static_logos(ball_points(spark, sf), ["game", "cam", "chunk"], "frame", "cx", "cy", 60.0, 0.06, 40.0)
 

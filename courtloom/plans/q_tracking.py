@@ -181,7 +181,19 @@ def _(spark, sf):
     return T.chain_tracklets(t, ["game", "chunk"], max_gap=1.0, speed=900.0, slack=0, rounds=8, w_gap=0.12, w_dist=900.0, w_cos=0.8, floor_cm=120.0, min_cos=0.4)
 
 
-@query("trk13_read_clusters", "game num chunk rid frame cluster")
+READS_SQL = """with recursive o as (select game, num, chunk, cam * 1000 + det_idx as rid, frame, pk * 7 % 2144 * 1e0 as cx, sk * 131 % 1427 * 1e0 as cy,
+    row_number() over (partition by game, num, chunk order by frame, cam * 1000 + det_idx, pk * 7 % 2144, sk * 131 % 1427) as i from streams),
+  s as (select game, num, chunk, rid, frame, i, 1::bigint as pos, [{'f': frame, 'x': cx, 'y': cy}] as c from o where i = 1 union all
+    select game, num, chunk, rid, frame, i, case when hit = 0 then len(c) + 1 else hit end, case when hit = 0 then list_append(c, {'f': frame, 'x': cx, 'y': cy})
+      else list_transform(c, lambda q, k: case when k = hit then {'f': frame, 'x': cx, 'y': cy} else q end) end
+    from (select o.*, s.c, coalesce(list_reduce(list_prepend({'d': 1e18, 'k': 0}, list_transform(s.c, lambda q, k: {'d':
+        case when sqrt((q.x - o.cx) * (q.x - o.cx) + (q.y - o.cy) * (q.y - o.cy)) <= greatest(12e1, 9e3 * greatest(1, o.frame - q.f) / 2997e-2) then sqrt((q.x - o.cx) * (q.x - o.cx) + (q.y - o.cy) * (q.y - o.cy)) else 1e18 end,
+        'k': k})), lambda x, y: case when y.d < x.d then y else x end).k, 0) as hit
+      from s join o on s.game = o.game and s.num = o.num and s.chunk = o.chunk and o.i = s.i + 1))
+  select game, num, chunk, rid, frame, pos - 1 as cluster from s qualify count(*) over (partition by game, num, chunk, pos) >= 15"""
+
+
+@query("trk13_read_clusters", "game num chunk rid frame cluster", "streams", READS_SQL)
 def _(spark, sf):
     r = A.stream_points(spark, sf).withColumn("rid", col("cam") * 1000 + col("det_idx"))
     return T.cluster_reads(r.select("game", "num", "chunk", "rid", "frame", "cx", "cy"), speed=9000.0, min_reads=15)
