@@ -271,11 +271,11 @@ def z_normalise(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Dat
 def two_means(df: DataFrame, keys: Sequence[str], value: str, rounds: int = 30, min_reads: int = 60, lo_max: float = -0.3, hi_min: float = 0.2) -> DataFrame:
     """1-D two-means per number, started at min and max; tag above / below the middle when the split is clear.
 
-    Values are reduced to counts per distinct value first; the iteration then runs on that small, sorted
-    value table with the two centres as a fold state, so no driver loop and no repeated scan is needed.
+    Values are reduced to counts per distinct value first; the iteration then runs on that sorted value table with the
+    two centres as a fold state, so no driver loop and no repeated scan is needed. Values are taken as they are.
     """
     keys = list(keys)
-    grid = df.filter(F.col(value).isNotNull()).withColumn("_v", F.floor(F.col(value) * 100 + 0.5) / 100)
+    grid = df.filter(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("double"))
     hist = grid.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("c"))
     lists = hist.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("_v", "c"))).alias("h"), F.min("_v").alias("lo0"), F.max("_v").alias("hi0"), F.sum("c").alias("n"))

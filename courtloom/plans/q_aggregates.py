@@ -105,7 +105,29 @@ def court_observations(spark, sf):
         "cast(pk * 7 % 900 as double) as cx", "cast(sk * 131 % 600 as double) as cy")
 
 
-@query("agg09_player_clusters", "game frame group_id cx:k cy:k team:s jersey n_cams")
+def _mode_sql(values: str, empty: str) -> str:
+    """Most frequent of the non-empty values, the first of equals."""
+    known = f"list_filter({values}, lambda z: z <> {empty})"
+    counts = f"list_transform({known}, lambda v: len(list_filter({known}, lambda z: z = v)))"
+    return f"{known}[list_position({counts}, list_max({counts}))]"
+
+
+CLUSTER_SQL = f"""with recursive o as (select *, row_number() over (partition by game, frame order by -score, cam, track_id) as i, count(*) over (partition by game, frame) as n from
+    (select game, frame, cam, track_id, score, case when class_id = 1 then 'REF' when pk % 3 = 0 then '' when pk % 3 = 1 then 'A' else 'B' end as team, case when pk % 4 = 0 then track_id else -1 end as j,
+      greatest((cam + 1) / 4e0 * score, 1e-3) as w, pk * 7 % 900 * 1e0 as x, sk * 131 % 600 * 1e0 as y from trk)),
+  s as (select game, frame, i, n, [{{'cams': [cam], 'teams': [team], 'js': [j], 'wx': x * w, 'wy': y * w, 'w': w}}] as c from o where i = 1 union all
+    select game, frame, i, n, case when pos = 0 then list_append(c, {{'cams': [cam], 'teams': [team], 'js': [j], 'wx': x * w, 'wy': y * w, 'w': w}}) else
+      list_transform(c, lambda q, k: case when k = pos then {{'cams': list_append(q.cams, cam), 'teams': list_append(q.teams, team), 'js': list_append(q.js, j), 'wx': q.wx + x * w, 'wy': q.wy + y * w, 'w': q.w + w}} else q end) end
+    from (select o.*, s.c, coalesce(list_reduce(list_prepend({{'d': 25e1, 'k': 0}}, list_transform(list_transform(s.c, lambda q: {{'q': q, 't': {_mode_sql('q.teams', "''")}, 'j': {_mode_sql('q.js', '-1')},
+          'd': sqrt((o.x - q.wx / q.w) * (o.x - q.wx / q.w) + (o.y - q.wy / q.w) * (o.y - q.wy / q.w))}}),
+        lambda q, k: {{'d': case when list_contains(q.q.cams, o.cam) or coalesce(o.team <> '' and o.team <> q.t and not ((o.team = 'REF' or q.t = 'REF') and q.d <= 80), false) or coalesce(o.j <> -1 and o.j <> q.j, false) then 1e9 else q.d end, 'k': k}})),
+        lambda a, b: case when b.d <= a.d then b else a end).k, 0) as pos
+      from s join o on s.game = o.game and s.frame = o.frame and o.i = s.i + 1)),
+  u as (select game, frame, unnest(range(0, len(c))) as group_id, unnest(c) as q from s where i = n)
+  select game, frame, group_id, q.wx / q.w as cx, q.wy / q.w as cy, {_mode_sql('q.teams', "''")} as team, {_mode_sql('q.js', '-1')} as jersey, len(q.cams) as n_cams from u"""
+
+
+@query("agg09_player_clusters", "game frame group_id cx:k cy:k team:s jersey n_cams", "trk", CLUSTER_SQL)
 def _(spark, sf):
     return T.cluster_players(court_observations(spark, sf), ["game", "frame"], 250.0)
 
@@ -433,7 +455,16 @@ def _(spark, sf):
     return R.oracle_bound(a, ev)
 
 
-@query("agg37_two_means_split", "game num n lo:k hi:k threshold:k accepted")
+SPLIT_SQL = """with recursive v as (select game, num, (qty - 25) / 2e1 as v, count(*) as c from trk group by all),
+  l as (select game, num, list({'v': v, 'c': c} order by v) as h, min(v) as lo, max(v) as hi, sum(c) as n from v group by all having sum(c) >= 60),
+  r as (select game, num, n, h, lo, hi, 0 as i from l union all
+    select game, num, n, h, coalesce(list_sum(list_transform(list_filter(h, lambda e: e.v <= (lo + hi) / 2), lambda e: e.v * e.c)) / nullif(list_sum(list_transform(list_filter(h, lambda e: e.v <= (lo + hi) / 2), lambda e: e.c)), 0), lo),
+      coalesce(list_sum(list_transform(list_filter(h, lambda e: e.v > (lo + hi) / 2), lambda e: e.v * e.c)) / nullif(list_sum(list_transform(list_filter(h, lambda e: e.v > (lo + hi) / 2), lambda e: e.c)), 0), hi), i + 1
+    from r where i < 30)
+  select game, num, n, lo, hi, (lo + hi) / 2 as threshold, lo < -3e-1 and hi > 2e-1 as accepted from r where i = 30"""
+
+
+@query("agg37_two_means_split", "game num n lo:k hi:k threshold:k accepted", "trk", SPLIT_SQL)
 def _(spark, sf):
     t = A.tracks(spark, sf).withColumn("shade", (col("qty") - 25) / 20.0)
     return T.two_means(t, ["game", "num"], "shade")

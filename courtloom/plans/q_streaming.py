@@ -14,7 +14,7 @@ from courtloom.operators import votes as W
 from courtloom.plans import adapters as A
 from courtloom.plans.q_columns import DIST_SQL, IOU_SQL
 from courtloom.plans.q_joins import SWEEP_SQL
-from courtloom.plans.q_windows import RLE_SQL
+from courtloom.plans.q_windows import RLE_SQL, XCORR_SQL
 from courtloom.plans.registry import query
 from courtloom.session import scratch_path
 from courtloom.streaming import stateful as T
@@ -162,7 +162,15 @@ def _(spark, sf):
     return M.class_accuracy(pred, thr, "kit")
 
 
-@query("jn20b_offset_from_signal", "cam windows agree off", "ball")
+OFFSET_SQL = f"""with cv as ({XCORR_SQL[:XCORR_SQL.rindex('select game, cam, chunk, lag, peak')]} select * from c),
+  p as (select *, row_number() over (partition by game, cam, chunk order by c desc, k) as rn from cv), t as (select game, cam, chunk, k as lag, c as peak from p where rn = 1),
+  f as (select t.game, t.cam, t.chunk, t.lag, any_value(t.peak) as peak, max(case when abs(cv.k - t.lag) > 5 then cv.c end) as second from t join cv on t.game = cv.game and t.cam = cv.cam and t.chunk = cv.chunk group by t.game, t.cam, t.chunk, t.lag),
+  g as (select cam, lag, count(*) as n from f where second = 0 or peak / abs(second) >= 1 group by cam, lag),
+  b as (select *, row_number() over (partition by cam order by n desc, lag) as rn, sum(n) over (partition by cam) as windows from g)
+  select cam, windows, n as agree, case when windows >= 3 then lag end as off from b where rn = 1"""
+
+
+@query("jn20b_offset_from_signal", "cam windows agree off", "ball", OFFSET_SQL)
 def _(spark, sf):
     from courtloom.operators import sync
     from courtloom.plans.q_windows import speed
