@@ -49,18 +49,27 @@ def framed(word: str, order: int) -> str:
 
 
 class Slots:
-    """Sorted 64-bit keys with columns of values; zero where a key is missing."""
+    """Sorted distinct 64-bit keys with columns of values; zero where a key is missing. The top bits of a key point near
+    its place, so a lookup is a step or two instead of a binary search."""
 
     def __init__(self, keys: np.ndarray, *values: np.ndarray):
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
         self.values = [np.concatenate((v[order], [0])).astype(np.float32) for v in values]
+        self.shift = np.uint64(64 - max(1, len(keys).bit_length()))
+        self.first = np.searchsorted(self.keys, np.arange(1 << int(64 - self.shift), dtype=np.uint64) << self.shift)
 
     def get(self, keys: np.ndarray) -> list[np.ndarray]:
-        at = np.searchsorted(self.keys, keys)
-        at[at == len(self.keys)] = 0
-        if len(self.keys):
-            at = np.where(self.keys[at] == keys, at, len(self.keys))
+        n = len(self.keys)
+        if not n:
+            return [np.zeros(len(keys), np.float32) for _ in self.values]
+        at = self.first[keys >> self.shift]
+        ahead = np.flatnonzero(self.keys[np.minimum(at, n - 1)] < keys)
+        while len(ahead):
+            at[ahead] += 1
+            ahead = ahead[at[ahead] < n]
+            ahead = ahead[self.keys[at[ahead]] < keys[ahead]]
+        at[at < n] = np.where(self.keys[at[at < n]] == keys[at < n], at[at < n], n)
         return [v[at] for v in self.values]
 
 
@@ -73,48 +82,58 @@ def _totals(context: np.ndarray, *counts: np.ndarray) -> Slots:
     return Slots(keys, *out)
 
 
+def _keys_of(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = points.shape[1]
+    return gram_keys(np.ascontiguousarray(points).ravel(), np.arange(len(points)) * n + n - 1, n)
+
+
+def _shared(points: np.ndarray, d: float) -> np.ndarray:
+    """Shared probability of the last code point of each row after the others: its continuation count, discounted, and the
+    shared probability of the row that is one shorter."""
+    keys, context = _keys_of(points)
+    _, first, back, types = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+    rows, context = points[first], context[first]
+    low = _shared(rows[:, 1:], d) if points.shape[1] > 1 else np.full(len(rows), 1.0 / (len(rows) + 1))
+    total, kinds = _totals(context, types.astype(float)).get(context)
+    return ((np.maximum(types - d, 0) + d * kinds * low) / total)[back]
+
+
 class ToxicModel:
-    """P(letter | context) of two classes at the highest order. All lower orders are shared: the count of a shorter gram
-    is the number of different grams, of either class, that it continues."""
+    """log P(letter | context, toxic) - log P(letter | context, ordinary) for every gram of `order` code points.
+
+    The classes are apart at the highest order only: P = (max(c - d, 0) + d * types * shared) / total. All lower orders
+    are shared, where the count of a shorter gram is the number of different grams, of either class, that it continues.
+    So the shared part of a gram that was not seen cancels, and what remains of it is the context's back-off weights:
+    scoring needs one value for each seen gram and one for each seen context.
+    """
 
     def __init__(self, order: int, grams: list[str], toxic: np.ndarray, ordinary: np.ndarray, discount: float = 0.75):
-        self.order, self.discount = order, discount
+        self.order = order
         points = _points("".join(grams)).reshape(-1, order)
-        counts, self.levels = (toxic, ordinary), []
-        for n in range(order, 0, -1):
-            gram, context = gram_keys(points.ravel(), np.arange(len(points)) * n + n - 1, n)
-            self.levels.insert(0, (Slots(gram, *counts), _totals(context, *counts)))
-            if n > 1:
-                shorter = np.ascontiguousarray(points[:, 1:])
-                key = gram_keys(shorter.ravel(), np.arange(len(shorter)) * (n - 1) + n - 2, n - 1)[0]
-                _, first, types = np.unique(key, return_index=True, return_counts=True)
-                points, counts = shorter[first], (types,)
-        self.letters = max(1, len(points))
+        gram, context = _keys_of(points)
+        sums = _totals(context, toxic, ordinary)
+        low = _shared(points[:, 1:], discount) if len(points) else np.zeros(0)
+        total = sums.get(context)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            chance = [np.where(n > 0, (np.maximum(c - discount, 0) + discount * types * low) / n, low)
+                      for c, n, types in ((toxic, total[0], total[1]), (ordinary, total[2], total[3]))]
+            back = [np.where(n > 0, discount * types / n, 1.0) for n, types in ((sums.values[0][:-1], sums.values[1][:-1]), (sums.values[2][:-1], sums.values[3][:-1]))]
+        self.gram = Slots(gram, np.log(chance[0]) - np.log(chance[1]), np.ones(len(gram)))
+        self.context = Slots(sums.keys, np.log(back[0]) - np.log(back[1]))
         self.weights, self.bias, self.memo = np.zeros(len(MARGINS)), 0.0, {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"memo": {}}
 
     def margins(self, words: list[str]) -> np.ndarray:
-        """log P(word | toxic) - log P(word | ordinary), each divided by the letters of the word and its end."""
-        d, p = self.discount, None
+        """Log-likelihood ratio of each word, divided by its letters and its end."""
         points = _points("".join(framed(w, self.order) for w in words))
         at = np.flatnonzero(points != 2)
         word = np.repeat(np.arange(len(words)), [len(w) + self.order for w in words])[at]
-        for n in range(1, self.order + 1):
-            gram, context = gram_keys(points, at, n)
-            counts, totals = self.levels[n - 1][0].get(gram), self.levels[n - 1][1].get(context)
-            if p is None:
-                p = np.full(len(gram), 1.0 / (self.letters + 1))
-            for_class = []
-            for k, c in enumerate(counts):
-                total, types = totals[2 * k], totals[2 * k + 1]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    q = (np.maximum(c - d, 0) + d * types * p) / total
-                for_class.append(np.where(total > 0, q, p))
-            if n < self.order:
-                p = for_class[0]
-        ratio = np.log(for_class[0]) - np.log(for_class[1])
+        gram, context = gram_keys(points, at, self.order)
+        ratio, seen = self.gram.get(gram)
+        new = np.flatnonzero(seen == 0)
+        ratio[new] = self.context.get(context[new])[0]
         return np.bincount(word, ratio, len(words)) / np.bincount(word, minlength=len(words))
 
     def features(self, text: str | None) -> np.ndarray:
@@ -187,21 +206,22 @@ def fit_toxic_model(narrations: DataFrame, ratings: DataFrame, label: str = "tox
 
     `crc32(job_id) mod parts` = `learn_part` is held out and never read; = `calibration_part` fits the weights of the
     margins, on about `bound` narrations at most, which the counts have not seen; all others are counted, each class apart at the highest
-    order, together below. Words are added up in the tasks, then in a shuffle, then grams of distinct words. The driver
+    order, together below. The join is a merge at every size, so that what moves grows with the rows. Words are added up in the tasks, then in a shuffle, then grams of distinct words. The driver
     gets the distinct letter grams, whose number follows the spelling of the languages rather than the rows; beyond
     `max_grams` it is an error, not a cut.
     """
     rated = ratings.select("job_id", F.col(label).cast("int").alias("label")).dropna().groupBy("job_id").agg(F.max("label").alias("label"))
     part = fold(F.col("job_id"), parts)
     count_them = ~part.isin(learn_part, calibration_part)
-    counted = narrations.filter(count_them).select("job_id", "summary").join(rated.filter(count_them), "job_id").select("summary", "label")
+    counted = narrations.filter(count_them).select("job_id", "summary").join(rated.filter(count_them).hint("merge"), "job_id").select("summary", "label")
     words = counted.mapInArrow(_class_words, "word string, toxic long, ordinary long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
     grams = words.mapInArrow(_class_grams(order), "gram string, toxic long, ordinary long")
     table = cut_lineage(grams.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")))
     if table.count() > max_grams:
         raise ValueError(f"more than {max_grams} distinct letter grams")
-    got = table.toPandas().sort_values("gram")
-    model = ToxicModel(order, got["gram"].tolist(), got["toxic"].to_numpy(float), got["ordinary"].to_numpy(float))
+    got = table.orderBy("gram").toArrow()
+    model = ToxicModel(order, got["gram"].to_pylist(), got["toxic"].to_numpy().astype(float), got["ordinary"].to_numpy().astype(float))
+    del got
     shared = narrations.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("array<double>")
