@@ -179,6 +179,12 @@ def test_fuzzy_passages_are_found(spark):
     assert passages.repeated_passages(narrations.limit(0)).count() == 0
 
 
+def test_texts_that_repeat_themselves_are_found(spark):
+    rows = [(1, "Shti " * 400), (2, "a b c " + "Shti " * 300), (3, " ".join(f"w{i}" for i in range(300)))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "job_id long, summary string")).collect()
+    assert {(r.job_id, r.other_id) for r in got} == {(2, 1)} and all(r.n_words >= 50 for r in got)
+
+
 def test_seeds_cover_shared_runs():
     rng = np.random.default_rng(3)
     for _ in range(50):
