@@ -14,6 +14,7 @@ from courtloom.operators import votes as W
 from courtloom.plans import adapters as A
 from courtloom.plans.q_columns import DIST_SQL, IOU_SQL
 from courtloom.plans.q_joins import SWEEP_SQL
+from courtloom.plans.q_tracking import BALL_SQL
 from courtloom.plans.q_windows import RLE_SQL, XCORR_SQL
 from courtloom.plans.registry import query
 from courtloom.session import scratch_path
@@ -41,7 +42,7 @@ def _(spark, sf):
     return T.run_available(T.fuse_online(s, "1 seconds", max_dist=400.0), path)
 
 
-@query("str02_online_ball", "game chunk frame bx:h by_:h")
+@query("str02_online_ball", "game chunk frame bx:h by_:h", "bpts", BALL_SQL)
 def _(spark, sf):
     from courtloom.plans.q_aggregates import ball_points
     fused = W.fuse_ball_candidates(ball_points(spark, sf), ["game", "chunk", "frame"]).withColumn("ts", T.event_time("frame"))

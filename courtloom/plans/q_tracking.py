@@ -15,7 +15,7 @@ from courtloom.operators import sequence as S
 from courtloom.operators import tracking as T
 from courtloom.operators import votes as V
 from courtloom.plans import adapters as A
-from courtloom.plans.q_aggregates import ball_points, court_observations
+from courtloom.plans.q_aggregates import FUSE_BALL_SQL, ball_points, court_observations
 from courtloom.plans.q_columns import IOU_SQL
 from courtloom.plans.registry import query
 
@@ -46,7 +46,32 @@ def _(spark, sf):
     return T.ball_trajectory(A.ball(spark, sf), gap=3, bridge=6, bracket=0.8)
 
 
-@query("trk03_ball_tracker", "game chunk frame bx:h by_:h")
+# one row of state for each frame: on (a track lives), position, velocity, covariance, frames missed, run of bright far points
+BALL_SQL = f"""with recursive fused as ({FUSE_BALL_SQL}),
+  l as (select game, cast(floor(frame / {A.CHUNK}) as bigint) as chunk, frame, list({{'x': cx, 'y': cy, 's': score}} order by score desc, cx, cy) as c from fused group by all),
+  f as (select game, chunk, unnest(range(lo, hi + 1)) as frame from (select game, chunk, min(frame) as lo, max(frame) as hi from l group by all)),
+  o as (select f.game, f.chunk, f.frame, row_number() over (partition by f.game, f.chunk order by f.frame) as i, coalesce(l.c, []) as c from f left join l using (game, chunk, frame)),
+  k as (select 1 / 2997e-2 as dt, 16e2 as r, 9e4 as q),
+  s as (select game, chunk, frame, i, true as live, c[1].x as x, c[1].y as y, 0e0 as vx, 0e0 as vy, 16e2 as a, 0e0 as b, 4e4 as d, 0 as missed, []::struct(x double, y double, s double)[] as run, true as shown, c[1].x as ox, c[1].y as oy from o where i = 1
+    union all
+    select game, chunk, frame, i, live2 and not (missed2 > 12 and len(run2) = 0), x2, y2, vx2, vy2, a2, b2, d2, case when missed2 > 12 and len(run2) = 0 then 0 else missed2 end, run2, shown2, case when born or near then x2 else px end, case when born or near then y2 else py end
+    from (select *, live or len(c) > 0 as live2, case when born then top.x when near then px + g0 * (z.x - px) else px end as x2, case when born then top.y when near then py + g0 * (z.y - py) else py end as y2,
+        case when born then 0e0 when near then vx + g1 * (z.x - px) else vx end as vx2, case when born then 0e0 when near then vy + g1 * (z.y - py) else vy end as vy2,
+        case when born then 16e2 when near then pa - g0 * pa else pa end as a2, case when born then 0e0 when near then pb - g0 * pb else pb end as b2, case when born then 4e4 when near then pd - g1 * pb else pd end as d2,
+        case when born or near or not live then 0 else missed + 1 end as missed2, case when born or near then [] else grown end as run2, case when not live then len(c) > 0 else born or near or missed + 1 <= 12 end as shown2
+      from (select *, (not live and len(c) > 0) or (live and not near and len(grown) >= 3) as born, pa / (pa + r / w) as g0, pb / (pa + r / w) as g1
+        from (select *, case when live and not near then case when top.s >= 2e-1 then case when len(run) = 0 or sqrt((run[-1].x - top.x) * (run[-1].x - top.x) + (run[-1].y - top.y) * (run[-1].y - top.y)) <= 25e1 then list_append(run, top) else [top] end else [] end else run end as grown
+          from (select *, coalesce(live and dz <= 25e1, false) as near, least(greatest(z.s * 3, 3e-1), 15e-1) as w
+            from (select *, sqrt((z.x - px) * (z.x - px) + (z.y - py) * (z.y - py)) as dz
+              from (select s.game, s.chunk, o.frame, o.i, s.live, s.missed, s.run, o.c, o.c[1] as top, s.vx, s.vy, k.r, s.x + k.dt * s.vx as px, s.y + k.dt * s.vy as py,
+                  s.a + 2 * k.dt * s.b + k.dt * k.dt * s.d + k.q * k.dt * k.dt * k.dt * k.dt / 4 as pa, s.b + k.dt * s.d + k.q * k.dt * k.dt * k.dt / 2 as pb, s.d + k.q * k.dt * k.dt as pd,
+                  list_reduce(list_prepend({{'x': 1e9, 'y': 1e9, 's': 0e0}}, o.c), lambda m, e: case when (e.x - s.x - k.dt * s.vx) * (e.x - s.x - k.dt * s.vx) + (e.y - s.y - k.dt * s.vy) * (e.y - s.y - k.dt * s.vy)
+                    < (m.x - s.x - k.dt * s.vx) * (m.x - s.x - k.dt * s.vx) + (m.y - s.y - k.dt * s.vy) * (m.y - s.y - k.dt * s.vy) then e else m end) as z
+                from s join o on s.game = o.game and s.chunk = o.chunk and o.i = s.i + 1 cross join k)))))))
+  select game, chunk, frame, ox as bx, oy as by_ from s where shown"""
+
+
+@query("trk03_ball_tracker", "game chunk frame bx:h by_:h", "bpts", BALL_SQL)
 def _(spark, sf):
     fused = V.fuse_ball_candidates(ball_points(spark, sf), ["game", "chunk", "frame"])
     return T.track_ball(fused).withColumnRenamed("by", "by_")
