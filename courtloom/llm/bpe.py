@@ -65,7 +65,7 @@ class ChunkCoder:
     of common letters go through the faster of the two libraries, if both encode every entry of the vocabulary alike.
     """
 
-    def __init__(self, path: str, mean: int = 64, words: int = 400_000, chunks: int = 60_000):
+    def __init__(self, path: str, mean: int = 64, words: int = 250_000, chunks: int = 40_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
