@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rule and the learned list keep."""
     narrations = as_narrations(docs)
     rules = quality_rules.fit_quality_rules(narrations, ratings_of(spark, sf_dir))
-    return as_documents(quality_rules.judge_quality(narrations, rules).filter("kept").select(*narrations.columns))
+    return as_documents(quality_rules.kept_narrations(narrations, rules))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -123,6 +123,18 @@ def judge_quality(narrations: DataFrame, rules: DecisionList) -> DataFrame:
     windows; else the list decides. A null or empty summary has no word and fails. Clashing columns named like the
     outcome are replaced; repeated rows are judged each.
     """
-    out = narrations.withColumn("stats", stats_of("summary"))
-    out = out.withColumn("base_failed", (F.col("stats.n_words") < MIN_WORDS) | (100 * F.col("stats.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("stats.n_words")))
+    out = narrations.withColumn("stats", stats_of("summary")).withColumn("base_failed", base_failed("stats"))
     return out.withColumn("kept", ~F.col("base_failed") & rules.verdict("stats"))
+
+
+def base_failed(stats: str) -> Column:
+    words = F.col(f"{stats}.n_words")
+    return (words < MIN_WORDS) | (100 * F.col(f"{stats}.n_repeat_words") > MAX_REPEAT_PERCENT * words)
+
+
+def kept_narrations(narrations: DataFrame, rules: DecisionList) -> DataFrame:
+    """The narrations that `judge_quality` keeps, all columns as they are."""
+    mark = "__stats"
+    while mark in narrations.columns:
+        mark += "_"
+    return narrations.withColumn(mark, stats_of("summary")).filter(~base_failed(mark) & rules.verdict(mark)).drop(mark)

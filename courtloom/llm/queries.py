@@ -19,15 +19,19 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+_TO = {"doc_id": "job_id", "text": "summary", "source": "narration_angle"}
+#: Put before further columns of documents that are named like a field of narrations.
+_OTHER = "__document_"
+
+
 def as_narrations(documents: DataFrame) -> DataFrame:
     """documents as narrations: job_id, summary, narration_angle, lang; columns that are not there stay out."""
-    names = {"doc_id": "job_id", "text": "summary", "source": "narration_angle"}
-    return documents.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in documents.columns])
+    return documents.select(*[F.col(f"`{c}`").alias(_TO.get(c, f"{_OTHER}{c}" if c in _TO.values() else c)) for c in documents.columns])
 
 
 def as_documents(narrations: DataFrame) -> DataFrame:
-    names = {"job_id": "doc_id", "summary": "text", "narration_angle": "source"}
-    return narrations.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in narrations.columns])
+    back = {to: c for c, to in _TO.items()}
+    return narrations.select(*[F.col(f"`{c}`").alias(back.get(c, c.removeprefix(_OTHER))) for c in narrations.columns])
 
 
 def _narrations(spark: SparkSession, sf_dir: str) -> DataFrame:

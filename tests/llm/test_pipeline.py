@@ -59,7 +59,10 @@ def test_stages_equal_brute_force(spark, tmp_path):
 
 def test_stages_bear_odd_rows(spark):
     rows = [(None, None, None, None, None), (1, None, "en", "a", 0), (2, "", None, "b", 0), (2, "", None, "b", 0), (3, "w " * 90, "en", "c", 180)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    rows = [(*r, "own", 7, False, "s") for r in [*rows, (9, " ".join(f"w{i}" for i in range(70)), "en", "d", 300)]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, summary string, job_id long, kept boolean, stats string")
+    kept = corpus_pipeline.quality(spark, docs, SF).collect()
+    assert [(r.doc_id, r.summary, r.job_id, r.kept, r.stats) for r in kept] == [(9, "own", 7, False, "s")]
     for docs in (docs, docs.limit(0)):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, SF)
