@@ -192,3 +192,32 @@ def test_seeds_cover_shared_runs():
         a, b = (np.concatenate((rng.integers(0, 1 << 63, rng.integers(0, 50), dtype=np.uint64), run, rng.integers(0, 1 << 63, 9, dtype=np.uint64))) for _ in range(2))
         assert set(passages.seeds_of(a, 8, 20)[0].tolist()) & set(passages.seeds_of(b, 8, 20)[0].tolist())
     assert len(common.windows_of(np.zeros(0, np.uint64), 5)) == 0
+
+
+def rows_of(texts):
+    return [(i, " ".join(t)) for i, t in texts.items()]
+
+
+def test_passages_within_weaker_chains_are_found(spark):
+    rng = random.Random(14)
+    prose = lambda n: [f"w{rng.randrange(1_000_000)}" for _ in range(n)]
+    texts = {}
+    for n in range(40):
+        passage, lines = prose(60), [prose(20) for _ in range(3)]
+        for i in (n, 1000 + n):
+            texts[i] = prose(20 + n) + passage + sum(([*prose(18), *line] for line in lines), []) + prose(30)
+    got = passages.repeated_passages(spark.createDataFrame(rows_of(texts), "job_id long, summary string")).collect()
+    assert {(r.job_id, r.other_id) for r in got} == {(1000 + n, n) for n in range(40)}
+    assert all(r.start <= 20 + r.other_id and 80 + r.other_id <= r.end and r.identity >= 0.8 for r in got)
+
+
+def test_stretches_reach_the_least_length():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        a, b = rng.integers(0, 1 << 31, 900, dtype=np.uint32), rng.integers(0, 1 << 31, 900, dtype=np.uint32)
+        places = [(int(rng.integers(0, 150)) + 300 * k, int(rng.integers(50, 140))) for k in range(3)]
+        for at, n in places:
+            b[at : at + n] = np.where((np.arange(n) % 6 == 3) & (n > 55), b[at : at + n], a[at : at + n])
+        found = passages.stretches(a, b, 0, 0, 50, 0.8, piece=300)
+        for at, n in places:
+            assert any(low <= at + 3 and at + n - 3 <= high and share >= 0.8 for low, high, _, _, share in found)
