@@ -198,6 +198,20 @@ def rows_of(texts):
     return [(i, " ".join(t)) for i, t in texts.items()]
 
 
+def test_edited_passages_are_found(spark):
+    rng = random.Random(13)
+    prose = lambda n: [f"w{rng.randrange(1_000_000)}" for _ in range(n)]
+    texts, pairs = {}, set()
+    for n, (length, rate) in enumerate([(50, 0.0), (51, 0.0), (60, 0.05), (60, 0.1), (60, 0.15), (100, 0.1), (100, 0.15), (100, 0.2)] * 25):
+        passage = prose(length)
+        changed = set(rng.sample(range(1, length - 1), int(rate * length)))
+        texts[n] = prose(rng.randrange(60)) + passage + prose(rng.randrange(60))
+        texts[10_000 + n] = prose(rng.randrange(60)) + [*(f"y{rng.randrange(1_000_000)}" if k in changed else w for k, w in enumerate(passage))] + prose(rng.randrange(60))
+        pairs.add((10_000 + n, n))
+    got = {(r.job_id, r.other_id): r for r in passages.repeated_passages(spark.createDataFrame(rows_of(texts), "job_id long, summary string")).collect()}
+    assert set(got) <= pairs and len(got) >= 198 and all(r.identity >= 0.8 and r.n_words >= 50 for r in got.values())
+
+
 def test_passages_within_weaker_chains_are_found(spark):
     rng = random.Random(14)
     prose = lambda n: [f"w{rng.randrange(1_000_000)}" for _ in range(n)]
