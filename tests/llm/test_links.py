@@ -198,6 +198,46 @@ def rows_of(texts):
     return [(i, " ".join(t)) for i, t in texts.items()]
 
 
+def test_passages_made_of_frequent_sentences(spark):
+    rng = random.Random(11)
+    prose = lambda n: [f"w{rng.randrange(100_000)}" for _ in range(n)]
+    a, b, texts, pairs = prose(40), prose(40), {}, []
+    texts |= {3: prose(60) + a + prose(60), 7: prose(60) + b + prose(60)}
+    for n in range(20):
+        x, y = prose(40 + n % 10), prose(40 + n % 10)
+        texts |= {100 + n: prose(30) + x + prose(30), 200 + n: prose(30) + y + prose(30)}
+        texts |= {500 + n: prose(50) + x + y + prose(50), 900 + n: prose(20) + x + y + prose(20)}
+        pairs.append((900 + n, 500 + n))
+    texts |= {590: prose(80) + a + b + prose(20), 990: prose(10) + a + b + prose(70)}
+    got = passages.repeated_passages(spark.createDataFrame(rows_of(texts), "job_id long, summary string")).collect()
+    assert {(r.job_id, r.other_id) for r in got} == {*pairs, (990, 590)}
+    for r in got:
+        assert abs(r.n_words - 80 - 2 * (r.job_id % 10 if r.job_id < 990 else 0)) <= 4 and r.identity >= 0.9
+
+
+def test_exact_runs_equal_brute_force(spark):
+    """Of the holders of any run of 50 words, each but the first has a row that covers it, against a narration with it."""
+    rng = random.Random(12)
+    for size in (9, 12, 18, 25, 45):
+        lines = [[f"w{rng.randrange(100_000)}" for _ in range(rng.randint(size - 5, size))] for _ in range(18)]
+        texts = {i: sum((rng.choice(lines) if rng.random() < 0.85 else [f"x{rng.randrange(100_000)}" for _ in range(9)] for _ in range(200 // size)), []) for i in range(60)}
+        texts |= {i: sum(lines[i % 4 :], [])[i % 3 : 70] for i in range(60, 75)}
+        holders = {}
+        for i, t in texts.items():
+            for p in range(len(t) - 49):
+                holders.setdefault(tuple(t[p : p + 50]), {}).setdefault(i, []).append(p)
+        rows = passages.repeated_passages(spark.createDataFrame(rows_of(texts), "job_id long, summary string")).collect()
+        of = {}
+        for r in rows:
+            of.setdefault(r.job_id, []).append(r)
+        checked = 0
+        for run, held in holders.items():
+            for i in sorted(held)[1:]:
+                checked += 1
+                assert any(r.start <= p and p + 50 <= r.end and r.other_id in held for p in held[i] for r in of.get(i, ())), (size, i, held)
+        assert checked > 50
+
+
 def test_edited_passages_are_found(spark):
     rng = random.Random(13)
     prose = lambda n: [f"w{rng.randrange(1_000_000)}" for _ in range(n)]
