@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from courtloom.llm.common import bounded_sample
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|textarea|select|head)\b[^>]*(?:/>|>.*?(?:</\1\s*>|\Z))"
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea)\b[^>]*(?:/>|>.*?(?:</\1\s*>|\Z))"
                     r"|</?[a-zA-Z](?:[^>\"']|\"[^\"<>]*\"|'[^'<>]*')*>|</?[a-zA-Z][^>]*>|<[!?][^>]*>", re.S | re.I)
+_PAIR = re.compile(r"<(/?)(title|noscript|template|svg|math|iframe|object|select)\b([^>]*)>", re.I)
 _NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9]*)")
 _HINT = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"[\s\x1c-\x1f\x85]+")
@@ -28,6 +29,12 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font
                     "time tt u var wbr".split())
 _ASIDE = frozenset("nav footer aside header form menu dialog button fieldset".split())
 _BODY = frozenset("article main".split())
+_HIDDEN = frozenset("head title select svg math".split())
+_IN_HEAD = frozenset("head title base link meta script style noscript template".split())
+_IN_SELECT = frozenset("select option optgroup hr div".split())
+#: Tags that end an unclosed svg or math, as in HTML's rules, and HTML's sections.
+_NOT_IN_DRAWING = frozenset("html body head article section main nav header footer aside form figure details fieldset address blockquote center dd div dl dt h1 h2 h3 "
+                            "h4 h5 h6 hr img li menu meta ol p pre table ul tr td th".split())
 _DROP = frozenset("button option input".split())
 _CLOSED_BY_BLOCK = frozenset("p".split())
 _BAD_HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|side-?bar|menu|nav\w*|breadcrumbs?|"
@@ -47,12 +54,34 @@ class Block:
     text: str = ""
 
 
+def _closed(page: str) -> dict[int, int]:
+    """End of each element of _PAIR that has an end tag of its own, by its start."""
+    open_at: dict[str, list[int]] = {}
+    out = {}
+    for m in _PAIR.finditer(page):
+        waiting = open_at.setdefault(m.group(2).lower(), [])
+        if m.group(1):
+            if waiting:
+                out[waiting.pop()] = m.end()
+        elif not m.group(3).endswith("/"):
+            waiting.append(m.start())
+    return out
+
+
+def _ends(hidden: str, tag: str) -> bool:
+    """Whether an open hidden element ends before a start tag that cannot stand in it."""
+    if hidden == "title":
+        return True
+    return tag in _NOT_IN_DRAWING if hidden in ("svg", "math") else tag not in (_IN_HEAD if hidden == "head" else _IN_SELECT)
+
+
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order, with markup, comments, scripts and the head left out. Unclosed and stray tags are borne:
-    an end tag closes the nearest open element of its name, and a block tag closes an open paragraph."""
+    an end tag closes the nearest open element of its name, a block tag closes an open paragraph, and a hidden element
+    without an end tag ends at the first tag that cannot stand in it."""
     out: list[Block] = []
-    stack: list[tuple[str, int, float, int]] = []        # tag, number, cue, landmark depth
-    now, number, links, at = Block(), 0, 0, 0
+    stack: list[tuple[str, int, float, int]] = []        # tag, number, cue, 1 within article or main, 2 within another landmark
+    now, number, links, at, ends = Block(), 0, 0, 0, _closed(page)
 
     def close() -> None:
         nonlocal now
@@ -63,20 +92,32 @@ def blocks_of(page: str) -> list[Block]:
         now = Block(place=tuple(x[1] for x in stack), cue=stack[-1][2] if stack else 0.0, tag=stack[-1][0] if stack else "")
 
     def text(part: str) -> None:
-        if part and not any(x[0] in _DROP for x in stack[-3:]):
+        if stack and stack[-1][0] == "head" and part.strip():
+            stack.pop()
+            close()
+        if part and not any(x[0] in _HIDDEN for x in stack) and not any(x[0] in _DROP for x in stack[-3:]):
             now.parts.append(part)
             if links:
                 now.linked += len(part)
 
     for m in _TOKEN.finditer(page):
+        if m.start() < at:              # within a hidden element
+            continue
         text(page[at : m.start()])
-        at = m.end()
+        at = max(m.end(), ends.get(m.start(), 0))
+        if m.start() in ends:
+            continue
         name = _NAME.match(m.group())
         if m.group(1) or not name:
             continue
         end, tag = name.group(1), name.group(2).lower()
         if tag == "a":
             links = 0 if end else 1
+        if not end and stack:
+            k = next((k for k, x in enumerate(stack) if x[0] in _HIDDEN and _ends(x[0], tag)), None) if tag not in _INLINE or any(x[0] in ("head", "title") for x in stack) else None
+            if k is not None:
+                del stack[k:]
+                close()
         if tag == "br":
             now.parts.append(" ")
         if tag in _INLINE:
@@ -94,14 +135,16 @@ def blocks_of(page: str) -> list[Block]:
             stack.pop()
         if tag not in _VOID and not m.group().endswith("/>"):
             number += 1
-            cue = stack[-1][2] if stack else 0.0
-            hints = " ".join(x for h in _HINT.findall(m.group()) for x in h if x)
+            cue, within = (stack[-1][2], stack[-1][3]) if stack else (0.0, 0)
+            hints = "" if tag in ("html", "body", "main") else " ".join(x for h in _HINT.findall(m.group()) for x in h if x)
             bad, good = tag in _ASIDE or bool(_BAD_HINT.search(hints)), tag in _BODY or bool(_GOOD_HINT.search(hints))
             if bad and not (tag == "header" and cue > 0):
                 cue = -1.0
-            elif good and cue >= 0:
+            elif good and (cue >= 0 or tag in _BODY and not within):     # a badly named wrapper does not hide what it wraps
                 cue = 1.0
-            stack.append((tag, number, cue, 0))
+            if not within:
+                within = 1 if tag in _BODY else 2 if tag in _ASIDE and tag != "form" and cue < 0 else 0
+            stack.append((tag, number, cue, within))
         close()
     text(page[at:])
     close()

@@ -27,6 +27,25 @@ def test_odd_pages():
     assert H.main_text("<article>" + "<p>Some words of the story, told at length.</p>" * 3000 + "</article>", MODEL).count("\n") == 2999
 
 
+def test_unclosed_hidden_elements_do_not_hide_the_article():
+    story = "<article><p>The guard passed to the corner, and the crowd rose at once.<p>It was the third win of the week, by far.</article>"
+    want = "The guard passed to the corner, and the crowd rose at once.\nIt was the third win of the week, by far."
+    for lead in ("<head><title>x</title><body>", "<head><title>x</title><meta a=b><style>p{}</style>", "<html><head><title>x<body>", "<select><option>a<option>b", "<iframe src=x>", "<object data=x>",
+                 "<noscript>", "<svg><path d=x><text>t</text>", "<select><option>a<p>", "<head><noscript><p>No</noscript></head><body>", "<svg><title>a</title></svg><select><option>a</option></select>",
+                 "<template><p>Not shown, ever, to a reader.</template><object><p>Neither is this, nor that.</object>"):
+        assert H.main_text(lead + story, MODEL) == want, lead
+
+
+def test_names_of_wrappers_do_not_hide_the_article():
+    story = "<p>The guard passed to the corner, and the crowd rose at once.</p>"
+    want = "The guard passed to the corner, and the crowd rose at once."
+    for before in ("<body class='single has-sidebar'><article>", "<html class=header-fixed><body><main>", "<body><div class='page has-sidebar'><article>", "<body><form id=f><article>",
+                   "<body><div id=header-fixed><div><main class=has-sidebar>"):
+        assert H.main_text(before + story, MODEL) == want, before
+    for before in ("<article><div class=comments><article>", "<div id=comments><article class=comment>", "<aside><article>", "<nav><main>"):
+        assert H.main_text(before + story, MODEL) == "", before
+
+
 def test_least_cut_is_least():
     rng = np.random.default_rng(4)
     for _ in range(150):
