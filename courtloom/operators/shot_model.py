@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
@@ -57,3 +58,10 @@ def leave_one_game_out(df: DataFrame, game, features: Sequence[str], keep: Seque
     model = fit(others.filter("split = 'train'"), features)
     thr = best_threshold(threshold_curve(predict(model, others.filter("split <> 'train'"), ["label"])))
     return predict(model, df.filter(F.col("game") == game), keep), thr
+
+
+def accuracy_by_game(df: DataFrame, features: Sequence[str], cls: str) -> DataFrame:
+    """class_accuracy of every game, each held out in turn (one model for each game; games are few)."""
+    games = sorted(r.game for r in df.select("game").distinct().collect())
+    parts = [class_accuracy(*leave_one_game_out(df, g, features, [cls, "label"]), cls).select(F.lit(g).alias("game"), "*") for g in games]
+    return reduce(DataFrame.unionByName, parts)

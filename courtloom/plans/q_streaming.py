@@ -154,13 +154,12 @@ def _(spark, sf):
     return providers.apply_provider(A.raw_detections(spark, sf).select("game", "cam", "frame", "pk", "y1", "y2"), "tall")
 
 
-@query("evt24_make_miss_model", "kit:s n correct thr:k")
+@query("evt24_make_miss_model", "game kit:s n correct thr:k")
 def _(spark, sf):
     d = A.raw_detections(spark, sf).selectExpr(
         "game", "kit", "case when frame % 5 = 0 then 'val' else 'train' end as split", "cast(x1 as double) as f1", "case when pk % 6 > 0 then y1 end as f2", "score as f3",
         "case when x1 + y1 > 320 then 1 else 0 end as label")
-    pred, thr = M.leave_one_game_out(d, 3, ["f1", "f2", "f3"], ["kit", "label"])
-    return M.class_accuracy(pred, thr, "kit")
+    return M.accuracy_by_game(d, ["f1", "f2", "f3"], "kit")
 
 
 OFFSET_SQL = f"""with cv as ({XCORR_SQL[:XCORR_SQL.rindex('select game, cam, chunk, lag, peak')]} select * from c),
