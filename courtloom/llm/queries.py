@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from courtloom.llm import (bpe, decontamination, html_extraction, jaccard_join, language_id, passages, pii, quality_classifier,
-                           quality_rules, toxicity)
+from courtloom.llm import (bpe, decontamination, hard_negatives, html_extraction, jaccard_join, language_id, passages, pii, quality_classifier,
+                           quality_rules, simhash, spelling, toxicity)
 from courtloom.llm.common import fold
 from courtloom.session import ship_package
 
@@ -105,6 +105,41 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("job_id").alias("doc_id"), *[f"stats.{n}" for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = ship_package(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
+    usable = vectors.filter("label is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(x) <> double('infinity'))")
+    reid = usable.selectExpr("vec_id as track_id", "case when vec_id % 7 = 0 then (label + 1) % 10 else label end as player",
+                             "transform(embedding, x -> floor(256 * double(x))) as emb")
+    return hard_negatives.mine_hard_negatives(reid, F.col("track_id") % 100 == 0).withColumnRenamed("track_id", "anchor_id")
+
+
+OP11_SQL = """with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+    from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+  s as (select a.vec_id as anchor_id, a.label as own, b.vec_id, b.label, cast(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) as bigint) as score
+    from v a join v b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+  p as (select anchor_id, vec_id as positive_id, score as positive_score from s where label = own qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5),
+  n as (select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by score desc, vec_id) as rank, vec_id as negative_id, positive_score, score as negative_score
+    from p join s on p.anchor_id = s.anchor_id and s.label <> s.own and 80 * positive_score <= 100 * score and score <= positive_score)
+  select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from n where rank <= 5"""
+
+
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_copy_classes(_narrations(spark, sf_dir))
+    return found.select(F.col("job_id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("class_id").alias("component_id"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.word_runs(_narrations(spark, sf_dir))
+    h, at = F.crc32(F.concat(F.coalesce(F.col("job_id").cast("string"), F.lit("")), F.lit(":"), "word").cast("binary")), F.length("word")
+    at = F.pmod(h, at).cast("int")
+    slipped = F.concat(F.expr("substring(word, 1, at)"), F.expr("substring(word, at + 2)"))
+    words = runs.withColumns({"h": h, "at": at}).select(F.when(F.col("h") % 31 == 0, slipped).otherwise(F.col("word")).alias("word"))
+    return spelling.group_spellings(spelling.count_words(words))
+
+
+#: DuckDB statements of the queries that SQL can express.
+STATEMENTS: dict[str, str] = {"op11_hard_negatives": OP11_SQL}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_classifier, op2_html_extraction, op3_ngram_jaccard_join, op4_pii, op5_benchmark_decontamination, op6_language_id, op7_bpe,
-    op8_toxicity, op9_substring_dedup, op10_quality_rules)}
+    op8_toxicity, op9_substring_dedup, op10_quality_rules, op11_hard_negatives, op12_simhash_near_dedup, op13_spelling_variants)}
