@@ -42,35 +42,54 @@ def pivots_of(prefix: list[tuple[int, int]]) -> tuple[int, int]:
     return chosen[1], chosen[2]
 
 
-def signatures(word: str, frequency: dict[str, int]) -> tuple[str, list[str], list[str]]:
-    """(last, pivot keys, prefix keys) of a word of four code points or more.
+def _rank(gram: str, order: dict[str, tuple[int, int]]) -> tuple[int, int]:
+    """(place in the order of grams, frequency). Grams that are not in `order` come first, by their code points."""
+    return order.get(gram) or ((ord(gram[0]) << 21 | ord(gram[1])) - (1 << 62), 0)
 
-    Bigrams are ordered by (frequency, gram); the first three are the word's prefix, with all further places of the third
-    gram. Two of the three are disjoint, so one edit leaves a pivot alone, together with all that stands on its other
-    side: the word's start up to the first pivot if the edit comes later, its end from the second pivot otherwise. These
-    two parts are the pivot keys; a word offers the same parts for each gram of its prefix. If `last`, the third gram, is
-    not smaller in the other word, the pivot stands in that word's prefix, at the same place from that side."""
-    grams = sorted((frequency.get(word[p : p + 2], 0), word[p : p + 2], p) for p in range(len(word) - 1))
-    last = grams[2][:2]
-    first, second = pivots_of(sorted((p, f) for f, _, p in grams[:3]))
-    places = [p for f, g, p in grams if (f, g) <= last]
-    keys = [f"<{word[: p + 2]}" for p in places] + [f">{word[p:]}" for p in places]
-    return f"{last[0]:019d}{last[1]}", [f"<{word[: first + 2]}", f">{word[second:]}"], keys
 
+def signatures(word: str, order: dict[str, tuple[int, int]]) -> tuple[int, list[str], list[str]]:
+    """(last, pivot keys, prefix keys) of a word of four code points or more.
 
-def _signed(frequency: dict[str, int], of_pivots: bool):
+    `order` has the place and frequency of bigrams, rare ones first. The first three bigrams are the word's prefix, with
+    all further places of the third. Two of the three are disjoint pivots p < q, and one edit leaves one of them alone:
+    an edit in q or later leaves the word's start before q, an edit in p or earlier its end behind p, an edit between
+    them the start up to p and the end from q. These are the pivot keys. If `last`, the third gram, is not smaller in the
+    other word, the pivot that is left stands in that word's prefix, at the same place from that side; so the other word
+    offers its starts behind a prefix gram, its ends in front of one, and the outer parts around two of them."""
+    grams = sorted((*_rank(word[p : p + 2], order), p) for p in range(len(word) - 1))
+    last = grams[2][0]
+    p, q = pivots_of(sorted((at, f) for _, f, at in grams[:3]))
+    places = sorted(at for rank, _, at in grams if rank <= last)
+    keys = [f"<{word[:k]}" for k in range(places[0] + 2, len(word) + 1)] + [f">{word[k:]}" for k in range(places[-1] + 1)]
+    keys += [f"|{word[: x + 2]}|{word[y:]}" for x in places for y in places if y - x >= 2]
+    return last, [f"<{word[:q]}", f">{word[p + 2 :]}", f"|{word[: p + 2]}|{word[q:]}"], keys
+
+
+def parity(word: str) -> int:
+    """Bit k is the parity of the number of letters whose code point is k modulo 63: one edit changes two bits at most."""
+    out = 0
+    for letter in word:
+        out ^= 1 << ord(letter) % 63
+    return out
+
+
+def _signed(order: dict[str, tuple[int, int]], of_pivots: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lasts, keys, rows = [], [], []
-            for i, word in enumerate(batch.column("word").to_pylist()):
-                last, pivots, prefix = signatures(word, frequency)
-                own = pivots if of_pivots else prefix
-                lasts += [last] * len(own)
-                keys += own
-                rows += [i] * len(own)
-            take = pa.array(rows, pa.int32())
-            yield pa.record_batch([pa.array(keys, pa.string()), pa.array(lasts, pa.string()), batch.column("word").take(take), batch.column("n").take(take)],
-                                  ["key", "last", "word", "n"])
+            for low in range(0, batch.num_rows, 2048):
+                part = batch.slice(low, 2048)
+                lasts, keys, rows, sizes, bits = [], [], [], [], []
+                for i, word in enumerate(part.column("word").to_pylist()):
+                    last, pivots, prefix = signatures(word, order)
+                    own = pivots if of_pivots else prefix
+                    keys += own
+                    rows += [i] * len(own)
+                    lasts.append(last)
+                    sizes.append(len(word))
+                    bits.append(parity(word))
+                take = pa.array(rows, pa.int32())
+                columns = [pa.array(lasts, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.int64()), part.column("word"), part.column("n")]
+                yield pa.record_batch([pa.array(keys, pa.string()), *[c.take(take) for c in columns]], ["key", "last", "size", "bits", "word", "n"])
 
     return run
 
@@ -80,16 +99,17 @@ def near_words(words: DataFrame, max_grams: int = 20_000) -> DataFrame:
     replaced code point between them. Words are distinct and have four code points or more.
 
     Frequencies of the `max_grams` most frequent bigrams are sent to the tasks (words of A-Z and Latin-1 letters have at
-    most 90 * 90); others count as rarest. Any order of grams finds all pairs; a good one makes the keys rare."""
+    most 90 * 90); others count as rarest. Any order of grams finds all pairs; a good one makes the keys rare. Pairs that
+    meet by a key are filtered by length and by letter parity, and verified by their edit distance, inside the join."""
     grams = words.select(F.explode(F.expr("transform(sequence(1, length(word) - 1), p -> substring(word, p, 2))")).alias("gram"))
-    counted = grams.groupBy("gram").count().orderBy(F.desc("count"), "gram").limit(max_grams)
-    frequency = {r["gram"]: r["count"] for r in counted.collect()}
-    fields = "key string, last string, word string, n long"
-    keyed = [words.mapInArrow(_signed(frequency, of_pivots), fields).withColumn("key", F.xxhash64("key")) for of_pivots in (True, False)]
-    left = keyed[0].withColumnsRenamed({"last": "least", "word": "a", "n": "a_n"})
+    counted = grams.groupBy("gram").count().orderBy(F.desc("count"), "gram").limit(max_grams).collect()
+    order = {gram: (place, n) for place, (n, gram) in enumerate(sorted((r["count"], r["gram"]) for r in counted))}
+    fields = "key string, last long, size int, bits long, word string, n long"
+    keyed = [words.mapInArrow(_signed(order, of_pivots), fields).withColumn("key", F.xxhash64("key")) for of_pivots in (True, False)]
+    left = keyed[0].withColumnsRenamed({"last": "least", "size": "a_size", "bits": "a_bits", "word": "a", "n": "a_n"})
     right = keyed[1].withColumnsRenamed({"word": "b", "n": "b_n"})
-    met = left.join(right, "key").filter(
-        (F.col("last") >= F.col("least")) & (F.col("a") != F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1) & (F.levenshtein("a", "b", 1) == 1))
+    may = (F.col("last") >= F.col("least")) & (F.abs(F.col("size") - F.col("a_size")) <= 1) & (F.bit_count(F.col("bits").bitwiseXOR(F.col("a_bits"))) <= 2)
+    met = left.join(right, "key").filter(may & (F.col("a") != F.col("b")) & (F.levenshtein("a", "b", 1) == 1))
     turn = F.col("a") < F.col("b")
     one, two = F.struct(F.col("a").alias("w"), F.col("a_n").alias("n")), F.struct(F.col("b").alias("w"), F.col("b_n").alias("n"))
     pairs = met.select(F.when(turn, one).otherwise(two).alias("x"), F.when(turn, two).otherwise(one).alias("y")).distinct()
