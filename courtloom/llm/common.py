@@ -162,6 +162,14 @@ def stats_of(texts: pd.Series) -> pd.DataFrame:
     return text_stats(list(texts))
 
 
+def free_prefix(columns: list[str]) -> str:
+    """A prefix that no name of `columns` begins with, for columns that are added for a while."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
 # ---------------------------------------------------------------- samples
 
 def fold(job_id: Column, parts: int) -> Column:

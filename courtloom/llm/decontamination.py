@@ -11,9 +11,10 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from courtloom.llm.common import hashed_groups, windows_of
+from courtloom.llm.common import free_prefix, hashed_groups, windows_of
 
-HITS = "array<struct<window_id: bigint, coverage: double, tiles: int, longest: int>>"
+#: Hits of a text; window_id keeps the type that it has in the references.
+HITS = "array<struct<window_id: {}, coverage: double, tiles: int, longest: int>>"
 #: Signs count as spaces and case does not count.
 _SIGNS = str.maketrans({c: " " for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"})
 
@@ -104,8 +105,8 @@ class ReferenceSet:
         return found
 
 
-def _finder(shared: Broadcast):
-    @F.pandas_udf(HITS)
+def _finder(shared: Broadcast, hits: str):
+    @F.pandas_udf(hits)
     def find(texts: pd.Series) -> pd.Series:
         return pd.Series(shared.value.find(list(texts)), dtype=object)
 
@@ -121,13 +122,13 @@ def contamination(narrations: DataFrame, references: DataFrame, coverage: float
     A reference of fewer than `least` words never matches; null counts as empty; a repeated reference is met once for
     each text that bears its id.
     """
-    known = references.select(F.col("window_id").cast("long").alias("window_id"), "summary").dropna().distinct()
+    known = references.select("window_id", "summary").dropna().distinct()
     chars = known.agg(F.sum(F.length("summary"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / block_chars))
-    spark, out = narrations.sparkSession, None
+    spark, out, kind = narrations.sparkSession, None, HITS.format(references.schema["window_id"].dataType.simpleString())
     for k in range(blocks):
         rows = known.filter(F.pmod(F.xxhash64("window_id", "summary"), F.lit(blocks)) == k).orderBy("window_id", "summary").collect()
-        hits = _finder(spark.sparkContext.broadcast(ReferenceSet([tuple(r) for r in rows], least, coverage)))("summary")
+        hits = _finder(spark.sparkContext.broadcast(ReferenceSet([tuple(r) for r in rows], least, coverage)), kind)("summary")
         out = hits if out is None else F.concat(out, hits)
     return out
 
@@ -140,7 +141,5 @@ def contaminated(narrations: DataFrame, references: DataFrame, **how) -> DataFra
 
 def without_contaminated(narrations: DataFrame, references: DataFrame, **how) -> DataFrame:
     """The narrations that hold no reference, all columns as they are."""
-    mark = "__hits"
-    while mark in narrations.columns:
-        mark += "_"
+    mark = f"{free_prefix(narrations.columns)}hits"
     return narrations.withColumn(mark, contamination(narrations, references, **how)).filter(F.size(mark) == 0).drop(mark)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from courtloom.llm.common import components, hashed_groups, mix64, windows_of
+from courtloom.llm.common import components, dealt_anew, free_prefix, hashed_groups, mix64, windows_of
 from courtloom.session import cut_lineage
 
 _LOW = np.uint64(0xFFFFFFFF)
@@ -100,16 +100,16 @@ def _signatures(words: int, bands: int, rows: int):
                         sign = minhash(own, a, b).astype(np.uint64).reshape(bands, rows)
                         banded[first + k] = mix64((sign * weights).sum(axis=1, dtype=np.uint64)).view(np.int64)
             flat = pa.ListArray.from_arrays(np.arange(0, banded.size + 1, bands, dtype=np.int32), banded.ravel())
-            yield pa.record_batch([batch.column("job_id"), pa.array(keys, pa.binary()), flat], ["job_id", "set_key", "bands"])
+            yield pa.record_batch([batch.column("job_id"), batch.column("text_key"), pa.array(keys, pa.binary()), flat], ["job_id", "text_key", "set_key", "bands"])
 
     return run
 
 
 def _verify(words: int, n_hashes: int, threshold: float, steps: list[tuple[int, int]]):
-    """Rows sorted by cell (component and block pair) become (job_id, root, links, text_links) of linked narrations."""
+    """Rows sorted by cell (component and block pair) become (node, root, links, text_links) of linked nodes."""
     a, b = _families(n_hashes)
 
-    def cell(ids: list[int], copies: list[int], sides: list[int], texts: list[str]) -> tuple[list, ...]:
+    def cell(ids: list[bytes], copies: list[int], sides: list[int], texts: list[str]) -> tuple[list, ...]:
         sets: list[np.ndarray] = []
         for _, hashes, offs in hashed_groups(texts):
             sets += [np.unique(windows_of(hashes[offs[k] : offs[k + 1]], words)) for k in range(len(offs) - 1)]
@@ -147,12 +147,12 @@ def _verify(words: int, n_hashes: int, threshold: float, steps: list[tuple[int,
         at, held = None, ([], [], [], [])
 
         def done() -> pa.RecordBatch:
-            columns = [pa.array(x, pa.int64()) for x in cell(*held)]
-            return pa.record_batch(columns, ["job_id", "root", "links", "text_links"])
+            columns = [pa.array(x, kind) for x, kind in zip(cell(*held), (pa.binary(), pa.binary(), pa.int64(), pa.int64()), strict=True)]
+            return pa.record_batch(columns, ["node", "root", "links", "text_links"])
 
         for batch in batches:
             d = batch.to_pydict()
-            for key, *row in zip(zip(d["comp"], d["i"], d["j"], strict=True), d["job_id"], d["copies"], d["side"], d["summary"], strict=True):
+            for key, *row in zip(zip(d["comp"], d["i"], d["j"], strict=True), d["node"], d["copies"], d["side"], d["summary"], strict=True):
                 if key != at:
                     if len(held[0]) > 1:
                         yield done()
@@ -167,7 +167,8 @@ def _verify(words: int, n_hashes: int, threshold: float, steps: list[tuple[int,
 
 def link_narrations(narrations: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 28, rows: int = 5,
                     tolerance: float = 1e-9, step: int = 20, block: int = 192) -> DataFrame:
-    """(job_id, class_id, n_links, n_text_links): one row for each row of `narrations`, by Jaccard similarity of shingles.
+    """(job_id, class_id, n_links, n_text_links, text_key, class_key): one row for each row of `narrations`, by Jaccard
+    similarity of shingles.
 
     Shingles are runs of `words` words (a shorter text is one shingle). Narrations with one shingle set are one node;
     nodes that share a MinHash band form candidate components (missed with probability (1 - s ** rows) ** bands: 1.5e-5
@@ -176,43 +177,50 @@ def link_narrations(narrations: DataFrame, threshold: float = 0.8, words: int =
     Only counts and local roots leave a task, never pairs.
 
     `class_id` is the smallest job_id of the connected class, `n_links` the number of other rows with similarity of at
-    least `threshold` (copies counted), `n_text_links` that of different shingle sets. A narration without words (null
-    or empty) or id is alone: class_id = job_id, no links. Rows that repeat a job_id count as copies. Other columns are
-    not read.
+    least `threshold` (copies counted), `n_text_links` that of different shingle sets. `text_key` is a hash of the summary
+    and `class_key` names the class itself, as different texts may stand under one id. A narration without words (null or
+    empty) or id is alone: class_id = job_id, no links, no class_key. Rows that repeat a text and its id count as copies;
+    different texts under one id are linked each for itself. Other columns are not read.
     """
-    source = narrations.select(F.col("job_id").cast("long").alias("job_id"), "summary")
-    signed = cut_lineage(source.mapInArrow(_signatures(words, bands, rows), "job_id long, set_key binary, bands array<bigint>"))
+    source = narrations.select(F.col("job_id").cast("long").alias("job_id"), "summary", F.xxhash64("summary").alias("text_key"))
+    signed = cut_lineage(source.mapInArrow(_signatures(words, bands, rows), "job_id long, text_key long, set_key binary, bands array<bigint>"))
     usable = signed.filter("set_key is not null and job_id is not null")
-    nodes = cut_lineage(usable.groupBy("set_key").agg(F.min("job_id").alias("node"), F.count("*").alias("copies")))
-    heads = nodes.join(usable, [nodes.set_key == usable.set_key, nodes.node == usable.job_id]).select("node", "bands")
-    banded = heads.select("node", F.posexplode("bands").alias("band", "value"))
+    nodes = cut_lineage(usable.groupBy("set_key").agg(F.min(F.struct("job_id", "text_key")).alias("head"), F.count("*").alias("copies")))
+    heads = nodes.select(F.col("set_key").alias("node"), "head.*").join(usable.select("job_id", "text_key", "bands"), ["job_id", "text_key"])
+    banded = heads.dropDuplicates(["node"]).select("node", F.posexplode("bands").alias("band", "value"))
     shared = banded.groupBy("band", "value").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high")
     edges = banded.join(shared.drop("high"), ["band", "value"]).select(F.col("node").alias("a"), F.col("low").alias("b"))
     comps = cut_lineage(components(edges))
     sizes = comps.groupBy("root").agg(F.count("*").alias("size"))
-    copies = nodes.groupBy("node").agg(F.sum("copies").alias("copies"))
-    places = comps.join(sizes, "root").join(copies, "node").select(
-        F.col("node").alias("job_id"), F.col("root").alias("comp"), "copies", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    places = places.withColumn("own", F.pmod(F.xxhash64("job_id"), F.col("blocks")).cast("int"))
+    places = comps.join(sizes, "root").join(nodes.select(F.col("set_key").alias("node"), "head.*", "copies"), "node").select(
+        "node", F.col("root").alias("comp"), "job_id", "text_key", "copies", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    places = places.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = F.expr("transform(sequence(0, blocks - 1), o -> struct(least(own, o) as i, greatest(own, o) as j, int(own > o) as side))")
-    texts = source.join(places, "job_id").dropDuplicates(["job_id"])
-    cells = texts.select("job_id", "comp", "copies", "summary", "blocks", F.inline(pairs))
-    dealt = cells.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "job_id").select("comp", "i", "j", "job_id", "copies", "side", "summary")
+    texts = source.join(places, ["job_id", "text_key"]).dropDuplicates(["node"])
+    cells = texts.select("node", "comp", "copies", "summary", "blocks", F.inline(pairs))
+    dealt = cells.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j", "node").select("comp", "i", "j", "node", "copies", "side", "summary")
     steps = least_matches(bands * rows, step, threshold, tolerance)
-    found = cut_lineage(dealt.mapInArrow(_verify(words, bands * rows, threshold, steps), "job_id long, root long, links long, text_links long"))
-    roots = components(found.select(F.col("job_id").alias("a"), F.col("root").alias("b")))
-    counts = found.groupBy("job_id").agg(F.sum("links").alias("links"), F.sum("text_links").alias("text_links"))
-    linked = counts.join(roots.withColumnRenamed("node", "job_id"), "job_id").withColumnRenamed("job_id", "node")
-    classes = nodes.join(linked, "node", "left").select(
-        "set_key", F.coalesce("root", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"),
+    found = cut_lineage(dealt.mapInArrow(_verify(words, bands * rows, threshold, steps), "node binary, root binary, links long, text_links long"))
+    roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    counts = found.groupBy("node").agg(F.sum("links").alias("links"), F.sum("text_links").alias("text_links"))
+    joined = nodes.withColumnRenamed("set_key", "node").join(counts.join(roots, "node"), "node", "left").withColumn("class_key", F.coalesce("root", "node"))
+    lows = joined.groupBy("class_key").agg(F.min("head.job_id").alias("class_id"))
+    classes = joined.join(dealt_anew(lows, "class_key"), "class_key").select(
+        F.col("node").alias("set_key"), "class_key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"),
         F.coalesce("text_links", F.lit(0)).alias("text_links"))
-    return signed.select("job_id", F.when(F.col("job_id").isNotNull(), F.col("set_key")).alias("set_key")).join(classes, "set_key", "left").select(
+    own = signed.select("job_id", "text_key", F.when(F.col("job_id").isNotNull(), F.col("set_key")).alias("set_key"))
+    return own.join(dealt_anew(classes, "set_key"), "set_key", "left").select(
         "job_id", F.coalesce("class_id", "job_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"),
-        F.coalesce("text_links", F.lit(0)).alias("n_text_links"))
+        F.coalesce("text_links", F.lit(0)).alias("n_text_links"), "text_key", "class_key")
 
 
 def one_per_class(narrations: DataFrame, links: DataFrame) -> DataFrame:
-    """The narration with the smallest id of each class, once; rows without an id stay. Columns and types are kept."""
-    heads = links.filter("class_id = job_id").select("job_id").distinct()
-    kept = narrations.join(heads, narrations["job_id"] == heads["job_id"], "left_semi").dropDuplicates(["job_id"])
+    """One narration of each class, that with the smallest id, once; rows without an id stay, and of rows without words one
+    for each id and text. Different texts under one id are different narrations. Columns and types are kept."""
+    alone = F.struct("job_id", "text_key")
+    known = links.filter("job_id is not null").withColumn("alone", F.when(F.col("class_key").isNull(), alone))
+    heads = known.groupBy("class_key", "alone").agg(F.min(alone).alias("head")).select(F.col("head.job_id").alias("head_id"), F.col("head.text_key").alias("head_text"))
+    same = (narrations["job_id"] == F.col("head_id")) & (F.xxhash64(narrations["summary"]) == F.col("head_text"))
+    mark = f"{free_prefix(narrations.columns)}text"
+    kept = narrations.join(heads.distinct(), same, "left_semi").withColumn(mark, F.xxhash64("summary")).dropDuplicates(["job_id", mark]).drop(mark)
     return kept.unionByName(narrations.filter("job_id is null"))

@@ -61,7 +61,8 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.link_narrations(_narrations(spark, sf_dir)).withColumnRenamed("job_id", "doc_id")
+    links = jaccard_join.link_narrations(_narrations(spark, sf_dir))
+    return links.select(F.col("job_id").alias("doc_id"), "class_id", "n_links", "n_text_links")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from courtloom.llm import common, decontamination, jaccard_join, passages
 
@@ -54,6 +55,20 @@ def test_links_equal_brute_force(spark):
         assert sorted((r.job_id, r.class_id, r.n_links) for r in got) == sorted(brute_links(rows))
 
 
+def test_different_texts_under_one_id_are_linked_each_for_itself(spark):
+    words = [f"w{k}" for k in range(80)]
+    a, b = " ".join(words[:40]), " ".join(words[40:])
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, "alone here with some other words"), (4, "and again alone under the same id"), (5, None), (5, "")]
+    for order in (rows, rows[::-1]):
+        narrations = spark.createDataFrame([(*r, 7, 8) for r in order], "job_id long, summary string, text_key int, __text int").repartition(3)
+        links = jaccard_join.link_narrations(narrations)
+        got = sorted((r.job_id, r.class_id, r.n_links) for r in links.collect())
+        assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 4, 0), (4, 4, 0), (5, 5, 0), (5, 5, 0)]
+        kept = jaccard_join.one_per_class(narrations, links)
+        assert kept.columns == narrations.columns
+        assert sorted((r.job_id, r.summary or "") for r in kept.collect()) == sorted([(1, a), (1, b), (4, rows[4][1]), (4, rows[5][1]), (5, ""), (5, "")])
+
+
 def test_large_group_of_near_copies(spark):
     rng = random.Random(9)
     base = [f"w{k}" for k in range(120)]
@@ -129,6 +144,8 @@ def test_reordered_passages_are_caught(spark):
         left = decontamination.without_contaminated(narrations, references, block_chars=chars)
         assert sorted(r.job_id for r in left.collect()) == [2, 3, 4, 5] and left.columns == narrations.columns
     assert decontamination.contaminated(narrations, references.limit(0)).count() == 0
+    named = references.withColumn("window_id", F.concat(F.lit("w"), "window_id"))
+    assert sorted(r.window_id for r in decontamination.contaminated(narrations, named).collect()) == sorted(f"w{r.window_id}" for r in got)
     assert decontamination.contaminated(narrations.limit(0), references).count() == 0
 
 
