@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from courtloom.llm.common import free_prefix
+
 #: Code points handled at once; bounds the temporary arrays of a task.
 PIECE = 1 << 18
 _LETTER: list[np.ndarray] = []
@@ -142,5 +144,6 @@ def identify_language(narrations: DataFrame, model: LanguageModel) -> DataFrame:
     def predict(texts: pd.Series) -> pd.DataFrame:
         return shared.value.predict(list(texts))
 
-    out = narrations.withColumn("__guess", predict("summary"))
-    return out.withColumns({"lang_pred": F.col("__guess.lang_pred"), "score": F.col("__guess.score")}).drop("__guess")
+    guess = f"{free_prefix(narrations.columns)}guess"
+    out = narrations.withColumn(guess, predict("summary"))
+    return out.withColumns({"lang_pred": F.col(f"{guess}.lang_pred"), "score": F.col(f"{guess}.score")}).drop(guess)

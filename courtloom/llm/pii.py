@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from courtloom.llm.common import dealt_anew, free_prefix
 from courtloom.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -104,9 +105,11 @@ def span_list(spans: Column) -> Column:
 
 
 def _contexts(found: DataFrame) -> DataFrame:
-    """One row for each candidate: (row, start, end, pattern, instance, kind of the base span it meets or null).
+    """One or two rows for each candidate: (row, start, end, pattern, instance, kind of the base span it meets or null).
 
-    A pattern is the two words in front and the key of a `key=value` token, with the class of the value."""
+    A pattern is the two words in front and the key of a `key=value` token, with the class of the value; an address (a value
+    with an @) and a long number (nine digits or more) also have the pattern of their form alone, as an identifier that
+    fails a base pattern often has another class than those that pass."""
     c = found.select("row", "base", F.explode("candidates").alias("c"))
     token, start = F.col("c.hit"), F.col("c.start")
     c = c.select("row", "base", "c", token.alias("token"), start.alias("start"),
@@ -116,7 +119,9 @@ def _contexts(found: DataFrame) -> DataFrame:
     met = F.filter("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
     signs = F.regexp_replace(F.regexp_replace(F.regexp_replace("value", "[0-9]+", "9"), r"\p{L}+", "a"), "(?:9a|a9)[9a]*", "x")
     words = F.lower(F.regexp_extract(F.col("c.before"), r"(?<!\S)((?:\S+\s+)?\S+)\s+$", 1))
-    return c.select("row", "start", "end", F.concat_ws("\x01", words, F.lower("lead"), F.left(signs, F.lit(16))).alias("pattern"),
+    form = F.when(F.contains("value", F.lit("@")), "\x02@").when(F.length(F.regexp_replace("value", "[^0-9]", "")) >= 9, "\x02#")
+    patterns = F.filter(F.array(*[F.concat(F.concat_ws("\x01", words, F.lower("lead")), F.lit("\x01"), x) for x in (F.left(signs, F.lit(16)), form)]), lambda p: p.isNotNull())
+    return c.select("row", "start", "end", F.explode(patterns).alias("pattern"),
                     F.lower("value").alias("instance"), F.when(F.size(met) > 0, met[0]["kind"]).alias("kind"))
 
 
@@ -150,12 +155,13 @@ def discover(contexts: DataFrame, rounds: int = 3, least_seeds: int = 3, least_c
 
 
 def _found(narrations: DataFrame) -> DataFrame:
-    """(row, job_id, base, candidates) of each row, checkpointed; the texts are read once and not shuffled."""
+    """(row, job_id, digest of the text, base, candidates) of each row, checkpointed; the texts are read once and not shuffled."""
     text = F.coalesce(F.col("summary"), F.lit(""))
     hits = narrations.select("job_id", F.monotonically_increasing_id().alias("row"), *[base_hits(text, k).alias(k) for k in KINDS],
-                             F.when(text.rlike("[0-9@]"), located(text, _CANDIDATE)).alias("candidates"))
+                             F.when(text.rlike("[0-9@]"), located(text, _CANDIDATE)).alias("candidates"),
+                             F.when(text.rlike("[0-9@]"), F.md5(text.cast("binary"))).alias("digest"))
     hits = cut_lineage(hits)
-    return hits.select("job_id", "row", F.concat(*[base_spans(F.col(k), k) for k in KINDS]).alias("base"), "candidates")
+    return hits.select("job_id", "row", "digest", F.concat(*[base_spans(F.col(k), k) for k in KINDS]).alias("base"), "candidates")
 
 
 def _extra(found: DataFrame) -> tuple[DataFrame, bool]:
@@ -199,21 +205,23 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def redact(narrations: DataFrame) -> DataFrame:
-    """`narrations` with personal data in `summary` replaced; a null summary stays null, other columns stay as they are.
+    """`narrations` with personal data in `summary` replaced; a null summary stays null, other columns stay as they are,
+    whatever their names.
 
-    Base spans are replaced where the text is read. Only if identifiers were discovered are texts joined, by job_id,
-    with the spans of their discovery.
+    Base spans are replaced where the text is read. Only if identifiers were discovered are texts joined with the spans of
+    their discovery, by a digest of the text: equal texts have equal spans, so ids (repeated, null) play no part.
     """
     found = _found(narrations)
     extra, any_ = _extra(found)
-    text = F.col("summary")
-    hits = [base_hits(F.coalesce(text, F.lit("")), k).alias(f"__{k}") for k in KINDS]
+    text, mark = F.col("summary"), free_prefix(narrations.columns)
+    hits = [base_hits(F.coalesce(text, F.lit("")), k).alias(f"{mark}{k}") for k in KINDS]
     out = narrations.select("*", *hits)
-    spans = F.concat(*[base_spans(F.col(f"__{k}"), k) for k in KINDS])
+    spans = F.concat(*[base_spans(F.col(f"{mark}{k}"), k) for k in KINDS])
     if any_:
-        by_job = found.join(extra, "row").filter("job_id is not null").groupBy("job_id").agg(F.array_distinct(F.flatten(F.collect_set("extra"))).alias("__extra"))
-        out = out.join(by_job, "job_id", "left").select(*out.columns, "__extra")
-        spans = F.concat(spans, F.coalesce("__extra", F.expr("cast(array() as array<struct<kind: int, start: int, end: int>>)")))
-    out = out.withColumn("__spans", spans)
-    changed = F.when(F.size("__spans") > 0, redacted(text, F.col("__spans"))).otherwise(text)
+        by_text = found.join(extra, "row").groupBy("digest").agg(F.min(F.array_sort("extra")).alias(f"{mark}extra"))
+        out = out.withColumn(f"{mark}digest", F.md5(text.cast("binary")))
+        out = out.join(dealt_anew(by_text.withColumnRenamed("digest", f"{mark}digest"), f"{mark}digest"), f"{mark}digest", "left")
+        spans = F.concat(spans, F.coalesce(f"{mark}extra", F.expr("cast(array() as array<struct<kind: int, start: int, end: int>>)")))
+    out = out.withColumn(f"{mark}spans", spans)
+    changed = F.when(F.size(f"{mark}spans") > 0, redacted(text, F.col(f"{mark}spans"))).otherwise(text)
     return out.select(*[changed.alias(c) if c == "summary" else F.col(f"`{c}`") for c in narrations.columns])

@@ -71,4 +71,4 @@ def test_stages_bear_odd_rows(spark):
 
 def test_each_operator_is_registered_once():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11)) and len(corpus_pipeline.STAGES) == 5
+    assert numbers == list(range(1, 14)) and len(corpus_pipeline.STAGES) == 5

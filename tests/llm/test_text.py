@@ -71,12 +71,59 @@ def test_redaction(spark):
     assert pii.redact(spark.createDataFrame([], "job_id long, summary string")).count() == 0
 
 
+def test_redaction_goes_by_the_text_and_not_by_its_id(spark):
+    """Discovered numbers are redacted at their places in their own text: under a repeated id, without an id, in copies, and
+    with columns of the caller that are named like helper columns."""
+    cards = ["4041894974608795", "4337166598464399", "4111111111111111", "5500005555555559"]
+    rows = [(i, f"The guest {i} said my card number {c} was declined at the desk") for i, c in enumerate(cards)]
+    found, other = "He wrote down card number 4111111111111112 and left", "A quite different text without a word about the weather"
+    rows += [(10, found), (10, other), (None, found), (11, found), (11, None)]
+    extra = ("__email", "__ip", "__card", "__phone", "__extra", "__spans", "__digest", "digest", "base", "row")
+    narrations = spark.createDataFrame([(*r, *extra) for r in rows], "job_id long, summary string, " + ", ".join(f"`{c}` string" for c in extra))
+    out = pii.redact(narrations)
+    assert out.columns == narrations.columns
+    hidden = "He wrote down card number [CARD] and left"
+    got = out.collect()
+    want = [(i, f"The guest {i} said my card number [CARD] was declined at the desk") for i in range(4)] + [(10, hidden), (10, other), (None, hidden), (11, hidden), (11, None)]
+    assert sorted(map(str, ((r.job_id, r.summary) for r in got))) == sorted(map(str, want))
+    assert all(tuple(r)[2:] == extra for r in got)
+
+
+def test_discovery_finds_planted_identifiers(spark):
+    """Identifiers that fail every base pattern behind contexts that they share with valid ones: numbers of card form that
+    fail Luhn, and mail addresses without a dot. Numbers of the same form in other contexts are not personal data."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(3, 9)))      # noqa: E731
+    fill = lambda: " ".join(word() for _ in range(rng.randrange(4, 12)))      # noqa: E731
+    number = lambda ok: next(n for n in iter(lambda: str(rng.randrange(4 * 10**15, 5 * 10**15)), None) if luhn(n) == ok)      # noqa: E731
+    leads = {"card": ["charged to card", "my card number", "card ending in"], "email": ["write to me", "send mail to"]}
+    rows, planted, decoys = [], set(), set()
+    for k in range(400):
+        kind, seed = ("card", "email")[k % 2], rng.random() < 0.75
+        lead = rng.choice(leads[kind])
+        value = number(seed) if kind == "card" else f"{word()}{k}@{word()}" + (".com" if seed else "")
+        text = f"{fill()} {lead} "
+        if not seed:
+            planted.add((k, len(text), len(text) + len(value)))
+        rows.append((k, f"{text}{value} {fill()}"))
+    for k in range(400, 600):
+        text = f"{fill()} there were {word()} "
+        value = number(False) if k % 2 else f"{word()}@{word()}"
+        decoys.add((k, len(text), len(text) + len(value)))
+        rows.append((k, f"{text}{value} {fill()}"))
+    added = set()
+    for r in pii.find_personal_data(spark.createDataFrame(rows, "job_id long, summary string")).collect():
+        added |= {(r.job_id, s.start, s.end) for s in r.spans} - {(r.job_id, s.start, s.end) for s in r.base}
+    hits = len(added & planted)
+    assert hits >= 0.9 * len(planted) and hits >= 0.9 * len(added) and not added & decoys
+
+
 @needs_data
 def test_digests_of_the_driver_tables(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in op4_pii(spark, SF).collect():
         expect = plain_spans(docs[r.doc_id])
-        assert r.base_sha256 == hashlib.sha256(expect.encode()).hexdigest() and r.n_email == expect.count("email:") and r.n_card == expect.count("card:")
+        assert r.base_sha256 == hashlib.sha256(expect.encode()).hexdigest() and all(r[f"n_{k}"] == expect.count(f"{k}:") for k in pii.KINDS)
 
 
 @needs_data
@@ -94,6 +141,9 @@ def test_language_edges(spark):
     out = {r.job_id: r for r in language_id.identify_language(narrations, language_id.fit_language_model(narrations, F.lit(True))).collect()}
     assert [out[k].lang_pred for k in (1, 2, 3, 4, 5, 6, None)] == ["en", "de", "und", "und", "und", "de", "en"]
     assert all(0 <= r.score <= 1 for r in out.values())
+    model = language_id.fit_language_model(narrations, F.lit(True))
+    clash = language_id.identify_language(narrations.selectExpr("*", "1 as __guess", "2 as score"), model)
+    assert clash.columns == ["job_id", "summary", "lang", "__guess", "score", "lang_pred"] and {r["__guess"] for r in clash.collect()} == {1}
     none = language_id.identify_language(narrations, language_id.fit_language_model(narrations.limit(0), F.lit(True)))
     assert {r.lang_pred for r in none.collect()} == {"und"}
 
