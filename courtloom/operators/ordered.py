@@ -84,31 +84,33 @@ def running_sum(
     df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, size: float = BLOCK_FRAMES
 ) -> DataFrame:
     """Inclusive prefix sum of `value` per `keys` over `order`."""
-    return _running(df, keys, order, value, out, size, F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+    return running_sums(df, keys, order, {out: value}, size)
+
+
+def running_sums(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column], size: float = BLOCK_FRAMES) -> DataFrame:
+    """Inclusive prefix sums of several values (by output name) in one pass."""
+    return _running(df, keys, order, values, size, F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
 
 
 def running_max(
     df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, size: float = BLOCK_FRAMES
 ) -> DataFrame:
     """Inclusive prefix maximum of `value` per `keys` over `order`."""
-    return _running(df, keys, order, value, out, size, F.max, F.greatest)
+    return _running(df, keys, order, {out: value}, size, F.max, F.greatest)
 
 
-def _running(df: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, size: float, fold: Callable, join: Callable) -> DataFrame:
+def _running(df: DataFrame, keys: Sequence[str], order: str, values: dict[str, Column], size: float, fold: Callable, join: Callable) -> DataFrame:
     """A local prefix of each block joined with one value carried in from the blocks before it."""
-    keys = list(keys)
-    base = df.withColumn("_val", value).withColumn(BLK, block_of(order, size))
+    keys, n = list(keys), range(len(values))
+    base = df.withColumns({f"_val{i}": v for i, v in enumerate(values.values())}).withColumn(BLK, block_of(order, size))
     base = base.repartition(*[F.col(k) for k in keys], F.col(BLK))
     local = Window.partitionBy(*keys, BLK).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = base.withColumn("_loc", fold("_val").over(local))
-    total = base.groupBy(*keys, BLK).agg(fold("_val").alias("_total"))
+    rows = base.withColumns({f"_loc{i}": fold(f"_val{i}").over(local) for i in n})
+    total = base.groupBy(*keys, BLK).agg(*[fold(f"_val{i}").alias(f"_total{i}") for i in n])
     over_blocks = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
-    offset = total.withColumn("_in", fold("_total").over(over_blocks)).drop("_total")
-    return (
-        rows.join(offset, [*keys, BLK], "left")
-        .withColumn(out, join(F.col("_loc"), F.col("_in")))
-        .drop("_val", "_loc", "_in", BLK)
-    )
+    offset = total.select(*keys, BLK, *[fold(f"_total{i}").over(over_blocks).alias(f"_in{i}") for i in n])
+    joined = rows.join(offset, [*keys, BLK], "left").withColumns({out: join(F.col(f"_loc{i}"), F.col(f"_in{i}")) for i, out in enumerate(values)})
+    return joined.drop(*[f"_{c}{i}" for c in ("val", "loc", "in") for i in n], BLK)
 
 
 def rank_in_key(

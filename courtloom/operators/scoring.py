@@ -255,9 +255,8 @@ def average_precision(gt: DataFrame, pred: DataFrame, frame: Sequence[str], thre
     n_gt = gt.groupBy("class_id").agg(F.count(F.lit(1)).alias("n_gt"))
     # scores are ordered in blocks of 1 / `block`, from high to low for the sums and from low to high for the envelope
     s = cut_lineage(s.withColumn("_down", -F.col("score")))
-    run = O.running_sum(s, key, "_down", F.col("tp"), "ctp", 1 / block)
-    run = O.running_sum(run, key, "_down", F.col("n"), "cn", 1 / block).join(n_gt, "class_id")
-    run = cut_lineage(run.withColumn("prec", F.col("ctp") / F.col("cn")).withColumn("rec", F.col("ctp") / F.col("n_gt")))
+    run = O.running_sums(s, key, "_down", {"ctp": F.col("tp"), "cn": F.col("n")}, 1 / block).join(n_gt, "class_id")
+    run = run.withColumn("prec", F.col("ctp") / F.col("cn")).withColumn("rec", F.col("ctp") / F.col("n_gt"))
     best = O.running_max(run, key, "score", F.col("prec"), "env", 1 / block)
     # points of the recall grid reached between the previous and this recall take this envelope value
     before = F.when(F.col("cn") == F.col("n"), F.lit(0)).otherwise(F.floor((F.col("ctp") - F.col("tp")) / F.col("n_gt") * 100 + 1e-9) + 1)
