@@ -1,70 +1,188 @@
-"""Appearance distances of embedding tables against a gallery.
+"""Appearance distances of embedding tables against a gallery, by blocks that bounds can skip.
 
-The gallery (seed crops of the roster) is cut into blocks of bounded size; every query row meets every block
-once through an equi-join on the block number and is compared with it in one numpy product. Only the few
-smallest distances per identity leave the comparison, so the product is never materialised.
+The gallery (seed crops of the roster) is dealt to the nearest of a few centres, and from there to blocks of bounded
+size. A block's rows lie within its centre's radius, so the distance from a query to the centre bounds all inner
+products of the block (triangle inequality). A query first meets one block near it; what it finds there limits which
+blocks it must meet at all. Met blocks are compared in one product for all their queries, and only the few smallest
+distances leave the task. The result is exact, whatever is skipped.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SLICE = 512                      # gallery rows per comparison block
-
-
-def _slices(gallery: DataFrame, qid: str, label: str, vec: str) -> tuple[DataFrame, int]:
-    """Gallery cut by hash into blocks of about SLICE rows, packed as arrays: one row per block."""
-    n = gallery.count()
-    blocks = max(1, -(-n // SLICE))
-    keyed = gallery.withColumn("_s", F.pmod(F.xxhash64(qid), F.lit(blocks)))
-    return keyed.groupBy("_s").agg(
-        F.collect_list(F.struct(F.col(qid).alias("g"), F.col(label).cast("long").alias("l"), F.col(vec).alias("v"))).alias("block")), blocks
-
-
-def _per_label_distances(queries: DataFrame, gallery: DataFrame, qid: str, label: str, vec: str, keep: int) -> DataFrame:
-    """The `keep` smallest distances of each query to each identity: (qid, own, label, d)."""
-    packed, blocks = _slices(gallery, qid, label, vec)
-    # every query meets every block once; a block is a bounded array, and the product is queries x blocks
-    spread = queries.select(F.col(qid).alias("q"), F.col(label).cast("long").alias("own"), F.col(vec).alias("qv"),
-                            F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_s"))
-
-    @F.pandas_udf("array<struct<label:long,d:double>>")
-    def nearest(q: pd.Series, v: pd.Series, g: pd.Series) -> pd.Series:
+from courtloom.session import cut_lineage
+
+SLICE = 512                      # gallery rows of a block
+CENTRES = 64                     # centres, chosen farthest first
+SAMPLE = 2048                    # gallery rows among which they are chosen
+_SLACK = 1e-6                    # rounding of distances between vectors
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0.0))
+
+
+class Gallery:
+    """A gallery (id `g`, label `l`, vector `v`) in blocks `blk`, with the radius, largest norm and size of each centre."""
+
+    def __init__(self, gallery: DataFrame, qid: str, label: str, vec: str, slice_rows: int = SLICE, centres: int = CENTRES):
+        rows = gallery.select(F.col(qid).cast("long").alias("g"), F.col(label).cast("long").alias("l"), F.col(vec).alias("v")).dropna()
+        chosen = rows.orderBy(F.xxhash64("g")).limit(SAMPLE).select("v").collect()
+        points = np.array([r["v"] for r in chosen]) if chosen else np.zeros((1, 1))
+        heads = [0]
+        d = _apart(points, points[:1])[:, 0]
+        while len(heads) < centres and d.max() > 4 * _SLACK:
+            heads.append(int(d.argmax()))
+            d = np.minimum(d, _apart(points, points[heads[-1] :][:1])[:, 0])
+        self.centres = points[heads]
+        far = self.far_from_centres("v")
+        placed = rows.withColumn("_far", far).withColumn("gap", F.array_min("_far")).withColumn("centre", F.array_position("_far", F.array_min("_far")).cast("int") - 1)
+        placed = cut_lineage(placed.drop("_far"))
+        norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+        self.radius, self.norm, self.blocks = np.full(len(heads), -1.0), np.zeros(len(heads)), np.zeros(len(heads), int)
+        for r in placed.groupBy("centre").agg(F.max("gap").alias("gap"), F.max(norm).alias("norm"), F.count(F.lit(1)).alias("n")).collect():      # a row for each centre
+            self.radius[r["centre"]], self.norm[r["centre"]], self.blocks[r["centre"]] = r["gap"], r["norm"], -(-r["n"] // slice_rows)
+        self.rows = placed.withColumn("blk", self._block("centre", F.pmod(F.xxhash64("g"), self._count("centre"))))
+        self.labels = self.rows.select("blk", "l").distinct()
+
+    def far_from_centres(self, vec: str) -> Column:
+        centres = self.centres
+
+        @F.pandas_udf("array<double>")
+        def far(v: pd.Series) -> pd.Series:
+            return pd.Series(list(_apart(np.stack(v.to_numpy()), centres)) if len(v) else [], dtype=object)
+
+        return far(vec)
+
+    def _count(self, centre: str) -> Column:
+        return F.element_at(F.array(*[F.lit(int(n)).cast("long") for n in self.blocks]), F.col(centre) + 1)
+
+    def _block(self, centre: str, salt: Column) -> Column:
+        return F.shiftleft(F.col(centre).cast("long"), 40) + salt
+
+    def bounded(self, queries: DataFrame) -> DataFrame:
+        """Queries (q, own, v) with the least distance that rows of each centre can have (`floors`, infinite without rows)."""
+        radius, norm, centres = self.radius, self.norm, self.centres
+        if (radius < 0).all():
+            return queries.withColumn("floors", F.array(F.lit(float("inf"))))
+
+        @F.pandas_udf("array<double>")
+        def floors(v: pd.Series) -> pd.Series:
+            if not len(v):
+                return pd.Series([], dtype=object)
+            q = np.stack(v.to_numpy())
+            near = np.maximum(_apart(q, centres) - radius - _SLACK, 0.0)
+            most = ((q * q).sum(1)[:, None] + norm**2 - near**2) / 2
+            return pd.Series(list(np.where(radius < 0, np.inf, 1.0 - most - _SLACK)))
+
+        return cut_lineage(queries.withColumn("floors", floors("v")))
+
+    def home(self, queries: DataFrame) -> DataFrame:
+        """Each query with one block of the centre whose rows may lie nearest."""
+        best = queries.withColumn("centre", (F.array_position("floors", F.array_min("floors")) - 1).cast("int"))
+        best = best.filter(F.array_min("floors") < float("inf"))
+        return best.withColumn("blk", self._block("centre", F.pmod(F.xxhash64("q"), self._count("centre"))))
+
+    def within(self, queries: DataFrame, limit: Column, label: str | None = None) -> DataFrame:
+        """Each query with the blocks that may hold a distance of at most `limit`; with `label`, those that have that label."""
+        near = queries.withColumn("_lim", limit).withColumn("_c", F.expr("filter(transform(floors, (f, i) -> if(f <= _lim and f < double('infinity'), i, null)), i -> i is not null)"))
+        met = near.withColumn("centre", F.explode("_c")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), self._count("centre") - 1)))
+        met = met.withColumn("blk", self._block("centre", F.col("salt"))).drop("_c", "_lim", "salt", "centre")
+        return met if label is None else met.join(self.labels.withColumnRenamed("l", label), ["blk", label])
+
+    def compare(self, met: DataFrame, keep: int) -> DataFrame:
+        """(q, l, d, other): for each query and block that it meets the nearest row of its own label (other false) and of the
+        others (other true), with the `keep` smallest distances to either's label; a row with the query's id does not count."""
+        columns = ["blk", "kind", "id", "label", "v"]
+        mine = met.select("blk", F.lit(1).alias("kind"), F.col("q").alias("id"), F.col("own").alias("label"), "v")
+        theirs = self.rows.select("blk", F.lit(0).alias("kind"), F.col("g").alias("id"), F.col("l").alias("label"), "v")
+        dealt = theirs.select(columns).union(mine.select(columns)).repartition("blk").sortWithinPartitions("blk", "kind")
+        return dealt.mapInArrow(_compared(keep), "q long, l long, d double, other boolean")
+
+
+def _compared(keep: int):
+    def answer(block: list[pa.RecordBatch], asked: pa.RecordBatch) -> pa.RecordBatch:
+        vectors = lambda b: np.array(b.column("v").to_pylist())      # noqa: E731
+        ids = np.concatenate([b.column("id").to_numpy() for b in block])
+        labels = np.concatenate([b.column("label").to_numpy() for b in block])
+        q, own = asked.column("id").to_numpy(), asked.column("label").to_numpy(zero_copy_only=False)
+        d = np.floor((1.0 - vectors(asked) @ np.concatenate([vectors(b) for b in block]).T) * 1e9 + 0.5)
+        d[q[:, None] == ids[None, :]] = np.inf
         out = []
-        for one, vector, block in zip(q, v, g):
-            ids = np.array([b["g"] for b in block])
-            labels = np.array([b["l"] for b in block])
-            d = np.floor((1.0 - np.stack([b["v"] for b in block]) @ np.asarray(vector)) * 1e9 + 0.5)
-            rows = []
-            for lab in np.unique(labels):
-                own = np.sort(d[(labels == lab) & (ids != one)])[:keep]
-                rows += [{"label": int(lab), "d": float(x)} for x in own]
-            out.append(rows)
-        return pd.Series(out)
-
-    met = spread.join(packed, "_s").select("q", "own", F.explode(nearest("q", "qv", "block")).alias("e"))
-    return met.select(F.col("q").alias(qid), "own", F.col("e.label").alias("label"), F.col("e.d").alias("d"))
-
-
-def gallery_distance(queries: DataFrame, gallery: DataFrame, qid: str, label: str, vec: str, k: int = 3) -> DataFrame:
-    """Mean of the k smallest distances and the minimum per identity; the nearest identity per query."""
-    d = _per_label_distances(queries, gallery, qid, label, vec, k)
-    small = d.groupBy(qid, "label").agg(F.slice(F.sort_array(F.collect_list("d")), 1, k).alias("s"))
+        for other in (False, True):
+            part = np.where((labels[None, :] != own[:, None]) == other, d, np.inf)
+            least = part.min(axis=1)
+            # of equally near rows the smallest label
+            label = np.where(part == least[:, None], labels[None, :], np.iinfo(np.int64).max).min(axis=1)
+            part = np.where(labels[None, :] == label[:, None], d, np.inf)
+            few = np.sort(np.partition(part, min(keep, part.shape[1]) - 1, axis=1)[:, :keep], axis=1)
+            row, at = np.nonzero(np.isfinite(few) & np.isfinite(least)[:, None])
+            out.append((q[row], label[row], few[row, at], np.full(len(row), other)))
+        q, label, d, other = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.record_batch([pa.array(q), pa.array(label), pa.array(d), pa.array(other)], ["q", "l", "d", "other"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, block = None, []
+        for batch in batches:
+            blk, kind = (batch.column(c).to_numpy() for c in ("blk", "kind"))
+            cuts = [0, *(np.flatnonzero((np.diff(blk) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(blk)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if blk[a] != at:
+                    at, block = blk[a], []
+                if not kind[a]:
+                    block.append(batch.slice(a, b - a))
+                elif block:
+                    for low in range(a, b, 1024):
+                        yield answer(block, batch.slice(low, min(1024, b - low)))
+
+    return run
+
+
+def _queries(queries: DataFrame, qid: str, label: str, vec: str) -> DataFrame:
+    return queries.select(F.col(qid).cast("long").alias("q"), F.col(label).cast("long").alias("own"), F.col(vec).alias("v")).dropna(subset=["q", "v"])
+
+
+def gallery_distance(queries: DataFrame, gallery: DataFrame, qid: str, label: str, vec: str, k: int = 3, slice_rows: int = SLICE) -> DataFrame:
+    """(qid, best, d3, dmin): the identity of the nearest gallery row (the smallest of equals), the mean of the k smallest
+    distances to it and the smallest. Queries and gallery rows without an id or vector take no part, nor does a gallery
+    row with the query's id."""
+    g = Gallery(gallery, qid, label, vec, slice_rows)
+    asked = g.bounded(_queries(queries, qid, label, vec).withColumn("own", F.lit(None).cast("long")))      # no label is a query's own
+    nearest = lambda found: found.groupBy("q").agg(F.min(F.struct("d", "l")).alias("b"))      # noqa: E731
+    home = nearest(g.compare(g.home(asked), 1)).select("q", F.col("b.d").alias("up"))
+    met = g.within(asked.join(home, "q", "left"), F.coalesce(F.col("up"), F.lit(float("inf"))) / 1e9 + 1e-9)
+    found = cut_lineage(nearest(g.compare(met, 1)))
+    best = found.select("q", F.col("b.l").alias("own"), F.col("b.d").alias("dmin"))
+    # the k-th distance to that identity in one block bounds the blocks that can hold nearer ones
+    known = g.compare(g.home(asked.drop("own").join(best, "q")), k).filter("not other").groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("kth"))
+    named = asked.drop("own").join(best, "q").join(known, "q", "left")
+    limit = F.when(F.col("n") >= k, F.col("kth") / 1e9 + 1e-9).otherwise(F.lit(float("inf")))
+    few = g.compare(g.within(named, limit, "own"), k).filter("not other").groupBy("q").agg(F.slice(F.sort_array(F.collect_list("d")), 1, k).alias("s"))
     mean = F.aggregate("s", F.lit(0.0), lambda a, x: a + x) / F.size("s")
-    per = small.select(qid, "label", (mean / 1e9).alias("d3"), F.get("s", F.lit(0)).alias("dmin"))
-    best = per.groupBy(qid).agg(F.min(F.struct("dmin", "label", "d3")).alias("b"))
-    return best.select(qid, F.col("b.label").alias("best"), F.col("b.d3").alias("d3"), (F.col("b.dmin") / 1e9).alias("dmin"))
-
-
-def self_vs_rival(queries: DataFrame, gallery: DataFrame, qid: str, label: str, vec: str) -> DataFrame:
-    """Distance to the own identity's gallery and to the nearest other one."""
-    d = _per_label_distances(queries, gallery, qid, label, vec, 1).groupBy(qid, "own", "label").agg(F.min("d").alias("d"))
-    same = F.col("own") == F.col("label")
-    g = d.groupBy(qid).agg(F.min(F.when(same, F.col("d"))).alias("s"), F.min(F.when(~same, F.struct("d", "label"))).alias("r"))
-    return g.select(qid, (F.col("s") / 1e9).alias("self_d"), (F.col("r.d") / 1e9).alias("rival_d"), F.col("r.label").alias("rival"))
+    return few.join(best, "q").select(F.col("q").alias(qid), F.col("own").alias("best"), (mean / 1e9).alias("d3"), (F.col("dmin") / 1e9).alias("dmin"))
+
+
+def self_vs_rival(queries: DataFrame, gallery: DataFrame, qid: str, label: str, vec: str, slice_rows: int = SLICE) -> DataFrame:
+    """(qid, self_d, rival_d, rival): distance to the own identity's gallery and to the nearest other one (the smallest of equals)."""
+    g = Gallery(gallery, qid, label, vec, slice_rows)
+    asked = g.bounded(_queries(queries, qid, label, vec))
+    sides = lambda found: found.groupBy("q").agg(F.min(F.when(~F.col("other"), F.col("d"))).alias("s"), F.min(F.when(F.col("other"), F.struct("d", "l"))).alias("r"))      # noqa: E731
+    home = cut_lineage(g.compare(g.home(asked), 1))
+    up = cut_lineage(asked.join(sides(home), "q", "left"))
+    limit = lambda c: F.coalesce(F.col(c), F.lit(float("inf"))) / 1e9 + 1e-9      # noqa: E731
+    met = g.within(up, limit("r.d")).select("blk", "q", "own", "v").union(g.within(up, limit("s"), "own").select("blk", "q", "own", "v"))
+    both = sides(home.union(g.compare(met.dropDuplicates(["blk", "q"]), 1)))
+    return both.filter("s is not null or r is not null").select(
+        F.col("q").alias(qid), (F.col("s") / 1e9).alias("self_d"), (F.col("r.d") / 1e9).alias("rival_d"), F.col("r.l").alias("rival"))
 
 
 def loo_threshold(gallery: DataFrame, qid: str, label: str, vec: str, p: float = 0.75) -> DataFrame:
