@@ -2,7 +2,9 @@
 
 `ordered_state` is the common shape: rows of a key arrive in any order, wait in state until the watermark
 has passed them, and are then stepped in frame order through a small state machine. State per key is the
-machine plus the rows newer than the watermark, so it is bounded by the allowed lateness.
+machine plus the rows newer than the watermark, so it is bounded by the allowed lateness. Waiting rows are cells of
+their own, one for each short span of time, so a trigger writes the cells that got new rows, drops those that the
+watermark has passed, and leaves all others alone; timers wake a key when its next rows are due or its time is up.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from courtloom import constants as C
 from courtloom.operators import fusion
@@ -24,7 +26,7 @@ from courtloom.session import cut_lineage
 
 #: Event time of the rows that end a bounded replay; watermarks beyond LAST mean that all its rows are in.
 END = "2200-01-01 00:00:00"
-LAST = pd.Timestamp("2199-01-01")
+LAST_MS = int(pd.Timestamp("2199-01-01").timestamp() * 1000)
 
 
 def watermarked(stream: DataFrame, time: str, delay: str) -> DataFrame:
@@ -53,43 +55,99 @@ def event_time(frame: str, fps: float = C.FPS):
     return F.timestamp_micros(((F.col(frame) / F.lit(fps) + 86_400) * 1_000_000).cast("long"))
 
 
+#: State cells need the RocksDB provider; it is part of Spark.
+PROVIDER = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+NEVER = -1
+
+
+class FrameSteps(StatefulProcessor):
+    """Steps a machine through the complete frames of a key, in order.
+
+    State: `waiting`, a map from a span of `span_ms` to its rows that the watermark has not passed; `machine`, the stepper
+    and the time of the one timer that is set."""
+
+    def __init__(self, keys: list[str], time: str, order: str, columns: list[str], names: list[str], machine: Callable[[], object],
+                 step: Callable[[object, int, pd.DataFrame], list[tuple]], expire_ms: int, span_ms: int):
+        self.keys, self.time, self.order, self.columns, self.names = keys, time, order, columns, names
+        self.fresh_machine, self.step, self.expire_ms, self.span_ms = machine, step, expire_ms, span_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "span long", "rows binary")
+        self.machine = handle.getValueState("machine", "stepper binary, timer long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            due = batch[self.time].to_numpy().astype("datetime64[ms]").astype("int64")
+            for span in np.unique(due // self.span_ms).tolist():
+                own = due // self.span_ms == span
+                cells = list(zip(due[own].tolist(), *[batch.loc[own, c].tolist() for c in self.columns], strict=True))
+                held = self.waiting.getValue((span,))
+                self.waiting.updateValue((span,), (pickle.dumps(pickle.loads(held[0]) + cells if held is not None else cells),))
+        yield self._advance(key, timerValues.getCurrentWatermarkInMs(), True)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._advance(key, timerValues.getCurrentWatermarkInMs(), False)
+
+    def _ready(self, mark: int) -> tuple[list[tuple], int | None]:
+        """(rows before `mark`, time of the first row that goes on waiting); passed spans are dropped."""
+        ready, left = [], None
+        for span in sorted(s for (s,) in self.waiting.keys()):
+            if span * self.span_ms >= mark:
+                return ready, min(r[0] for r in pickle.loads(self.waiting.getValue((span,))[0]))
+            cells = pickle.loads(self.waiting.getValue((span,))[0])
+            later = [r for r in cells if r[0] >= mark]
+            ready += [r for r in cells if r[0] < mark]
+            if later:
+                if len(later) < len(cells):
+                    self.waiting.updateValue((span,), (pickle.dumps(later),))
+                return ready, min(r[0] for r in later)
+            self.waiting.removeKey((span,))
+        return ready, left
+
+    def _advance(self, key: tuple, mark: int, fresh: bool) -> pd.DataFrame:
+        ready, first = self._ready(mark)
+        held = self.machine.get() if self.machine.exists() else None
+        stepper, timer = (pickle.loads(held[0]), held[1]) if held is not None else (self.fresh_machine(), NEVER)
+        out: list[tuple] = []
+        if ready:
+            rows = pd.DataFrame([r[1:] for r in ready], columns=self.columns)
+            for frame, part in rows.groupby(self.order, sort=True):
+                out += self.step(stepper, int(frame), part)
+        silent = first is None and not ready and not fresh
+        if first is None and (mark >= LAST_MS or (silent and timer <= mark)):
+            self._wake(timer, NEVER)
+            self.machine.clear()                # silent for the retention time, or the end: forget the key
+        else:
+            at = max(first, mark) + 1 if first is not None else timer if silent else mark + self.expire_ms
+            self._wake(timer, at)
+            if ready or held is None or at != timer:
+                self.machine.update((pickle.dumps(stepper), at))
+        frame = pd.DataFrame(out, columns=self.names)
+        for k, v in zip(self.keys, key, strict=True):
+            frame[k] = v
+        return frame[[*self.keys, *self.names]]
+
+    def _wake(self, timer: int, at: int) -> None:
+        if at != timer:
+            if timer != NEVER:
+                self.handle.deleteTimer(timer)
+            if at != NEVER:
+                self.handle.registerTimer(at)
+
+
 def ordered_state(stream: DataFrame, keys: Sequence[str], time: str, order: str, machine: Callable[[], object],
-                  step: Callable[[object, int, pd.DataFrame], list[tuple]], schema: str, delay: str, expire_ms: int = 600_000) -> DataFrame:
+                  step: Callable[[object, int, pd.DataFrame], list[tuple]], schema: str, delay: str, expire_ms: int = 600_000, span_ms: int = 10_000) -> DataFrame:
     """Step `machine` over complete frames in order. `step(state, frame, rows)` returns output tuples. A key that stays
     silent for `expire_ms` (a chunk's length by default) is forgotten, at the latest when the end mark has passed."""
     keys = list(keys)
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
     names = [p.split()[0] for p in schema.split(", ")]
     head = ", ".join(f"{k} {kinds[k]}" for k in keys)
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stepper, waiting = pickle.loads(state.get[0]) if state.exists else (machine(), None)
-        fresh = [b for b in batches if len(b)]
-        waiting = pd.concat([w for w in ([waiting] if waiting is not None else []) + fresh]) if fresh or waiting is not None else None
-        mark = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
-        out: list[tuple] = []
-        if waiting is not None and len(waiting):
-            ready = waiting[waiting[time] < mark]
-            waiting = waiting[waiting[time] >= mark]
-            for f, rows in ready.groupby(order, sort=True):
-                out += step(stepper, int(f), rows)
-        if waiting is not None and len(waiting):
-            state.update((pickle.dumps((stepper, waiting)),))
-            first = int(waiting[time].min().timestamp() * 1000)
-            state.setTimeoutTimestamp(max(first, int(mark.timestamp() * 1000)) + 1)
-        elif mark >= LAST or (state.hasTimedOut and not fresh and not out):
-            if state.exists:
-                state.remove()                           # silent for the retention time, or the end: forget the key
-        else:
-            state.update((pickle.dumps((stepper, None)),))
-            state.setTimeoutTimestamp(int(mark.timestamp() * 1000) + expire_ms)
-        frame = pd.DataFrame(out, columns=names)
-        for k, v in zip(keys, key):
-            frame[k] = v
-        yield frame[[*keys, *names]]
-
-    return watermarked(stream, time, delay).groupBy(*keys).applyInPandasWithState(
-        run, f"{head}, {schema}", "blob binary", "append", GroupStateTimeout.EventTimeTimeout)
+    stream.sparkSession.conf.set(*PROVIDER)
+    columns = [c for c in stream.columns if c not in (*keys, time)]
+    steps = FrameSteps(keys, time, order, columns, names, machine, step, expire_ms, span_ms)
+    return watermarked(stream, time, delay).groupBy(*keys).transformWithStateInPandas(steps, f"{head}, {schema}", "append", "EventTime")
 
 
 # --- trackers -------------------------------------------------------------------------------------------------

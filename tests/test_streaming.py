@@ -2,6 +2,8 @@
 
 import random
 
+import pandas as pd
+
 from courtloom.operators import tracking as T
 from courtloom.streaming import stateful as Z
 
@@ -48,3 +50,105 @@ def test_reads_stop_after_the_claim(spark, tmp_path):
     df = spark.createDataFrame(rows, "game long, cam long, track_id long, frame long, num double, conf double, contact boolean").withColumn("ts", Z.event_time("frame"))
     out = Z.run_available(Z.triggered_reads(as_stream(spark, df, tmp_path), heartbeat=30, burst=3), str(tmp_path / "o"))
     assert [r.frame for r in out.filter("game = 0").orderBy("frame").collect()] == [0, 1, 20, 21, 22, 23]
+
+
+class Cells:
+    """Keyed state in memory, counting the bytes that are written."""
+
+    def __init__(self, count):
+        self.values, self.count, self.value = {}, count, None
+
+    def getValue(self, key):
+        return self.values.get(key)
+
+    def updateValue(self, key, value):
+        self.count["bytes"] += len(value[0])
+        self.values[key] = value
+
+    def removeKey(self, key):
+        del self.values[key]
+
+    def keys(self):
+        return iter(list(self.values))
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.count["bytes"] += len(value[0])
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+class Handle:
+    def __init__(self):
+        self.count, self.timers, self.cells = {"bytes": 0}, set(), {}
+
+    def getMapState(self, name, *_):
+        return self.cells.setdefault(name, Cells(self.count))
+
+    getValueState = getMapState
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+
+class Mark:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):
+        return self.at
+
+
+def steps_of(handle, step=lambda s, f, rows: [(f, len(rows))], expire=60_000):
+    steps = Z.FrameSteps(["game"], "ts", "frame", ["frame", "x"], ["at", "n"], list, step, expire, 1000)
+    steps.init(handle)
+    return steps
+
+
+def frames(numbers, wide=50):
+    return pd.DataFrame({"game": 0, "ts": pd.to_datetime([f * 100 for f in numbers], unit="ms"), "frame": list(numbers), "x": ["x" * wide] * len(numbers)})
+
+
+def test_a_trigger_writes_what_is_new(spark):
+    """Rows wait for a watermark that is far behind; the bytes of a trigger follow its own rows and not those that wait."""
+    handle, written = Handle(), []
+    steps = steps_of(handle)
+    for k in range(20):
+        before = handle.count["bytes"]
+        out = list(steps.handleInputRows((0,), iter([frames(range(100 * k, 100 * k + 100))]), Mark(0)))
+        assert not len(out[0])
+        written.append(handle.count["bytes"] - before)
+    assert max(written) < 1.2 * min(written)
+    before = handle.count["bytes"]
+    (out,) = steps.handleExpiredTimer((0,), Mark(150_050), None)
+    assert out["at"].tolist() == list(range(1501)) and handle.count["bytes"] - before < max(written)      # one span is split, the machine is written
+    assert len(handle.timers) == 1 and sorted(handle.cells["waiting"].values) == [(k,) for k in range(150, 200)]
+
+
+def test_rows_in_any_order_are_stepped_once_and_keys_are_forgotten(spark):
+    rng = random.Random(1)
+    numbers = list(range(300))
+    rng.shuffle(numbers)
+    handle, seen = Handle(), []
+    steps = steps_of(handle)
+    for k in range(0, 300, 60):
+        part = numbers[k : k + 60]
+        seen += list(steps.handleInputRows((0,), iter([frames(part[:30]), frames(part[30:])]), Mark(-1 if k < 240 else 15_000)))[0]["at"].tolist()
+    assert seen == list(range(150))
+    at = min(handle.timers)
+    seen += list(steps.handleExpiredTimer((0,), Mark(40_000), None))[0]["at"].tolist()
+    assert seen == list(range(300)) and not handle.cells["waiting"].values and at not in handle.timers
+    (retire,) = handle.timers
+    assert handle.cells["machine"].exists() and not len(list(steps.handleExpiredTimer((0,), Mark(retire - 1), None))[0]) and handle.cells["machine"].exists()
+    list(steps.handleExpiredTimer((0,), Mark(retire), None))
+    assert not handle.cells["machine"].exists() and not handle.timers
