@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
@@ -11,8 +12,11 @@ from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
+from courtloom.operators import ordered as O
 from courtloom.operators.scoring import count_if
+from courtloom.session import cut_lineage
 
 
 def fit(train: DataFrame, features: Sequence[str], label: str = "label", depth: int = 4, rounds: int = 20, seed: int = 42):
@@ -46,22 +50,60 @@ def best_threshold(curve: DataFrame) -> DataFrame:
     return curve.agg(F.max(F.struct("score", (-F.col("thr")).alias("nt"))).alias("b")).select((-F.col("b.nt")).alias("thr"), F.col("b.score").alias("score"))
 
 
-def class_accuracy(pred: DataFrame, threshold: DataFrame, cls: str) -> DataFrame:
-    """Accuracy per class and in total at the chosen threshold (one row)."""
+def area_under_curve(pred: DataFrame, keys: Sequence[str], prob: str = "prob", label: str = "label", steps: float = 1e9) -> DataFrame:
+    """(keys, auc): the share of pairs of a positive and a negative row that the score puts in order, ties half.
+
+    Rows become counts for each score first (to nine places); the ranks are running sums over those in blocks, so no key is
+    sorted in one task, and all sums are whole numbers. Null where a key has rows of one label only."""
+    keys = list(keys)
+    score = F.floor(F.col(prob) * steps + 0.5).cast("long")
+    counts = pred.groupBy(*keys, score.alias("_s")).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.sum(1 - F.col(label).cast("long")).alias("neg"))
+    ranked = O.running_sum(counts, keys, "_s", F.col("neg"), "upto", int(steps) // 256)
+    sums = ranked.groupBy(*keys).agg(F.sum(F.col("pos") * (2 * F.col("upto") - F.col("neg"))).alias("twice"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return sums.select(*keys, F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("twice") / (2.0 * F.col("p") * F.col("n"))).alias("auc"))
+
+
+def held_out_predictions(df: DataFrame, features: Sequence[str], keep: Sequence[str], max_models: int = 16, parallel: int = 4, **how) -> DataFrame:
+    """(game, keep, label, prob, thr): every row scored by a model that has not seen its game, with the threshold that was best
+    on the validation rows of that model's own games.
+
+    Each game is held out in turn; beyond `max_models` games they are dealt to that many groups by a hash, and a group is
+    held out together. `parallel` models train at a time, over one checkpoint of the rows."""
+    spark = df.sparkSession
+    games = df.select("game").distinct().limit(max_models + 1).collect()      # bounded by max_models
+    if len(games) <= max_models:
+        order = F.array(*[F.lit(g) for g in sorted(r["game"] for r in games)]) if games else F.array()
+        fold, n = F.array_position(order, F.col("game")) - 1, len(games)
+    else:
+        fold, n = F.pmod(F.xxhash64("game"), F.lit(max_models)), max_models
+    rows = cut_lineage(df.withColumn("_fold", fold.cast("int")))
+
+    def held_out(k: int) -> DataFrame:
+        others = rows.filter(F.col("_fold") != k)
+        model = fit(others.filter("split = 'train'"), features, **how)
+        thr = best_threshold(threshold_curve(predict(model, others.filter("split <> 'train'"), ["label"])))
+        return predict(model, rows.filter(F.col("_fold") == k), ["game", *keep, "label"]).join(F.broadcast(thr.select("thr")))      # one row
+
+    with ThreadPool(max(1, min(parallel, n))) as pool:
+        parts = pool.map(inheritable_thread_target(spark)(held_out), range(n))
+    empty = rows.limit(0).select("game", *keep, "label", F.lit(0.0).alias("prob"), F.lit(0.0).alias("thr"))
+    return reduce(DataFrame.unionByName, parts, empty)
+
+
+def accuracy_by_game(pred: DataFrame, cls: str) -> DataFrame:
+    """(game, cls, n, correct, thr): accuracy of held-out predictions per game and class, with a null class for the whole game."""
     hit = (F.col("prob") >= F.col("thr")).cast("long") == F.col("label")
-    return pred.join(F.broadcast(threshold)).rollup(cls).agg(F.count(F.lit(1)).alias("n"), count_if(hit).alias("correct"), F.max("thr").alias("thr"))
+    sets = pred.groupingSets([["game", cls], ["game"]], "game", cls)
+    return sets.agg(F.count(F.lit(1)).alias("n"), count_if(hit).alias("correct"), F.max("thr").alias("thr"))
 
 
-def leave_one_game_out(df: DataFrame, game, features: Sequence[str], keep: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(predictions of the held-out game, threshold chosen on the other games' validation rows)."""
-    others = df.filter(F.col("game") != game)
-    model = fit(others.filter("split = 'train'"), features)
-    thr = best_threshold(threshold_curve(predict(model, others.filter("split <> 'train'"), ["label"])))
-    return predict(model, df.filter(F.col("game") == game), keep), thr
-
-
-def accuracy_by_game(df: DataFrame, features: Sequence[str], cls: str) -> DataFrame:
-    """class_accuracy of every game, each held out in turn (one model for each game; games are few)."""
-    games = sorted(r.game for r in df.select("game").distinct().collect())
-    parts = [class_accuracy(*leave_one_game_out(df, g, features, [cls, "label"]), cls).select(F.lit(g).alias("game"), "*") for g in games]
-    return reduce(DataFrame.unionByName, parts)
+def model_report(pred: DataFrame) -> DataFrame:
+    """(game, n, accuracy, precision, recall, auc, thr) of held-out predictions; precision and recall are 0 where they have
+    no rows."""
+    called, label = F.col("prob") >= F.col("thr"), F.col("label") == 1
+    zero = F.lit(0.0)
+    g = pred.groupBy("game").agg(F.count(F.lit(1)).alias("n"), count_if(called == label).alias("right"), count_if(called & label).alias("tp"),
+                                 count_if(called).alias("called"), count_if(label).alias("pos"), F.max("thr").alias("thr"))
+    share = lambda over: F.when(F.col(over) > 0, F.col("tp") / F.col(over)).otherwise(zero)      # noqa: E731
+    report = g.select("game", "n", (F.col("right") / F.col("n")).alias("accuracy"), share("called").alias("precision"), share("pos").alias("recall"), "thr")
+    return report.join(area_under_curve(pred, ["game"]), "game")

@@ -13,11 +13,11 @@ from courtloom.operators import shot_model as M
 from courtloom.operators import votes as W
 from courtloom.plans import adapters as A
 from courtloom.plans.q_columns import DIST_SQL, IOU_SQL
-from courtloom.plans.q_joins import SWEEP_SQL
+from courtloom.plans.q_joins import SWEEP_SQL, numbered_streams
 from courtloom.plans.q_tracking import BALL_SQL
 from courtloom.plans.q_windows import RLE_SQL, XCORR_SQL
 from courtloom.plans.registry import query
-from courtloom.session import scratch_path
+from courtloom.session import cut_lineage, scratch_path
 from courtloom.streaming import stateful as T
 
 col = F.col
@@ -154,12 +154,29 @@ def _(spark, sf):
     return providers.apply_provider(A.raw_detections(spark, sf).select("game", "cam", "frame", "pk", "y1", "y2"), "tall")
 
 
-@query("evt24_make_miss_model", "game kit:s n correct thr:k")
-def _(spark, sf):
+def shot_predictions(spark, sf):
     d = A.raw_detections(spark, sf).selectExpr(
         "game", "kit", "case when frame % 5 = 0 then 'val' else 'train' end as split", "cast(x1 as double) as f1", "case when pk % 6 > 0 then y1 end as f2", "score as f3",
         "case when x1 + y1 > 320 then 1 else 0 end as label")
-    return M.accuracy_by_game(d, ["f1", "f2", "f3"], "kit")
+    return M.held_out_predictions(d, ["f1", "f2", "f3"], ["kit"])
+
+
+@query("evt24_make_miss_model", "game kit:s n correct thr:k")
+def _(spark, sf):
+    return M.accuracy_by_game(shot_predictions(spark, sf), "kit")
+
+
+@query("evt24b_model_report", "game n accuracy:k precision:k recall:k auc:k thr:k")
+def _(spark, sf):
+    return M.model_report(cut_lineage(shot_predictions(spark, sf)))
+
+
+@query("evt24c_score_auc", "game cam auc:k", "raw", """with p as (select game, cam, floor(score * 1e9 + 5e-1) as s, case when x1 + y1 > 320 then 1 else 0 end as label from raw),
+  c as (select game, cam, s, sum(label) as pos, sum(1 - label) as neg from p group by all), r as (select *, sum(neg) over (partition by game, cam order by s) as upto from c)
+  select game, cam, sum(pos * (2 * upto - neg)) / (2e0 * sum(pos) * sum(neg)) as auc from r group by game, cam having sum(pos) > 0 and sum(neg) > 0""")
+def _(spark, sf):
+    d = A.raw_detections(spark, sf).selectExpr("game", "cam", "score as prob", "case when x1 + y1 > 320 then 1 else 0 end as label")
+    return M.area_under_curve(d, ["game", "cam"]).filter("auc is not null")
 
 
 OFFSET_SQL = f"""with cv as ({XCORR_SQL[:XCORR_SQL.rindex('select game, cam, chunk, lag, peak')]} select * from c),
@@ -184,7 +201,7 @@ def _(spark, sf):
   select b.game, b.cam, b.d, b.median_cm, b.n, rival / median_cm as margin from b join v using (game, cam)""")
 def _(spark, sf):
     from courtloom.operators import sync
-    return sync.best_residual(sync.read_lag_sweep(A.stream_points(spark, sf), 0, sweep=10, tol=1, min_pairs=20))
+    return sync.best_residual(sync.read_lag_sweep(numbered_streams(spark, sf), 0, sweep=10, tol=1, min_pairs=20))
 
 
 @query("agg32b_leave_one_out_threshold", "threshold:k", "", """with e as (select vec_id, label, embedding::double[] as v from embeddings), u as (select vec_id, label, list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-8)) as v from e),
