@@ -15,34 +15,35 @@ from courtloom.session import cut_lineage
 
 
 # --- cross-camera team agreement ---------------------------------------------------------------------------
-def isolated_pairs(base: DataFrame, other: DataFrame, near: float = 80.0, clear: float = 180.0) -> DataFrame:
-    """Pairs of the same spot on court seen by two cameras with no second candidate close by.
+def isolated_pairs(tracks: DataFrame, near: float = 80.0, clear: float = 180.0) -> DataFrame:
+    """Pairs of the same spot on court seen by two cameras with no second candidate close by, for every pair of cameras
+    (cam1 < cam2).
 
-    One row per base track and frame that has such a partner; both sides hold team A/B rows only.
+    One row per track of cam1 and frame that has such a partner; team A/B rows only.
     """
-    players = F.col("team").isin("A", "B")
-    a = base.filter(players).select("game", "frame", F.col("track_id").alias("t1"), F.col("team").alias("team1"), "cx", "cy")
-    b = other.filter(players).select("game", "frame", F.col("track_id").alias("t2"), F.col("team").alias("team2"),
-                                     F.col("cx").alias("rx"), F.col("cy").alias("ry"))
-    pairs = a.join(b, ["game", "frame"]).withColumn("dist", G.distance(F.col("cx"), F.col("cy"), F.col("rx"), F.col("ry")))
-    w = Window.partitionBy("game", "frame", "t1").orderBy("dist", "t2")       # tracks of one camera and frame
+    players = tracks.filter(F.col("team").isin("A", "B"))
+    a = players.select("game", "frame", F.col("cam").alias("cam1"), F.col("track_id").alias("t1"), F.col("team").alias("team1"), "cx", "cy")
+    b = players.select("game", "frame", F.col("cam").alias("cam2"), F.col("track_id").alias("t2"), F.col("team").alias("team2"),
+                       F.col("cx").alias("rx"), F.col("cy").alias("ry"))
+    pairs = a.join(b, ["game", "frame"]).filter("cam1 < cam2").withColumn("dist", G.distance(F.col("cx"), F.col("cy"), F.col("rx"), F.col("ry")))
+    w = Window.partitionBy("game", "frame", "cam1", "cam2", "t1").orderBy("dist", "t2")       # tracks of one camera and frame
     ranked = pairs.withColumn("rn", F.row_number().over(w)).withColumn("second", F.lead("dist").over(w))
     return ranked.filter((F.col("rn") == 1) & (F.col("dist") <= near) & (F.col("second").isNull() | (F.col("second") >= clear))).drop(
         "rn", "second", "cx", "cy", "rx", "ry")
 
 
 def flip_decision(pairs: DataFrame) -> DataFrame:
-    """Per game: does the second camera use the letters the other way round?"""
+    """Per game and pair of cameras: does the second camera use the letters the other way round?"""
     same = F.sum((F.col("team1") == F.col("team2")).cast("long"))
     flip = F.sum((F.col("team1") != F.col("team2")).cast("long"))
-    return pairs.groupBy("game").agg(same.alias("same"), flip.alias("flip")).withColumn("flipped", F.col("flip") > F.col("same"))
+    return pairs.groupBy("game", "cam1", "cam2").agg(same.alias("same"), flip.alias("flip")).withColumn("flipped", F.col("flip") > F.col("same"))
 
 
 def team_repair(pairs: DataFrame, min_votes: int = 8, min_share: float = 0.8) -> DataFrame:
-    """Tracks whose cross-camera partners consistently wear one letter: (side, track) -> team."""
-    one = pairs.select("game", F.lit(1).alias("side"), F.col("t1").alias("track_id"), F.col("team2").alias("team"), "frame")
-    two = pairs.select("game", F.lit(2).alias("side"), F.col("t2").alias("track_id"), F.col("team1").alias("team"), "frame")
-    keys = ["game", "side", "track_id"]
+    """Tracks whose partners in one other camera consistently wear one letter: (cam1, cam2, side, track) -> team."""
+    one = pairs.select("game", "cam1", "cam2", F.lit(1).alias("side"), F.col("t1").alias("track_id"), F.col("team2").alias("team"), "frame")
+    two = pairs.select("game", "cam1", "cam2", F.lit(2).alias("side"), F.col("t2").alias("track_id"), F.col("team1").alias("team"), "frame")
+    keys = ["game", "cam1", "cam2", "side", "track_id"]
     votes = one.unionByName(two).groupBy(*keys, "team").agg(F.count(F.lit(1)).alias("c"), F.min("frame").alias("f"))
     top = votes.groupBy(*keys).agg(F.sum("c").alias("n"), F.max(F.struct("c", -F.col("f"), "team")).alias("b"))
     keep = (F.col("b.c") >= min_votes) & (F.col("b.c") / F.col("n") >= min_share)
@@ -58,20 +59,40 @@ def seed_reads(reads: DataFrame, person: Sequence[str], cam: str, min_reads: int
     return seeds.join(enough, person, "left_semi").select(*person, cam, F.col("b.frame").alias("seed_frame"), F.col(f"b.{rid}").alias(rid))
 
 
-def best_common_seed(reads: DataFrame, boxes: DataFrame, rid: str, near: int = 15, every: int = 5, iou_attach: float = 0.4) -> DataFrame:
-    """Per camera the frame (every `every`-th) with most read-confirmed players; a box belongs to the read
-    nearest in time. Reads visit the 2*near+1 frames around them."""
-    samples = boxes.filter(F.col("frame") % every == 0).select(
-        "game", "cam", "frame", "det_idx", *[F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")])
-    reach = reads.select("game", "cam", F.col("frame").alias("rf"), rid, "num", "x1", "y1", "x2", "y2",
-                         F.explode(F.sequence(F.col("frame") - near, F.col("frame") + near)).alias("frame"))
+def seed_claims(reads: DataFrame, boxes: DataFrame, rid: str, near: int = 15, every: int = 5, iou_attach: float = 0.4, iou_claimed: float = 0.5,
+                together: int = 4) -> DataFrame:
+    """(game, cam, frame, num, wearer, rid, det_idx): who stands where in each `every`-th frame, by the reads within `near`
+    frames. Reads visit those frames and claim their best box, nearest in time first (ties: earlier read, then smaller id).
+
+    A claim is exclusive: a read whose box overlaps a claimed one by more than `iou_claimed` gets none. A number may be worn
+    twice, once in either team: a second claim of it must come from a read within `together` frames of the first one's;
+    `wearer` numbers the claims of a number in the order of their reads (0, 1). The fold holds the reads of one camera
+    around one frame."""
+    edges = ("x1", "y1", "x2", "y2")
+    samples = boxes.filter(F.col("frame") % every == 0).select("game", "cam", "frame", "det_idx", *[F.col(c).alias(f"b_{c}") for c in edges])
+    reach = reads.select("game", "cam", F.col("frame").alias("rf"), rid, "num", *edges, F.explode(F.sequence(F.col("frame") - near, F.col("frame") + near)).alias("frame"))
     pairs = reach.filter(F.col("frame") % every == 0).join(samples, list(FRAME))
     pairs = pairs.withColumn("iou", G.iou(G.Box.of(), G.Box.of("b_"))).filter(F.col("iou") >= iou_attach)
-    best = pairs.groupBy(*FRAME, "rf", rid, "num").agg(F.max(F.struct("iou", -F.col("det_idx"))).alias("b"))
-    best = best.select(*FRAME, "rf", rid, "num", (-F.col("b.col2")).alias("det_idx"))
-    owner = best.groupBy(*FRAME, "det_idx").agg(
-        F.min(F.struct(F.abs(F.col("rf") - F.col("frame")).alias("gap"), F.col("rf"), F.col(rid), F.col("num"))).alias("b"))
-    count = owner.groupBy(*FRAME).agg(F.countDistinct("b.num").alias("n"))
+    best = pairs.groupBy(*FRAME, "rf", rid, "num").agg(F.max(F.struct("iou", -F.col("det_idx"), *[F.col(f"b_{c}") for c in edges])).alias("b"))
+    claim = F.struct(F.abs(F.col("rf") - F.col("frame")).alias("gap"), "rf", F.col(rid).alias("rid"), "num", (-F.col("b.col2")).alias("det_idx"), *[F.col(f"b.b_{c}").alias(c) for c in edges])
+    lists = best.groupBy(*FRAME).agg(F.sort_array(F.collect_list(claim)).alias("_r"))
+
+    def step(taken: Column, r: Column) -> Column:
+        same = F.filter(taken, lambda t: t["num"] == r["num"])
+        box = lambda t: G.Box(*[t[c] for c in edges])      # noqa: E731
+        free = ~F.exists(taken, lambda t: G.iou(box(t), box(r)) > iou_claimed)
+        fits = (F.size(same) == 0) | ((F.size(same) == 1) & (F.abs(F.get(same, F.lit(0))["rf"] - r["rf"]) <= together))
+        return F.when(free & fits, F.concat(taken, F.array(r))).otherwise(taken)
+
+    kept = lists.select(*FRAME, F.aggregate("_r", F.slice("_r", 1, 0), step).alias("_t"))
+    earlier = F.expr("size(filter(_t, (t, k) -> t.num = c.num and (t.rf < c.rf or (t.rf = c.rf and k < at))))")
+    flat = kept.select(*FRAME, "_t", F.posexplode("_t").alias("at", "c"))
+    return flat.select(*FRAME, "c.num", earlier.alias("wearer"), F.col("c.rid").alias(rid), "c.det_idx")
+
+
+def best_common_seed(reads: DataFrame, boxes: DataFrame, rid: str, near: int = 15, every: int = 5, iou_attach: float = 0.4, together: int = 4) -> DataFrame:
+    """Per camera the frame (every `every`-th) in which most players are confirmed by exclusive claims of reads; the earliest of equal ones."""
+    count = seed_claims(reads, boxes, rid, near, every, iou_attach, together=together).groupBy(*FRAME).agg(F.count(F.lit(1)).alias("n"))
     top = count.groupBy("game", "cam").agg(F.max(F.struct("n", -F.col("frame"))).alias("b"))
     return top.select("game", "cam", (-F.col("b.col2")).alias("frame"), F.col("b.n").alias("n_players"))
 
@@ -190,8 +211,11 @@ def tracklet_candidates(spans: DataFrame, keys: Sequence[str], gid: str, max_gap
     return pairs.select(*keys, "ga", "gb", "gap", "dist", (F.col("dist") + 0.5 * F.col("gap")).alias("cost"))
 
 
-def fragment_ends(rows: DataFrame, keys: Sequence[str], tid: str, tail: int = 8) -> DataFrame:
-    """First and last point, class and end velocity (over the last `tail` rows) of each fragment."""
+def fragment_ends(rows: DataFrame, keys: Sequence[str], tid: str, tail: int = 8, number: str | None = None) -> DataFrame:
+    """First and last point, class and end velocity (over the last `tail` rows) of each fragment; with `number` (a column of
+    reads, null without one) also the number most often read in it."""
+    from courtloom.operators.linking import committed_numbers
+
     keys = [*keys, tid]
     w = Window.partitionBy(*keys).orderBy(F.desc("frame"))          # rows of one fragment inside a chunk
     r = rows.withColumn("_rd", F.row_number().over(w))
@@ -200,20 +224,30 @@ def fragment_ends(rows: DataFrame, keys: Sequence[str], tid: str, tail: int = 8)
     g = r.groupBy(*keys).agg(
         F.min("frame").alias("first"), F.max("frame").alias("last"), F.min_by("class_id", "frame").alias("class_id"), F.min_by(point, F.col("frame")).alias("head"),
         F.max_by(point, F.col("frame")).alias("end"), F.min_by(point, late).alias("_t"), F.greatest(F.least(F.count(F.lit(1)), F.lit(tail)) - 1, F.lit(1)).alias("_n"))
-    return g.withColumn("vx", (F.col("end.px") - F.col("_t.px")) / F.col("_n")).withColumn("vy", (F.col("end.py") - F.col("_t.py")) / F.col("_n")).drop("_t", "_n")
+    ends = g.withColumn("vx", (F.col("end.px") - F.col("_t.px")) / F.col("_n")).withColumn("vy", (F.col("end.py") - F.col("_t.py")) / F.col("_n")).drop("_t", "_n")
+    if number is None:
+        return ends
+    return ends.join(committed_numbers(rows, keys, number, "frame").withColumnRenamed(number, "number").drop("votes"), keys, "left")
 
 
 def fragment_links(ends: DataFrame, keys: Sequence[str], tid: str, max_gap: int = 150, base: float = 60.0, per_frame: float = 6.0, cap: float = 420.0,
-                   look: DataFrame | None = None, min_cos: float = 0.55) -> DataFrame:
+                   look: DataFrame | None = None, min_cos: float = 0.55, one_number: bool = True, finish_below: int = 50_000) -> DataFrame:
     """Link fragments of a camera: extrapolated end near the next start, same class, one tail to one head.
-    With `look` (keys, ga, gb, cos) appearance gates and ranks the pairs, else distance does."""
-    from courtloom.operators.joins import greedy_match
+    With `look` (keys, ga, gb, cos) appearance gates and ranks the pairs, else distance does.
+
+    Fragments with different committed numbers (column `number` of `ends`, if there is one) are never linked. With
+    `one_number` that holds for whole chains: a link that would join two numbers through fragments without one is refused
+    as well. Pairs are taken best first in parallel rounds (`linking.chain_links`), so keys may span a whole game.
+    """
+    from courtloom.operators.linking import chain_links, conflicting
 
     keys = list(keys)
-    a = ends.select(*keys, F.col(tid).alias("ga"), "last", "class_id", "end", "vx", "vy").withColumn(
+    known = F.col("number") if "number" in ends.columns else F.lit(None).cast("long")
+    a = ends.select(*keys, F.col(tid).alias("ga"), "last", "class_id", "end", "vx", "vy", known.alias("na")).withColumn(
         "_b", F.explode(F.array(F.floor(F.col("last") / max_gap), F.floor(F.col("last") / max_gap) + 1)))
-    b = ends.select(*keys, F.col(tid).alias("gb"), "first", "class_id", "head").withColumn("_b", F.floor(F.col("first") / max_gap))
+    b = ends.select(*keys, F.col(tid).alias("gb"), "first", "class_id", "head", known.alias("nb")).withColumn("_b", F.floor(F.col("first") / max_gap))
     pairs = a.join(b, [*keys, "class_id", "_b"]).withColumn("gap", F.col("first") - F.col("last")).filter("ga <> gb and gap > 0").filter(F.col("gap") <= max_gap)
+    pairs = pairs.filter(~conflicting(F.col("na"), F.col("nb")))
     ahead = F.least("gap", F.lit(30))
     d = G.distance(F.col("end.px") + F.col("vx") * ahead, F.col("end.py") + F.col("vy") * ahead, F.col("head.px"), F.col("head.py"))
     near = pairs.withColumn("dist", d).filter(F.col("dist") <= F.least(base + per_frame * F.col("gap"), F.lit(cap)))
@@ -221,4 +255,4 @@ def fragment_links(ends: DataFrame, keys: Sequence[str], tid: str, max_gap: int
     if look is not None:
         near = near.join(look, [*keys, "ga", "gb"]).filter(F.col("cos") >= min_cos)
         rank = F.floor((F.col("dist") / 1000 - F.col("cos")) * 1e9 + 0.5)
-    return greedy_match(near, keys, "ga", "gb", [rank, F.col("ga"), F.col("gb")])
+    return chain_links(near, keys, "ga", "gb", [rank], ("na", "nb") if one_number else None, finish_below)
