@@ -1,14 +1,15 @@
 """The driver's parquet tables seen through the observation data model.
 
 Every view exists twice from one set of expressions: as a DataFrame and as a DuckDB CTE for the oracle.
-All views read whole tables. Keys that must be unique (one detection per camera, frame and slot) are made
-so by `best_per`, a combinable aggregate, which also bounds every later per-frame group.
+All views read whole tables. Detections, tracks, streams and world rows keep every row: rows that fall into one slot of
+a frame are told apart by further slot numbers (`_numbered`). Only the two ball views choose: the best ball of a frame.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from courtloom.operators.ordered import best_per
 
@@ -62,30 +63,32 @@ def raw_detections(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "lineitem").selectExpr(*RAW).selectExpr(*DET)
 
 
-def _unique(df: DataFrame, keys: list[str]) -> DataFrame:
-    return best_per(df, keys, _RANK, [c for c in _RANK if c not in keys])
+def _numbered(df: DataFrame, keys: list[str], slot: str, step: int, rank: list[str]) -> DataFrame:
+    """The k-th row of a slot, by `rank`, goes to slot + k * step: every row stays and (keys, slot) is unique. `step` is
+    above the plain slot numbers."""
+    w = Window.partitionBy(*keys, slot).orderBy(*[F.desc(c) for c in rank])
+    return df.withColumn(slot, F.col(slot) + step * (F.row_number().over(w) - 1))
 
 
 def detections(spark: SparkSession, sf: str) -> DataFrame:
-    """At most 32 slots per (game, cam, frame)."""
+    """32 plain slots per (game, cam, frame)."""
     raw = _table(spark, sf, "lineitem").selectExpr(*RAW)
-    return _unique(raw, ["game", "cam", "frame", "det_idx"]).selectExpr(*DET)
+    return _numbered(raw, ["game", "cam", "frame"], "det_idx", 32, _RANK).selectExpr(*DET)
 
 
 def tracks(spark: SparkSession, sf: str) -> DataFrame:
-    """Per-camera track rows: at most 10 ids per (game, cam, frame), classes 0/1."""
+    """Per-camera track rows: 10 plain ids per (game, cam, frame), classes 0/1."""
     raw = _table(spark, sf, "lineitem").selectExpr(*RAW).filter("class_id < 2")
     raw = raw.withColumn("track_id", F.expr("pk % 10"))
-    return _unique(raw, ["game", "cam", "frame", "track_id"]).selectExpr(
+    return _numbered(raw, ["game", "cam", "frame"], "track_id", 10, _RANK).selectExpr(
         "track_id", "cast(0 as bigint) as det_idx", *[e for e in DET if e != "det_idx"]
     )
 
 
 def streams(spark: SparkSession, sf: str) -> DataFrame:
-    """Identity streams: one box per (game, cam, frame, sid), at most 20 sids."""
-    raw = _table(spark, sf, "lineitem").selectExpr(*RAW).filter("class_id < 2").selectExpr("*", *STREAM_KEY)
-    top = best_per(raw, ["game", "cam", "frame", "sid"], STREAM_RANK, STREAM_RANK)
-    return top.selectExpr("sid", *DET)
+    """Identity streams: one box per (game, cam, frame, sid), 20 plain sids (number and kit)."""
+    raw = _table(spark, sf, "lineitem").selectExpr(*RAW).filter("class_id < 2").selectExpr("*", *STREAM_SLOT)
+    return _numbered(raw, ["game", "cam", "frame", "dress"], "slot", 10, STREAM_RANK).selectExpr(*STREAM_KEY, *DET)
 
 
 def stream_points(spark: SparkSession, sf: str) -> DataFrame:
@@ -101,23 +104,22 @@ def ball(spark: SparkSession, sf: str) -> DataFrame:
     return top.selectExpr(*DET).selectExpr("*", "(x1 + x2) / 2 as ball_x", "(y1 + y2) / 2 as ball_y")
 
 
-STREAM_KEY = ["concat('n', pk % 10, case when floor(sk / 4) % 2 = 0 then 'B' else 'W' end) as sid"]
+STREAM_SLOT = ["pk % 10 as slot", "case when floor(sk / 4) % 2 = 0 then 'B' else 'W' end as dress"]
+STREAM_KEY = ["concat('n', slot, dress) as sid"]
 STREAM_RANK = ["score", "det_idx", "pk", "sk", "qty", "class_id"]
 
 
 def world(spark: SparkSession, sf: str) -> DataFrame:
-    """Fused court rows: at most 10 global ids per (game, frame)."""
+    """Fused court rows: 10 plain global ids per (game, frame)."""
     raw = _table(spark, sf, "lineitem").selectExpr(*RAW).filter("class_id < 2")
-    raw = raw.withColumn("gid", F.expr("pk % 10"))
-    top = best_per(raw, ["game", "frame", "gid"], _RANK, ["cam", "pk", "sk"])
-    return top.selectExpr(*WORLD)
+    return _numbered(raw.withColumn("gid", F.expr("pk % 10")), ["game", "frame"], "gid", 10, _RANK).selectExpr(*WORLD)
 
 
 WORLD = [
     "game", "frame", "gid", "cam", f"cast(floor(frame / {CHUNK}) as bigint) as chunk",
     "cast(pk * 7 % 2144 as double) as cx", "cast(sk * 131 % 1427 as double) as cy",
-    "case when gid = 9 then 'REF' when gid % 2 = 0 then 'A' else 'B' end as team",
-    "case when pk % 3 = 0 then gid end as jersey",
+    "case when pk % 10 = 9 then 'REF' when pk % 2 = 0 then 'A' else 'B' end as team",
+    "case when pk % 3 = 0 then pk % 10 end as jersey",
 ]
 
 
@@ -207,20 +209,24 @@ def _best(source: str, keys: str, order: str, where: str = "") -> str:
     return f"select * from {source} {where} qualify row_number() over (partition by {keys} order by {order}) = 1"
 
 
+def _slots(source: str, keys: str, slot: str, step: int, order: str) -> str:
+    return f"(select * replace ({slot} + {step} * (row_number() over (partition by {keys}, {slot} order by {order}) - 1) as {slot}) from {source})"
+
+
 _SR = "score desc, det_idx desc, pk desc, sk desc, qty desc, class_id desc"
 _R = "score desc, pk desc, sk desc, qty desc, class_id desc"
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "raw0": ((), _c(RAW, "lineitem")),
     "raw": (("raw0",), _c(DET, "raw0")),
-    "det": (("raw0",), _c(DET, f"({_best('raw0', 'game, cam, frame, det_idx', _R)})")),
+    "det": (("raw0",), _c(DET, _slots("raw0", "game, cam, frame", "det_idx", 32, _R))),
     "trk": (
         ("raw0",),
         _c(["track_id"] + [e for e in DET if e != "det_idx"],
-           "(" + _best("(select *, pk % 10 as track_id from raw0 where class_id < 2)", "game, cam, frame, track_id", _R) + ")"),
+           _slots("(select *, pk % 10 as track_id from raw0 where class_id < 2)", "game, cam, frame", "track_id", 10, _R)),
     ),
     "streams": (
         ("raw0",),
-        _c(["sid", *DET], "(" + _best(f"(select *, {STREAM_KEY[0]} from raw0 where class_id < 2)", "game, cam, frame, sid", _SR) + ")"),
+        _c([*STREAM_KEY, *DET], _slots(f"(select *, {', '.join(STREAM_SLOT)} from raw0 where class_id < 2)", "game, cam, frame, dress", "slot", 10, _SR)),
     ),
     "ball": (
         ("raw0",),
@@ -228,7 +234,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "world": (
         ("raw0",),
-        _c(WORLD, "(" + _best("(select *, pk % 10 as gid from raw0 where class_id < 2)", "game, frame, gid", _R) + ")"),
+        _c(WORLD, _slots("(select *, pk % 10 as gid from raw0 where class_id < 2)", "game, frame", "gid", 10, _R)),
     ),
     "cball": (("raw0",), _c(COURT_BALL, "(" + _best("raw0", "game, frame", _R, "where class_id = 2") + ")")),
     "evt": ((), _c(_evt(DUCK_SEC, DUCK_K), "events")),

@@ -215,7 +215,7 @@ def _(spark, sf):
           select game, cam, count(*) as ids, sum(len) as observations, min(len) as min_len, max(case when rn = cast(floor(n / 2) as bigint) + 1 then len end) as median_len, max(len) as max_len,
             any_value(frames) as frames, sum(len) / any_value(frames) as per_frame from r join f using (game, cam) group by all""")
 def _(spark, sf):
-    t = A.tracks(spark, sf).drop("track_id").withColumn("track_id", F.expr("pk % 10 * 40 + chunk"))
+    t = A.tracks(spark, sf).withColumn("track_id", F.expr("track_id * 40 + chunk"))
     return R.track_summary(t, ["game", "cam"], "track_id", "frame")
 
 
@@ -495,17 +495,17 @@ def _(spark, sf):
     return O.exact_quantiles(d, ["cam"], {"": "d"}, {"p50": 0.5, "p75": 0.75, "p90": 0.9})
 
 
-@query("agg42_team_flip_decision", "game same flip flipped", "trk",
-       f"select game, sum((team1 = team2)::int) as same, sum((team1 <> team2)::int) as flip, (flip > same)::int as flipped from ({ISO_SQL}) group by game")
+@query("agg42_team_flip_decision", "game cam1 cam2 same flip flipped", "trk",
+       f"select game, cam1, cam2, sum((team1 = team2)::int) as same, sum((team1 <> team2)::int) as flip, (flip > same)::int as flipped from ({ISO_SQL}) group by game, cam1, cam2")
 def _(spark, sf):
     return I.flip_decision(isolated_pairs(spark, sf))
 
 
-@query("agg43_track_team_repair", "game side track_id team:s votes", "trk",
-       f"""with p as ({ISO_SQL}), v as (select game, 1 as side, t1 as track_id, team2 as team, frame from p union all select game, 2, t2, team1, frame from p),
-          c as (select game, side, track_id, team, count(*) as c, min(frame) as f from v group by all), t as (select *, sum(c) over (partition by game, side, track_id) as n from c
-             qualify row_number() over (partition by game, side, track_id order by c desc, f, team desc) = 1)
-          select game, side, track_id, team, c as votes from t where c >= 4 and c / n >= 55e-2""")
+@query("agg43_track_team_repair", "game cam1 cam2 side track_id team:s votes", "trk",
+       f"""with p as ({ISO_SQL}), v as (select game, cam1, cam2, 1 as side, t1 as track_id, team2 as team, frame from p union all select game, cam1, cam2, 2, t2, team1, frame from p),
+          c as (select game, cam1, cam2, side, track_id, team, count(*) as c, min(frame) as f from v group by all), t as (select *, sum(c) over (partition by game, cam1, cam2, side, track_id) as n from c
+             qualify row_number() over (partition by game, cam1, cam2, side, track_id order by c desc, f, team desc) = 1)
+          select game, cam1, cam2, side, track_id, team, c as votes from t where c >= 4 and c / n >= 55e-2""")
 def _(spark, sf):
     return I.team_repair(isolated_pairs(spark, sf), 4, 0.55)
 
@@ -532,9 +532,9 @@ def _(spark, sf):
 
 
 @query("agg46_roster_fold", "game gid team:s jersey members", "world",
-       """with p as (select game, chunk * 10 + gid as id, gid, case when chunk % 2 = 0 then team end as team, case when chunk > 0 then gid end as jersey from world group by all)
+       """with p as (select game, chunk * 1000 + gid as id, gid, case when chunk % 2 = 0 then team end as team, case when chunk > 0 then gid end as jersey from world group by all)
           select game, gid, arg_min(team, id) filter (where team is not null) as team, arg_min(jersey, id) filter (where jersey is not null) as jersey, count(*) as members from p group by game, gid""")
 def _(spark, sf):
-    p = A.world(spark, sf).selectExpr("game", "chunk * 10 + gid as gid", "chunk * 10 + gid as id", "case when chunk % 2 = 0 then team end as team", "case when chunk > 0 then gid end as jersey").distinct()
-    mapping = p.select("game", "gid", (col("gid") % 10).alias("canonical")).distinct()
+    p = A.world(spark, sf).selectExpr("game", "chunk * 1000 + gid as gid", "chunk * 1000 + gid as id", "case when chunk % 2 = 0 then team end as team", "case when chunk > 0 then gid end as jersey").distinct()
+    mapping = p.select("game", "gid", (col("gid") % 1000).alias("canonical")).distinct()
     return I.fold_roster(p, mapping, ["game"], "id")

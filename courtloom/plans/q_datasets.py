@@ -161,11 +161,14 @@ def _(spark, sf):
     return mine.intersect(known).select(F.lit("both").alias("side"), "num").unionByName(mine.exceptAll(known.distinct()).select(F.lit("read_only").alias("side"), "num"))
 
 
-@query("set03_frame_key_union", "game frame a b", "det", "select game, frame, a, b from (select game, frame, count(*) as a from det where cam = 0 group by all) full join (select game, frame, count(*) as b from det where cam = 1 group by all) using (game, frame)")
+CAMERAS = {"a": 0, "b": 1, "c": 2, "d": 3}
+FULL_SQL = " full join ".join(f"(select game, frame, count(*) as {n} from det where cam = {k} group by all)" + (" using (game, frame)" if k else "") for n, k in CAMERAS.items())
+
+
+@query("set03_frame_key_union", "game frame a b c d", "det", f"select game, frame, a, b, c, d from {FULL_SQL}")
 def _(spark, sf):
-    d = A.detections(spark, sf)
-    a = d.filter("cam = 0").groupBy("game", "frame").agg(F.count(F.lit(1)).alias("a"))
-    return a.join(d.filter("cam = 1").groupBy("game", "frame").agg(F.count(F.lit(1)).alias("b")), ["game", "frame"], "full")
+    counts = [F.nullif(F.count_if(col("cam") == k), F.lit(0)).alias(n) for n, k in CAMERAS.items()]
+    return A.detections(spark, sf).groupBy("game", "frame").agg(*counts)      # the union of the cameras' frame keys in one shuffle
 
 
 @query("grp01_rollup_breakdown", "class_id cam n s:k", "det", "select class_id, cam, count(*) as n, sum(cast(floor(score * 100 + 5e-1) as bigint)) / 1e2 as s from det group by rollup (class_id, cam)")

@@ -8,6 +8,7 @@ from courtloom.functions import geometry as G
 from courtloom.operators import datasets as D
 from courtloom.plans import adapters as A
 from courtloom.plans.q_columns import UNDISTORT_SQL
+from courtloom.plans.q_joins import numbered_streams
 from courtloom.plans.q_windows import segments
 from courtloom.plans.registry import query
 from courtloom.session import scratch_path
@@ -90,11 +91,11 @@ def _(spark, sf):
 
 
 @query("src08_approved_ground_truth", "game player:s frame cam det_idx", "streams",
-       """with s as (select * from streams where kit = 'B'), f as (select game, num, frame from s where frame % 3 > 0 group by all), e as (select game, num from f group by all having count(*) >= 30)
+       """with s as (select * replace (cast(regexp_extract(sid, '[0-9]+') as bigint) as num) from streams where kit = 'B'), f as (select game, num, frame from s where frame % 3 > 0 group by all), e as (select game, num from f group by all having count(*) >= 30)
           select s.game, 'n' || s.num as player, s.frame, s.cam, s.det_idx from s join e using (game, num) where frame % 3 > 0""")
 def _(spark, sf):
     path = scratch_path(spark, "gt")
-    s = A.streams(spark, sf).filter("kit = 'B'")
+    s = numbered_streams(spark, sf).filter("kit = 'B'")
     f = s.groupBy("game", "num", "frame").agg(F.map_from_entries(F.collect_list(F.struct(col("cam").cast("string"), "det_idx"))).alias("picks"))
     doc = f.withColumn("chunk", F.floor(col("frame") / A.CHUNK)).groupBy(col("game").cast("string").alias("game"), F.concat(F.lit("n"), "num").alias("player"), "chunk").agg(
         F.map_from_entries(F.collect_list(F.struct(col("frame").cast("string"), "picks"))).alias("frames"),

@@ -153,20 +153,19 @@ def _(spark, sf):
 
 
 COURT_TRK = ["game", "cam", "frame", "track_id", "case when pk % 2 = 0 then 'A' else 'B' end as team", "cast(pk * 7 % 900 as double) as cx", "cast(sk * 131 % 600 as double) as cy"]
-ISO_SQL = f"""with t as (select {', '.join(COURT_TRK)} from trk), d as (select a.game, a.frame, a.track_id as t1, a.team as team1, b.track_id as t2, b.team as team2,
+ISO_SQL = f"""with t as (select {', '.join(COURT_TRK)} from trk), d as (select a.game, a.frame, a.cam as cam1, b.cam as cam2, a.track_id as t1, a.team as team1, b.track_id as t2, b.team as team2,
      sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) as dist
-     from t a join t b on a.game = b.game and a.frame = b.frame and a.cam = 3 and b.cam = 2),
-   r as (select *, row_number() over w as rn, lead(dist) over w as second from d window w as (partition by game, frame, t1 order by dist, t2))
+     from t a join t b on a.game = b.game and a.frame = b.frame and a.cam < b.cam),
+   r as (select *, row_number() over w as rn, lead(dist) over w as second from d window w as (partition by game, frame, cam1, cam2, t1 order by dist, t2))
    select * from r where rn = 1 and dist <= 80 and (second is null or second >= 180)"""
 
 
 def isolated_pairs(spark, sf):
     from courtloom.operators import identity
-    t = A.tracks(spark, sf).selectExpr(*COURT_TRK)
-    return identity.isolated_pairs(t.filter("cam = 3"), t.filter("cam = 2"))
+    return identity.isolated_pairs(A.tracks(spark, sf).selectExpr(*COURT_TRK))
 
 
-@query("jn12_isolated_pairs", "game frame t1 t2 dist:h", "trk", ISO_SQL)
+@query("jn12_isolated_pairs", "game frame cam1 cam2 t1 t2 dist:h", "trk", ISO_SQL)
 def _(spark, sf):
     return isolated_pairs(spark, sf)
 
@@ -251,7 +250,7 @@ def _(spark, sf):
     return shots.frame_spine(w, [0, 1, 2, 3]).join(ball, ["game", "cam", "frame"], "left").join(rim, ["game", "cam", "frame"], "left")
 
 
-SWEEP_SQL = """with r as (select game, cam, num, kit, frame, cast(pk * 7 % 2144 as double) as cx, cast(sk * 131 % 1427 as double) as cy from streams),
+SWEEP_SQL = """with r as (select game, cam, cast(regexp_extract(sid, '[0-9]+') as bigint) as num, kit, frame, cast(pk * 7 % 2144 as double) as cx, cast(sk * 131 % 1427 as double) as cy from streams),
   ref as (select * from r where cam = 0), oth as (select * from r where cam > 0),
   p as (select a.game, b.cam, a.num, a.kit, a.frame as f, b.frame - a.frame as s, sqrt(pow(b.cx - a.cx, 2) + pow(b.cy - a.cy, 2)) as dist
     from ref a join oth b on a.game = b.game and a.num = b.num and a.kit = b.kit and abs(b.frame - a.frame) <= 11),
@@ -259,10 +258,14 @@ SWEEP_SQL = """with r as (select game, cam, num, kit, frame, cast(pk * 7 % 2144
   select game, cam, d, count(*) as n, quantile_cont(floor(dist * 10 + 5e-1) / 10, 5e-1) as median_cm, avg(case when floor(dist * 10 + 5e-1) / 10 <= 120 then 1e0 else 0e0 end) as close_share from h group by all having count(*) >= 20"""
 
 
+def numbered_streams(spark, sf):
+    """Streams on the court by the number in their id, which is unique for a camera, frame and kit."""
+    return A.stream_points(spark, sf).withColumn("num", F.regexp_extract("sid", "[0-9]+", 0).cast("long"))
+
+
 @query("jn20_read_lag_sweep", "game cam d n median_cm:h close_share:k", "streams", SWEEP_SQL)
 def _(spark, sf):
-    s = A.stream_points(spark, sf)
-    return sync.read_lag_sweep(s, 0, sweep=10, tol=1, min_pairs=20)
+    return sync.read_lag_sweep(numbered_streams(spark, sf), 0, sweep=10, tol=1, min_pairs=20)
 
 
 @query("jn21_priority_dedup", "game cam frame source n", "det",
@@ -341,17 +344,32 @@ def _(spark, sf):
     return identity.seed_reads(reads(spark, sf), ["game", "num"], "cam", 25, 0.75, "lid").withColumnRenamed("lid", "seed_det")
 
 
+CLAIMS_SQL = f"""with recursive r as ({READS_SQL}), e as (select b.game, b.cam, b.frame, b.det_idx, b.x1, b.y1, b.x2, b.y2, r.num, abs(r.frame - b.frame) as gap, r.lid, r.frame as rf, {IOU_SQL.replace('a.', 'r.')} as iou
+     from det b join r on r.game = b.game and r.cam = b.cam and abs(r.frame - b.frame) <= 2 where b.class_id = 1 and b.frame % 5 = 0),
+  best as (select * from e where iou >= 4e-1 qualify row_number() over (partition by game, cam, frame, rf, lid order by iou desc, det_idx) = 1),
+  o as (select *, row_number() over (partition by game, cam, frame order by gap, rf, lid) as i from best),
+  st as (select game, cam, frame, 0::bigint as i, []::struct(num bigint, rf bigint, lid bigint, det_idx bigint, x1 double, y1 double, x2 double, y2 double)[] as taken, max(i) as n from o group by all union all
+    select game, cam, frame, i, case when clear and (len(same) = 0 or (len(same) = 1 and abs(same[1].rf - rf) <= 2))
+      then list_append(taken, {{'num': num, 'rf': rf, 'lid': lid, 'det_idx': det_idx, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}) else taken end, n
+    from (select b.*, st.taken, st.n, list_filter(st.taken, lambda t: t.num = b.num) as same, len(list_filter(st.taken, lambda t: {IOU_SQL.replace('a.', 't.')} > 5e-1)) = 0 as clear
+      from st join o b on st.game = b.game and st.cam = b.cam and st.frame = b.frame and b.i = st.i + 1))"""
+
+
 @query("jn28_best_common_seed", "game cam frame n_players", "det",
-       f"""with r as ({READS_SQL}), e as (select b.game, b.cam, b.frame, b.det_idx, r.num, abs(r.frame - b.frame) as gap, r.lid, r.frame as rf, {IOU_SQL.replace('a.', 'r.')} as iou
-             from det b join r on r.game = b.game and r.cam = b.cam and abs(r.frame - b.frame) <= 2 where b.class_id = 1 and b.frame % 5 = 0),
-          best as (select * from e where iou >= 4e-1 qualify row_number() over (partition by game, cam, frame, rf, lid order by iou desc, det_idx) = 1),
-          own as (select game, cam, frame, det_idx, arg_min(num, (gap, rf, lid)) as num from best group by all),
-          n as (select game, cam, frame, count(distinct num) as n from own group by all)
-          select game, cam, frame, n as n_players from n qualify row_number() over (partition by game, cam order by n desc, frame) = 1""")
+       CLAIMS_SQL + " select game, cam, frame, len(taken) as n_players from st where i = n qualify row_number() over (partition by game, cam order by len(taken) desc, frame) = 1")
+def _(spark, sf):
+    from courtloom.operators import identity
+    d = A.detections(spark, sf)
+    return identity.best_common_seed(reads(spark, sf), d.filter("class_id = 1"), "lid", near=2, every=5, iou_attach=0.4, together=2)
+
+
+@query("jn28b_seed_claims", "game cam frame num wearer lid det_idx", "det",
+       CLAIMS_SQL + """, u as (select game, cam, frame, unnest(list_transform(taken, lambda t, k: {'t': t, 'k': k})) as c from st where i = n)
+          select game, cam, frame, c.t.num as num, row_number() over (partition by game, cam, frame, c.t.num order by c.t.rf, c.k) - 1 as wearer, c.t.lid as lid, c.t.det_idx as det_idx from u""")
 def _(spark, sf):
     from courtloom.operators import identity
     d = A.detections(spark, sf)
-    return identity.best_common_seed(reads(spark, sf), d.filter("class_id = 1"), "lid", near=2, every=5, iou_attach=0.4)
+    return identity.seed_claims(reads(spark, sf), d.filter("class_id = 1"), "lid", near=2, every=5, iou_attach=0.4, together=2)
 
 
 @query("jn29_instance_to_name", "game cam num det_idx iou:k", "det",

@@ -9,15 +9,18 @@ from courtloom.operators import correction as K
 from courtloom.operators import fusion as N
 from courtloom.operators import identity as I
 from courtloom.operators import joins as J
+from courtloom.operators import linking as LK
 from courtloom.operators import ordered as O
 from courtloom.operators import scoring as R
 from courtloom.operators import sequence as S
 from courtloom.operators import tracking as T
 from courtloom.operators import votes as V
+from courtloom.operators import whole as WH
 from courtloom.plans import adapters as A
 from courtloom.plans.q_aggregates import FUSE_BALL_SQL, ball_points, court_observations
 from courtloom.plans.q_columns import IOU_SQL
 from courtloom.plans.registry import query
+from courtloom.session import cut_lineage
 
 col = F.col
 B = A.BLOCK
@@ -77,6 +80,20 @@ def _(spark, sf):
     return T.track_ball(fused).withColumnRenamed("by", "by_")
 
 
+WHOLE_BALL_SQL = BALL_SQL.replace(f"cast(floor(frame / {A.CHUNK}) as bigint) as chunk", "0 as chunk").replace("select game, chunk, frame, ox as bx", "select game, frame, ox as bx")
+
+
+@query("trk03b_ball_track_of_a_game", "game frame bx:h by_:h", "bpts", WHOLE_BALL_SQL)
+def _(spark, sf):
+    fused = V.fuse_ball_candidates(ball_points(spark, sf), ["game", "frame"])
+    return WH.ball_track(fused, length=A.CHUNK, before=2 * A.CHUNK).withColumnRenamed("by", "by_")
+
+
+@query("trk02b_ball_paths_of_a_game", "game cam seg frame cx:h cy:h vx:h vy:h imputed conf:k")
+def _(spark, sf):
+    return WH.ball_paths(A.ball(spark, sf), length=A.CHUNK, edge=100, gap=3, bridge=6, bracket=0.8)
+
+
 def player_groups(spark, sf):
     g = V.cluster_players(court_observations(spark, sf), ["game", "chunk", "frame"], 250.0)
     m = g.select("game", "chunk", "frame", "group_id", F.explode("members").alias("m"))
@@ -90,6 +107,11 @@ def _(spark, sf):
     return N.fuse_groups(player_groups(spark, sf), max_dist=400.0)
 
 
+@query("trk04b_fused_tracks_of_a_game", "game frame gid cx:h cy:h team:s jersey n_members")
+def _(spark, sf):
+    return WH.fused_tracks(player_groups(spark, sf), length=A.CHUNK, before=60, max_dist=400.0)
+
+
 @query("trk05_alias_resolution", "game child root", "",
        """with recursive p as (select distinct o_custkey % 4 as game, o_custkey as child, cast(floor(o_custkey / 3) as bigint) as parent from orders where o_custkey % 4 = cast(floor(o_custkey / 3) as bigint) % 4 and o_custkey > 0),
           r as (select game, child, parent as root from p union all select r.game, r.child, p.parent from r join p on r.game = p.game and r.root = p.child)
@@ -125,25 +147,47 @@ def _(spark, sf):
     return T.merge_tracklets(I.tracklet_candidates(f, ["game", "chunk"], "tid", max_gap=10), f, ["game", "chunk"], "tid")
 
 
-LINK_SQL = f"""with recursive i as (select *, sum(cut) over (partition by game, cam, track_id, chunk order by frame) as isl from (select *, case when frame - lag(frame) over (partition by game, cam, track_id, chunk order by frame) > 3 then 1 else 0 end as cut from trk)),
-  r as (select *, row_number() over (partition by game, cam, track_id, chunk, isl order by frame desc) as rd, (x1 + x2) / 2 as px, (y1 + y2) / 2 as py from i),
-  t as (select game, cam, chunk, track_id * 1000 + isl as tid, min(frame) as first, max(frame) as last, arg_min(class_id, frame) as cls, arg_min(px, frame) as fx, arg_min(py, frame) as fy, arg_max(px, frame) as lx, arg_max(py, frame) as ly,
-     (arg_max(px, frame) - arg_min(px, frame) filter (where rd <= 8)) / greatest(1, least(count(*), 8) - 1) as vx, (arg_max(py, frame) - arg_min(py, frame) filter (where rd <= 8)) / greatest(1, least(count(*), 8) - 1) as vy from r group by game, cam, chunk, track_id, isl),
-  c as (select a.game, a.cam, a.chunk, a.tid as ga, b.tid as gb, b.first - a.last as gap, sqrt(pow(a.lx + a.vx * least(b.first - a.last, 30) - b.fx, 2) + pow(a.ly + a.vy * least(b.first - a.last, 30) - b.fy, 2)) as dist
-     from t a join t b on a.game = b.game and a.cam = b.cam and a.chunk = b.chunk and a.tid <> b.tid and a.cls = b.cls and b.first - a.last between 1 and 12),
+LINK_SQL = """with recursive i as (select *, track_id * 1000 + sum(cut) over (partition by game, cam, track_id, chunk order by frame) as tid, case when pk % 3 = 0 then cast(floor(pk / 10) as bigint) % 4 end as jersey
+     from (select *, case when frame - lag(frame) over (partition by game, cam, track_id, chunk order by frame) > 3 then 1 else 0 end as cut from trk)),
+  v as (select game, cam, chunk, tid, jersey from i where jersey is not null group by game, cam, chunk, tid, jersey qualify row_number() over (partition by game, cam, chunk, tid order by count(*) desc, min(frame), jersey) = 1),
+  r as (select *, row_number() over (partition by game, cam, chunk, tid order by frame desc) as rd, (x1 + x2) / 2 as px, (y1 + y2) / 2 as py from i),
+  t0 as (select game, cam, chunk, tid, min(frame) as first, max(frame) as last, arg_min(class_id, frame) as cls, arg_min(px, frame) as fx, arg_min(py, frame) as fy, arg_max(px, frame) as lx, arg_max(py, frame) as ly,
+     (arg_max(px, frame) - arg_min(px, frame) filter (where rd <= 8)) / greatest(1, least(count(*), 8) - 1) as vx, (arg_max(py, frame) - arg_min(py, frame) filter (where rd <= 8)) / greatest(1, least(count(*), 8) - 1) as vy from r group by game, cam, chunk, tid),
+  t as (select * from t0 left join v using (game, cam, chunk, tid)),
+  c as (select a.game, a.cam, a.chunk, a.tid as ga, b.tid as gb, a.jersey as na, b.jersey as nb, b.first - a.last as gap, sqrt(pow(a.lx + a.vx * least(b.first - a.last, 30) - b.fx, 2) + pow(a.ly + a.vy * least(b.first - a.last, 30) - b.fy, 2)) as dist
+     from t a join t b on a.game = b.game and a.cam = b.cam and a.chunk = b.chunk and a.tid <> b.tid and a.cls = b.cls and b.first - a.last between 1 and 12 and not coalesce(a.jersey <> b.jersey, false)),
   e as (select *, row_number() over (partition by game, cam, chunk order by floor(dist * 1e6 + 5e-1), ga, gb) as i from c where dist <= least(60 + 6 * gap, 420)),
-  g as (select game, cam, chunk, 0::bigint as i, []::bigint[] as ls, []::bigint[] as rs, max(i) as n from e group by all union all
-     select g.game, g.cam, g.chunk, e.i, case when list_contains(ls, ga) or list_contains(rs, gb) then ls else list_append(ls, ga) end, case when list_contains(ls, ga) or list_contains(rs, gb) then rs else list_append(rs, gb) end, n
-     from g join e on g.game = e.game and g.cam = e.cam and g.chunk = e.chunk and e.i = g.i + 1)
-  select game, cam, chunk, unnest(ls) as ga, unnest(rs) as gb from g where i = n"""
+  g as (select game, cam, chunk, 0::bigint as i, []::bigint[] as ls, []::bigint[] as rs, []::struct(f bigint, l bigint, n bigint)[] as cs, max(i) as n from e group by all union all
+     select game, cam, chunk, i, case when ok then list_append(ls, ga) else ls end, case when ok then list_append(rs, gb) else rs end,
+       case when ok then list_append(list_filter(cs, lambda c: c.l <> ga and c.f <> gb), {'f': coalesce(ca.f, ga), 'l': coalesce(cb.l, gb), 'n': coalesce(va, vb)}) else cs end, n
+     from (select *, not list_contains(ls, ga) and not list_contains(rs, gb) and not coalesce(va <> vb, false) as ok
+       from (select *, coalesce(ca.n, na) as va, coalesce(cb.n, nb) as vb
+         from (select g.game, g.cam, g.chunk, g.ls, g.rs, g.cs, g.n, e.i, e.ga, e.gb, e.na, e.nb, list_filter(g.cs, lambda c: c.l = e.ga)[1] as ca, list_filter(g.cs, lambda c: c.f = e.gb)[1] as cb
+           from g join e on g.game = e.game and g.cam = e.cam and g.chunk = e.chunk and e.i = g.i + 1)))),
+  k as (select game, cam, chunk, unnest(ls) as ga, unnest(rs) as gb from g where i = n)"""
+
+
+def track_fragments(spark, sf):
+    """Runs of a camera's track id inside a chunk, with the ends, velocity and committed number of each."""
+    t = A.tracks(spark, sf).withColumn("px", G.Box.of().cx).withColumn("py", G.Box.of().cy)
+    t = t.withColumn("jersey", F.expr("case when pk % 3 = 0 then cast(floor(pk / 10) as bigint) % 4 end"))
+    i = S.islands(t, ["game", "cam", "track_id", "chunk"], "frame", 3).withColumn("tid", col("track_id") * 1000 + col("island"))
+    return I.fragment_ends(i, ["game", "cam", "chunk"], "tid", number="jersey")
 
 
-@query("trk07_fragment_links", "game cam chunk ga gb", "trk", LINK_SQL)
+@query("trk07_fragment_links", "game cam chunk ga gb", "trk", LINK_SQL + " select * from k")
 def _(spark, sf):
-    t = A.tracks(spark, sf).withColumn("px", G.Box.of().cx).withColumn("py", G.Box.of().cy)
-    i = S.islands(t, ["game", "cam", "track_id", "chunk"], "frame", 3).withColumn("tid", col("track_id") * 1000 + col("island"))
-    ends = I.fragment_ends(i, ["game", "cam", "chunk"], "tid")
-    return I.fragment_links(ends, ["game", "cam", "chunk"], "tid", max_gap=12)
+    return I.fragment_links(track_fragments(spark, sf), ["game", "cam", "chunk"], "tid", max_gap=12)
+
+
+@query("trk07b_fragment_chains", "game cam chunk root fragments number", "trk", LINK_SQL + """,
+  h as (select game, cam, chunk, tid, tid as root from t where not exists (select 1 from k where k.game = t.game and k.cam = t.cam and k.chunk = t.chunk and k.gb = t.tid) union all
+    select k.game, k.cam, k.chunk, k.gb, h.root from h join k on h.game = k.game and h.cam = k.cam and h.chunk = k.chunk and h.tid = k.ga)
+  select game, cam, chunk, root, count(*) as fragments, max(jersey) as number from h join t using (game, cam, chunk, tid) group by game, cam, chunk, root""")
+def _(spark, sf):
+    ends, keys = cut_lineage(track_fragments(spark, sf)), ["game", "cam", "chunk"]
+    roots = LK.chain_roots(ends, I.fragment_links(ends, keys, "tid", max_gap=12), keys, "tid")
+    return roots.join(ends.select(*keys, "tid", "number"), [*keys, "tid"]).groupBy(*keys, "root").agg(F.count(F.lit(1)).alias("fragments"), F.max("number").alias("number"))
 
 
 @query("trk08_iou_tracker", "game cam chunk frame det_idx track_id")
@@ -151,6 +195,11 @@ def _(spark, sf):
     return T.iou_tracker(A.detections(spark, sf).filter("class_id < 2"), confirm=2)
 
 
+@query("trk08b_iou_tracks_of_a_game", "game cam frame det_idx track_id")
+def _(spark, sf):
+    return WH.iou_tracks(A.detections(spark, sf).filter("class_id < 2"), length=A.CHUNK, before=60, confirm=2)
+
+
 CLAIM_SQL = f"""with p as (select t.game, t.cam, t.frame, t.track_id, r.num as label, r.score as conf, {IOU_SQL.replace('a.', 't.').replace('b.', 'r.')} as iou from trk t join det r on t.game = r.game and t.cam = r.cam and t.frame = r.frame
      where r.class_id = 0 and r.score >= 8e-1),
   b as (select * from p where iou >= 35e-2 qualify row_number() over (partition by game, cam, frame, label order by iou desc, track_id, conf desc) = 1),
@@ -166,10 +215,12 @@ def _(spark, sf):
 
 
 def looks(spark, sf):
-    """Appearance vectors by (game, gid): the vectors of the embeddings table, 40 numbered slots as (game, gid), first of each."""
-    e = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id % 4 as game", "cast(floor(vec_id / 4) as bigint) % 10 as gid", "vec_id", "embedding")
-    first = F.min(F.struct("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("reid")))
-    return e.groupBy("game", "gid").agg(first.alias("b")).select("game", "gid", F.when(col("gid") % 4 > 0, col("b.reid")).alias("reid"))
+    """Appearance by (game, gid): the mean of all vectors of the embeddings table that fall to one of 40 slots, as the look of
+    an identity is the mean over its crops. Parts are summed as whole numbers, so the order of rows does not show."""
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").selectExpr("vec_id % 4 as game", "cast(floor(vec_id / 4) as bigint) % 10 as gid", "posexplode(embedding) as (at, v)")
+    parts = e.filter("gid % 4 > 0").groupBy("game", "gid", "at").agg(F.sum(F.floor(col("v").cast("double") * 1e6)).alias("s"))
+    mean = F.sort_array(F.collect_list(F.struct("at", "s")))
+    return parts.groupBy("game", "gid").agg(F.transform(mean, lambda p: p["s"] / F.lit(1e6)).alias("reid"))
 
 
 def tracklet_table(spark, sf):
@@ -184,26 +235,56 @@ def _(spark, sf):
     return T.chain_tracklets(tracklet_table(spark, sf), ["game", "chunk"], max_gap=1.0, speed=900.0)
 
 
-@query("trk11_two_way_identities", "game chunk frame oid identity named")
+@query("trk10b_identities_of_a_game", "game gid identity named")
 def _(spark, sf):
+    t = tracklet_table(spark, sf).withColumn("gid", col("chunk") * 1_000_000 + col("gid"))
+    return WH.chained_tracklets(t, length=A.CHUNK, edge=60, max_gap=1.0, speed=900.0)
+
+
+def anchored_rows(spark, sf):
     w = A.world(spark, sf).withColumn("anchor", F.when(col("cx") % 9 == 0, col("gid")).cast("double")).withColumn("reads", F.when(col("cy") % 2 == 0, 2).otherwise(1))
-    w = w.withColumn("anchor_team", F.when(col("gid") % 2 == 0, "A").otherwise("B")).join(looks(spark, sf), ["game", "gid"], "left")
-    return T.two_way_identities(w.withColumn("oid", col("gid")), ["game", "chunk"])
+    w = w.withColumn("anchor_team", F.when(col("gid") % 2 == 0, "A").otherwise("B")).withColumn("slot", col("gid") % 10)
+    w = w.join(looks(spark, sf).withColumnRenamed("gid", "slot"), ["game", "slot"], "left").drop("slot")
+    return w.withColumn("oid", col("gid"))
 
 
-@query("trk12_micro_tracklet_identities", "game chunk gid identity named")
+@query("trk11_two_way_identities", "game chunk frame oid identity named")
+def _(spark, sf):
+    return T.two_way_identities(anchored_rows(spark, sf), ["game", "chunk"])
+
+
+@query("trk11b_two_way_identities_of_a_game", "game frame oid identity named")
 def _(spark, sf):
+    return WH.two_way_names(anchored_rows(spark, sf), length=A.CHUNK, edge=60)
+
+
+def numbered_segments(spark, sf):
+    """Micro-tracklets of the court rows with span, look and number: two reads or more, 70 % of them alike."""
     w = A.world(spark, sf).withColumn("oid", col("gid"))
     micro = T.micro_tracklets(w.select("game", "chunk", "frame", "oid", "cx", "cy"), ["game", "chunk"], stitch=250.0)
     rows = micro.join(w.select("game", "frame", "oid", "cx", "cy", "team", "jersey"), ["game", "frame", "oid"]).withColumnRenamed("tracklet", "gid")
     key = ["game", "chunk", "gid"]
     span = S.span_summary(rows, key, "frame", "cx", "cy", "team")
     number = V.committed_mode(rows, key, "jersey", "frame", 2, 0.7).select(*key, col("jersey").cast("double").alias("number"))
-    seen = rows.groupBy(*key).agg(F.min("oid").alias("oid")).join(looks(spark, sf).withColumnRenamed("gid", "oid"), ["game", "oid"], "left").drop("oid")
-    t = span.join(number, key, "left").join(seen, key, "left").select(
+    reads = rows.groupBy(*key).agg(F.count("jersey").cast("double").alias("reads"), (F.min("oid") % 10).alias("oid"))
+    seen = reads.join(looks(spark, sf).withColumnRenamed("gid", "oid"), ["game", "oid"], "left").drop("oid")
+    return span.join(number, key, "left").join(seen, key, "left").select(
         *key, "first", "last", col("first_xy.x").alias("x0"), col("first_xy.y").alias("y0"), col("last_xy.x").alias("x1"), col("last_xy.y").alias("y1"),
-        F.lit(None).cast("string").alias("team"), "number", col("n").cast("double").alias("strength"), "reid")
-    return T.chain_tracklets(t, ["game", "chunk"], max_gap=1.0, speed=900.0, slack=0, rounds=8, w_gap=0.12, w_dist=900.0, w_cos=0.8, floor_cm=120.0, min_cos=0.4)
+        F.lit(None).cast("string").alias("team"), "number", col("reads").alias("strength"), "reid")
+
+
+@query("trk12_micro_tracklet_identities", "game chunk gid identity named")
+def _(spark, sf):
+    segments = cut_lineage(numbered_segments(spark, sf))
+    worn = T.scaffolded(segments, T.number_wearers(segments, ["game", "chunk"], min_reads=5), ["game", "chunk"])
+    return T.chain_tracklets(worn, ["game", "chunk"], max_gap=1.0, speed=900.0, slack=0, rounds=8, w_gap=0.12, w_dist=900.0, w_cos=0.8, floor_cm=120.0, min_cos=0.4)
+
+
+@query("trk12b_number_wearers", "game chunk number wearers segments reads")
+def _(spark, sf):
+    segments = cut_lineage(numbered_segments(spark, sf))
+    worn = T.number_wearers(segments, ["game", "chunk"], min_reads=5).join(segments.select("game", "chunk", "gid", "strength"), ["game", "chunk", "gid"])
+    return worn.groupBy("game", "chunk", "number").agg(F.countDistinct("wearer").alias("wearers"), F.count(F.lit(1)).alias("segments"), F.sum("strength").alias("reads"))
 
 
 READS_SQL = """with recursive o as (select game, num, chunk, cam * 1000 + det_idx as rid, frame, pk * 7 % 2144 * 1e0 as cx, sk * 131 % 1427 * 1e0 as cy,
@@ -312,12 +393,12 @@ def _(spark, sf):
     return K.reacquire(truth, looks, 0.5, 240, 5, 0.02, 30, 4000)
 
 
-@query("trk19_patch_apply", "game cam sid:s frame sid_from:s moved", "streams", """with p as (select game, cam, sid, min(frame) as f0, max(frame) as f1, concat('n', (num + 1) % 10, kit) as new from streams where chunk = 1 and num % 3 = 0 group by game, cam, sid, num, kit),
+@query("trk19_patch_apply", "game cam sid:s frame sid_from:s moved", "streams", """with p as (select game, cam, sid, min(frame) as f0, max(frame) as f1, concat('n', (num + 1) % 10, kit) as new from streams where num % 3 = 0 group by game, cam, chunk, sid, num, kit),
   r as (select s.game, s.cam, s.frame, coalesce(p.new, s.sid) as sid, s.sid as sid_from, (p.new is not null)::int as moved from streams s left join p on p.game = s.game and p.cam = s.cam and p.sid = s.sid and s.frame between p.f0 and p.f1)
   select * from r qualify row_number() over (partition by game, cam, sid, frame order by moved desc, sid_from desc) = 1""")
 def _(spark, sf):
     s = A.streams(spark, sf)
-    p = s.filter("chunk = 1 and num % 3 = 0").groupBy("game", "cam", "sid", "num", "kit").agg(F.min("frame").alias("f0"), F.max("frame").alias("f1"))
+    p = s.filter("num % 3 = 0").groupBy("game", "cam", "chunk", "sid", "num", "kit").agg(F.min("frame").alias("f0"), F.max("frame").alias("f1"))
     p = p.select("game", "cam", "sid", "f0", "f1", F.expr("concat('n', (num + 1) % 10, kit)").alias("new"))
     return I.apply_patches(s.select("game", "cam", "sid", "frame", "det_idx"), p, ["game", "cam"])
 
