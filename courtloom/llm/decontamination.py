@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from courtloom.llm.common import free_prefix, hashed_groups, windows_of
+from courtloom.llm.common import hashed_groups, windows_of
 
-#: Hits of a text; window_id keeps the type that it has in the references.
-HITS = "array<struct<window_id: {}, coverage: double, tiles: int, longest: int>>"
 #: Signs count as spaces and case does not count.
 _SIGNS = str.maketrans({c: " " for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"})
 
@@ -105,41 +107,60 @@ class ReferenceSet:
         return found
 
 
-def _finder(shared: Broadcast, hits: str):
-    @F.pandas_udf(hits)
-    def find(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.find(list(texts)), dtype=object)
-
-    return find
-
-
-def contamination(narrations: DataFrame, references: DataFrame, coverage: float = 0.6, least: int = 5, block_chars: int = 16_000_000) -> Column:
-    """A column of HITS for the summaries of `narrations`: the references (window_id, summary) of which tiles of at least
-    `least` words cover `coverage` of the words, in whatever order the tiles stand.
-
-    The references are a stated query set. They are met in blocks of about `block_chars` characters, each sent to the
-    tasks whole, so what a task holds does not grow with their number; the narrations are neither shuffled nor paired.
-    A reference of fewer than `least` words never matches; null counts as empty; a repeated reference is met once for
-    each text that bears its id.
-    """
+def _blocks(narrations: DataFrame, references: DataFrame, coverage: float, least: int, block_chars: int) -> Iterator[Broadcast]:
+    """The references in blocks of about `block_chars` characters, one after the other."""
     known = references.select("window_id", "summary").dropna().distinct()
     chars = known.agg(F.sum(F.length("summary"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / block_chars))
-    spark, out, kind = narrations.sparkSession, None, HITS.format(references.schema["window_id"].dataType.simpleString())
     for k in range(blocks):
         rows = known.filter(F.pmod(F.xxhash64("window_id", "summary"), F.lit(blocks)) == k).orderBy("window_id", "summary").collect()
-        hits = _finder(spark.sparkContext.broadcast(ReferenceSet([tuple(r) for r in rows], least, coverage)), kind)("summary")
-        out = hits if out is None else F.concat(out, hits)
-    return out
+        yield narrations.sparkSession.sparkContext.broadcast(ReferenceSet([tuple(r) for r in rows], least, coverage))
+
+
+def _hit_rows(shared: Broadcast, id_type: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = shared.value.find(batch.column("summary").to_pylist())
+            take = pa.array([i for i, hits in enumerate(found) for _ in hits], pa.int32())
+            hits = [h for own in found for h in own]
+            columns = [pa.array([h[n] for h in hits], kind) for n, kind in (("window_id", id_type), ("coverage", pa.float64()), ("tiles", pa.int32()), ("longest", pa.int32()))]
+            yield pa.record_batch([batch.column("job_id").take(take), *columns], ["job_id", "window_id", "coverage", "tiles", "longest"])
+
+    return run
+
+
+def contaminated(narrations: DataFrame, references: DataFrame, coverage: float = 0.6, least: int = 5, block_chars: int = 16_000_000) -> DataFrame:
+    """(job_id, window_id, coverage, tiles, longest): one row for each row of `narrations` and each reference (window_id,
+    summary) of which tiles of at least `least` words cover `coverage` of the words, in whatever order the tiles stand.
+
+    The references are a stated query set. They are met in blocks of about `block_chars` characters, each block in tasks of
+    its own, so what a task holds does not grow with their number; the narrations are neither shuffled nor paired.
+    Ids keep their types. A reference of fewer than `least` words never matches; null counts as empty; a repeated
+    reference is met once for each text that bears its id. Other columns are not read.
+    """
+    kind = {name: references.schema["window_id"].dataType if name == "window_id" else narrations.schema["job_id"].dataType for name in ("job_id", "window_id")}
+    schema = f"job_id {kind['job_id'].simpleString()}, window_id {kind['window_id'].simpleString()}, coverage double, tiles int, longest int"
+    texts = narrations.select("job_id", "summary")
+    parts = [texts.mapInArrow(_hit_rows(shared, to_arrow_type(kind["window_id"])), schema) for shared in _blocks(narrations, references, coverage, least, block_chars)]
+    return reduce(DataFrame.union, parts)
+
+
+def without_contaminated(narrations: DataFrame, references: DataFrame, coverage: float = 0.6, least: int = 5, block_chars: int = 16_000_000) -> DataFrame:
+    """The narrations that hold no reference, all columns as they are.
 
+    One block of references is looked up where the texts are read. Of several, each in tasks of its own leaves the digests
+    of the texts that it finds, and the narrations with such a text go."""
+    blocks = list(_blocks(narrations, references, coverage, least, block_chars))
 
-def contaminated(narrations: DataFrame, references: DataFrame, **how) -> DataFrame:
-    """(job_id, window_id, coverage, tiles, longest): one row for each narration row and reference that it holds."""
-    hits = narrations.select("job_id", contamination(narrations, references, **how).alias("hits"))
-    return hits.select("job_id", F.inline("hits"))
+    def held(shared: Broadcast) -> Column:
+        @F.pandas_udf("boolean")
+        def found(texts: pd.Series) -> pd.Series:
+            return pd.Series([len(hits) > 0 for hits in shared.value.find(list(texts))], dtype=bool)
 
+        return found("summary")
 
-def without_contaminated(narrations: DataFrame, references: DataFrame, **how) -> DataFrame:
-    """The narrations that hold no reference, all columns as they are."""
-    mark = f"{free_prefix(narrations.columns)}hits"
-    return narrations.withColumn(mark, contamination(narrations, references, **how)).filter(F.size(mark) == 0).drop(mark)
+    if len(blocks) == 1:
+        return narrations.filter(~held(blocks[0]))
+    digest = F.md5(F.col("summary").cast("binary"))
+    bad = reduce(DataFrame.union, [narrations.select("summary").filter(held(shared)).select(digest.alias("digest")) for shared in blocks]).distinct()
+    return narrations.join(bad, F.md5(narrations["summary"].cast("binary")) == bad["digest"], "left_anti")
