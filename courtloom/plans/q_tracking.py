@@ -406,7 +406,7 @@ def _(spark, sf):
 @query("trk20_fusion_grid_search", "config ids stable ghosts penalty:k")
 def _(spark, sf):
     grid = [{"max_dist": d, "gate_cost": g} for d in (250.0, 400.0) for g in (4.0, 7.0)]
-    out = N.fusion_grid(player_groups(spark, sf), ["game", "chunk"], grid)
+    out = cut_lineage(N.fusion_grid(player_groups(spark, sf), ["game", "chunk"], grid))      # read by several aggregates
     h = R.identity_health(out, ["config", "game", "chunk"], "gid", "frame", F.lit(False))
     s = h.groupBy("config").agg(F.sum("ids").alias("ids"), F.sum("stable").alias("stable"), F.sum("ghosts").alias("ghosts"))
     return s.withColumn("penalty", (col("ghosts") + F.abs(col("stable") - 10)) / col("ids")).orderBy("penalty", "config")
