@@ -39,6 +39,36 @@ def _(spark, sf):
     return T.assign_per_frame(world_edges(spark, sf), ["game", "chunk"], "frame", "left_id", "right_id", "cost")
 
 
+# cheapest choice for each frame: left rows one after the other, the set of used right rows as bits, one state for each set
+CHOICE_SQL = """l as (select *, dense_rank() over (partition by {keys} order by left_id) as li, dense_rank() over (partition by {keys} order by right_id) - 1 as ri from e),
+  n as (select {keys}, max(li) as n from l group by {keys}),
+  st as (select {keys}, 0::bigint as i, 0::hugeint as used, 0e0 as cost from n union all
+    select {keys}, i, used, min(cost) from (
+      select {on}, st.i + 1 as i, st.used, st.cost + {alone} as cost from st join n using ({keys}) where st.i < n.n union all
+      select {on}, st.i + 1, st.used + (1::hugeint << l.ri::int), st.cost + l.cost from st join l using ({keys}) where l.li = st.i + 1 and (st.used >> l.ri::int) % 2 = 0) group by {keys}, i, used)
+  select {keys}, min(cost) as cost from st join n using ({keys}) where i = n group by {keys}"""
+
+
+def choice_sql(keys: list[str], alone: str) -> str:
+    names = ", ".join(keys)
+    return CHOICE_SQL.format(keys=names, on=", ".join(f"st.{k}" for k in keys), alone=alone)
+
+
+def total_cost(edges, matched, keys, alone):
+    """Cost of a matching, with `alone` for each left row that has an edge and no partner."""
+    lefts = edges.groupBy(*keys).agg(F.countDistinct("left_id").alias("n"))
+    taken = matched.groupBy(*keys).agg(F.count(F.lit(1)).alias("m"), F.sum("cost").alias("c"))
+    return lefts.join(taken, keys, "left").select(*keys, (F.coalesce("c", F.lit(0.0)) + (col("n") - F.coalesce("m", F.lit(0))) * F.lit(alone)).alias("cost"))
+
+
+@query("jn13b_assignment_cost", "game frame cost:h", "world",
+       """with recursive e as (select a.game, a.frame, a.gid as left_id, b.gid as right_id, sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2)) as cost
+    from world a join world b on a.game = b.game and a.frame = b.frame and a.gid < 5 and b.gid >= 5 where sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2)) <= 600), """ + choice_sql(["game", "frame"], "1e6"))
+def _(spark, sf):
+    e = world_edges(spark, sf)
+    return total_cost(e, T.assign_per_frame(e, ["game", "chunk"], "frame", "left_id", "right_id", "cost"), ["game", "frame"], 1e6)
+
+
 @query("trk01_smoothed_points", "game gid chunk frame sx:h sy:h vx:h vy:h")
 def _(spark, sf):
     return T.smooth_points(A.world(spark, sf).withColumn("w", F.lit(1.0)), ["game", "gid", "chunk"], "frame", "cx", "cy", "w")
@@ -305,14 +335,25 @@ def _(spark, sf):
     return T.cluster_reads(r.select("game", "num", "chunk", "rid", "frame", "cx", "cy"), speed=9000.0, min_reads=15)
 
 
-@query("trk14_joint_assignment", "game cam frame left_id right_id cost:h")
-def _(spark, sf):
+def joint_edges(spark, sf):
     w = A.world(spark, sf).select("game", "frame", col("gid").alias("left_id"), col("cx").alias("tx"), col("cy").alias("ty"))
     d = A.detections(spark, sf).filter("class_id < 2").selectExpr("game", "cam", "chunk", "frame", "det_idx as right_id", "num", "cast(pk * 7 % 2144 as double) as cx", "cast(sk * 131 % 1427 as double) as cy")
-    dist = G.distance(col("cx"), col("cy"), col("tx"), col("ty"))
-    e = w.join(d, ["game", "frame"]).withColumn("dist", dist).filter("dist <= 300")
-    e = e.withColumn("cost", col("dist") - F.when(col("num") == col("left_id"), 150.0).otherwise(0.0))
-    return T.assign_per_frame(e, ["game", "cam", "chunk"], "frame", "left_id", "right_id", "cost", dummy=300.0)
+    e = w.join(d, ["game", "frame"]).withColumn("dist", G.distance(col("cx"), col("cy"), col("tx"), col("ty"))).filter("dist <= 300")
+    return e.withColumn("cost", col("dist") - F.when(col("num") == col("left_id"), 150.0).otherwise(0.0))
+
+
+@query("trk14_joint_assignment", "game cam frame left_id right_id cost:h")
+def _(spark, sf):
+    return T.assign_per_frame(joint_edges(spark, sf), ["game", "cam", "chunk"], "frame", "left_id", "right_id", "cost", dummy=300.0)
+
+
+@query("trk14b_joint_assignment_cost", "game cam frame cost:h", "world det",
+       """with recursive d as (select game, cam, frame, det_idx as right_id, num, cast(pk * 7 % 2144 as double) as cx, cast(sk * 131 % 1427 as double) as cy from det where class_id < 2),
+    e as (select d.game, d.cam, d.frame, w.gid as left_id, d.right_id, sqrt(pow(d.cx - w.cx, 2) + pow(d.cy - w.cy, 2)) - case when d.num = w.gid then 150e0 else 0e0 end as cost
+    from world w join d on w.game = d.game and w.frame = d.frame where sqrt(pow(d.cx - w.cx, 2) + pow(d.cy - w.cy, 2)) <= 300), """ + choice_sql(["game", "cam", "frame"], "300e0"))
+def _(spark, sf):
+    e = joint_edges(spark, sf)
+    return total_cost(e, T.assign_per_frame(e, ["game", "cam", "chunk"], "frame", "left_id", "right_id", "cost", dummy=300.0), ["game", "cam", "frame"], 300.0)
 
 
 def flagged(spark, sf):
@@ -428,6 +469,18 @@ def _(spark, sf):
     return R.tracker_agreement(ours, theirs, pairs, ["game", "cam"])
 
 
+@query("agg24b_agreement_counts", "game cam agree only_ours only_theirs count_mae:k recall_ours:k recall_theirs:k", "det",
+       f"""with recursive e as (select a.game, a.cam, a.frame, a.det_idx as left_id, b.det_idx as right_id, 1 - {IOU_SQL} as cost
+    from det a join det b on a.game = b.game and a.cam = b.cam and a.frame = b.frame and a.class_id = 0 and b.class_id = 1 where {IOU_SQL} >= 3e-1), """
+       + choice_sql(["game", "cam", "frame"], "1e6").replace("select game, cam, frame, min(cost) as cost from st", ", p as (select game, cam, frame, any_value(n.n) - cast(floor(min(cost) / 1e6) as bigint) as p from st", 1)
+       .replace("where i = n group by game, cam, frame", "where i = n group by game, cam, frame)") + """,
+  c as (select game, cam, frame, sum((class_id = 0)::int) as a, sum((class_id = 1)::int) as b from det where class_id < 2 group by all), t as (select *, coalesce(p, 0) as q from c left join p using (game, cam, frame))
+  select game, cam, sum(q) as agree, sum(a - q) as only_ours, sum(b - q) as only_theirs, avg(abs(a - b)) as count_mae, sum(q) / greatest(1, sum(a)) as recall_ours, sum(q) / greatest(1, sum(b)) as recall_theirs from t group by game, cam""")
+def _(spark, sf):
+    ours, theirs, pairs = tracker_pairs(spark, sf)
+    return R.tracker_agreement(ours, theirs, pairs, ["game", "cam"])
+
+
 @query("agg25_fused_parity", "game n_cons n_ours hits rmse:h long_tracks pure impurity:k recall:k precision:k")
 def _(spark, sf):
     w = A.world(spark, sf)
