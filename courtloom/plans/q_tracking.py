@@ -116,7 +116,7 @@ WHOLE_BALL_SQL = BALL_SQL.replace(f"cast(floor(frame / {A.CHUNK}) as bigint) as
 @query("trk03b_ball_track_of_a_game", "game frame bx:h by_:h", "bpts", WHOLE_BALL_SQL)
 def _(spark, sf):
     fused = V.fuse_ball_candidates(ball_points(spark, sf), ["game", "frame"])
-    return WH.ball_track(fused, length=A.CHUNK, before=2 * A.CHUNK).withColumnRenamed("by", "by_")
+    return WH.ball_track(fused, length=A.CHUNK).withColumnRenamed("by", "by_")
 
 
 @query("trk02b_ball_paths_of_a_game", "game cam seg frame cx:h cy:h vx:h vy:h imputed conf:k")
