@@ -19,6 +19,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def text_session(spark: SparkSession, rows: int = 2_000) -> SparkSession:
+    """The session with this package on its workers, and Arrow batches of at most `rows` texts (10,000 by default in Spark), so
+    that long texts do not fill a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return ship_package(spark)
+
+
 _TO = {"doc_id": "job_id", "text": "summary", "source": "narration_angle"}
 #: Put before further columns of documents that are named like a field of narrations.
 _OTHER = "__document_"
@@ -35,7 +42,7 @@ def as_documents(narrations: DataFrame) -> DataFrame:
 
 
 def _narrations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_narrations(ship_package(spark).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
+    return as_narrations(text_session(spark).read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
 
 
 def ratings_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +62,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = ship_package(spark).read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    pages = text_session(spark).read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     out = html_extraction.extract_main_text(pages, html_extraction.fit_block_model(pages))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
