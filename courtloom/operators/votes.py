@@ -64,8 +64,8 @@ def decayed_vote(df: DataFrame, keys: Sequence[str], order: str, value: str, wei
     best = F.aggregate(state, F.get(state, F.lit(0)), lambda a, e: F.when(e["w"] > a["w"], e).otherwise(a))
     out = lists.select(*keys, state.alias("s"), total.alias("total"), best.alias("best"))
     return out.select(
-        *keys, F.when(F.col("best.w") >= min_votes, F.col("best.v")).alias(value), F.col("best.w").alias("votes"), "total",
-        ((F.col("total") >= 10) & (F.col("best.w") / F.col("total") >= 0.8)).alias("locked"))
+        *keys, F.when(F.col("best.w") >= min_votes, F.col("best.v")).alias(value), F.coalesce("best.w", F.lit(0.0)).alias("votes"), "total",
+        ((F.col("total") >= 10) & (F.coalesce("best.w", F.lit(0.0)) / F.col("total") >= 0.8)).alias("locked"))
 
 
 def weighted_centroid(df: DataFrame, keys: Sequence[str], x: str, y: str, weight: Column) -> DataFrame:
