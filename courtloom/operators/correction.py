@@ -13,17 +13,19 @@ from courtloom.operators import ordered as O
 from courtloom.operators import sequence as S
 from courtloom.operators import votes as V
 from courtloom.operators.joins import FRAME
+from courtloom.session import cut_lineage
 
 
 def read_flags(streams: DataFrame, reads: DataFrame, min_iou: float = 0.3) -> DataFrame:
     """+1 when the best overlapping read of the frame carries the stream's number, -1 when another one,
-    0 without a read. `streams`: sid, num, kit, box; `reads`: read_num, read_kit, conf, b_ box."""
+    0 without a read. `streams`: sid, num, kit, box; `reads`: read_num, read_kit, conf, b_ box. The result is checkpointed: truth
+    and corrections read it several times, and streams and reads are scanned once."""
     pairs = streams.select(*FRAME, "sid", "num", "kit", "x1", "y1", "x2", "y2").join(reads, list(FRAME))
     pairs = pairs.withColumn("iou", G.iou(G.Box.of(), G.Box.of("b_"))).filter(F.col("iou") >= min_iou)
     same = F.col("read_num") == F.col("num")
     flag = F.when(same & F.col("read_kit").isNull(), 0).when(same & (F.col("read_kit") == F.col("kit")), 1).otherwise(-1)
     best = pairs.withColumn("flag", flag).groupBy(*FRAME, "sid").agg(F.max(F.struct("iou", "flag")).alias("b"))
-    return streams.join(best.select(*FRAME, "sid", F.col("b.flag").alias("read")), [*FRAME, "sid"], "left").fillna(0, ["read"])
+    return cut_lineage(streams.join(best.select(*FRAME, "sid", F.col("b.flag").alias("read")), [*FRAME, "sid"], "left").fillna(0, ["read"]))
 
 
 def truth_positions(flagged: DataFrame, weight: str, max_interp: int, block: int) -> DataFrame:

@@ -41,9 +41,10 @@ def _(spark, sf):
 @query("src03_play_reader", "game play_id t:k cls:s player_a:s", "plays", "select game, play_id, t / 1e1 as t, case when k % 2 = 0 then 'FG_MAKE' else 'REBOUND' end as cls, 'P' || uid as player_a from plays")
 def _(spark, sf):
     path = scratch_path(spark, "plays")
-    p = A.plays(spark, sf).select("game", F.floor(col("t") / 86400).alias("day"), "play_id", (col("t") / 10).alias("t"), F.expr("case when k % 2 = 0 then 'FG_MAKE' else 'REBOUND' end").alias("cls"), F.concat(F.lit("P"), "uid").alias("a"))
-    one = p.filter("day % 2 = 0").groupBy("game", "day").agg(F.collect_list(F.struct("play_id", "t", "cls", "a")).alias("plays"))
-    two = p.filter("day % 2 = 1").groupBy("game", "day").agg(F.collect_list(F.struct("play_id", col("t").alias("ts"), col("cls").alias("classification"), col("a").alias("player_a"))).alias("rows"))
+    p = A.plays(spark, sf).select("game", F.floor(col("t") / 86400).alias("day"), F.floor(col("t") / 3600).alias("hour"), "play_id", (col("t") / 10).alias("t"), F.expr("case when k % 2 = 0 then 'FG_MAKE' else 'REBOUND' end").alias("cls"), F.concat(F.lit("P"), "uid").alias("a"))
+    # a document holds an hour of a game, in one of the two layouts
+    one = p.filter("day % 2 = 0").groupBy("game", "day", "hour").agg(F.collect_list(F.struct("play_id", "t", "cls", "a")).alias("plays"))
+    two = p.filter("day % 2 = 1").groupBy("game", "day", "hour").agg(F.collect_list(F.struct("play_id", col("t").alias("ts"), col("cls").alias("classification"), col("a").alias("player_a"))).alias("rows"))
     both = one.unionByName(two, allowMissingColumns=True)
     both.withColumn("game", col("game").cast("string")).write.mode("overwrite").json(path)
     return readers.plays(spark, path)

@@ -181,3 +181,11 @@ print('rows', catalog.queries()['trk03_ball_tracker'](spark, {SF!r}).count())"""
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "rows 376" in done.stdout, done.stderr[-2000:]
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["trk15_cross_camera_correction", "trk16_drift_correction"])
+def test_corrections_scan_their_tables_three_times(spark, name):
+    """Streams, reads and detections once each: the flags are checkpointed before the correction, which scans detections."""
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
