@@ -13,6 +13,7 @@ from courtloom.functions import text as T
 from courtloom.operators import joins as J
 from courtloom.operators import ordered as O
 from courtloom.operators import sequence as S
+from courtloom.session import cut_lineage
 
 
 # --- provenance -------------------------------------------------------------------------------------------------
@@ -53,11 +54,14 @@ def require_empty(df: DataFrame, message: str) -> DataFrame:
 
 # --- splits --------------------------------------------------------------------------------------------------------
 def ordered_split(items: DataFrame, game: str, train: float = 0.80, valid: float = 0.12) -> DataFrame:
-    """Whole games in sorted order, 80 / 12 / 8 by index. The game list is the only ordered part."""
-    games = items.select(game).distinct()
-    w = Window.orderBy(game)                # one row per game: a small dimension
-    n = games.agg(F.count(F.lit(1)).alias("n"))
-    ranked = games.withColumn("i", F.row_number().over(w) - 1).join(F.broadcast(n))
+    """Whole games in sorted order, 80 / 12 / 8 by index. Games are dealt to ranges and ranked inside them; a game's index is
+    that rank after the games of the ranges before, so no task sorts all games."""
+    games = cut_lineage(items.select(game).distinct().repartitionByRange(game).withColumn("_p", F.spark_partition_id()))
+    sizes = games.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))                  # one row for each range
+    ahead = sizes.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"),
+                         F.sum("_c").over(Window.partitionBy()).alias("n"))
+    local = F.row_number().over(Window.partitionBy("_p").orderBy(game)) - 1
+    ranked = games.withColumn("_r", local).join(F.broadcast(ahead), "_p").withColumn("i", F.col("_ahead") + F.col("_r"))
     split = F.when(F.col("i") < F.floor(F.col("n") * train), "train").when(F.col("i") < F.floor(F.col("n") * (train + valid)), "valid").otherwise("test")
     return items.join(ranked.select(game, split.alias("split")), game)
 

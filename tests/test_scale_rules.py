@@ -189,3 +189,16 @@ def test_corrections_scan_their_tables_three_times(spark, name):
     """Streams, reads and detections once each: the flags are checkpointed before the correction, which scans detections."""
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 1
+
+
+def test_games_are_split_in_order_over_ranges(spark):
+    from courtloom.operators import datasets as D
+
+    names = [f"g{k * 7919 % 1000:04d}" for k in range(1000)]
+    items = spark.createDataFrame([(g, i) for g in names for i in range(2)], "game string, item int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.game, r.split) for r in D.ordered_split(items, "game").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {(g, "train" if k < 800 else "valid" if k < 920 else "test") for k, g in enumerate(sorted(names))}
