@@ -18,7 +18,7 @@ from courtloom.operators import votes as V
 from courtloom.operators import whole as WH
 from courtloom.plans import adapters as A
 from courtloom.plans.q_aggregates import FUSE_BALL_SQL, ball_points, court_observations
-from courtloom.plans.q_columns import IOU_SQL
+from courtloom.plans.q_columns import COURT_SQL, IOU_SQL
 from courtloom.plans.registry import query
 from courtloom.session import cut_lineage
 
@@ -69,7 +69,21 @@ def _(spark, sf):
     return total_cost(e, T.assign_per_frame(e, ["game", "chunk"], "frame", "left_id", "right_id", "cost"), ["game", "frame"], 1e6)
 
 
-@query("trk01_smoothed_points", "game gid chunk frame sx:h sy:h vx:h vy:h")
+# one row of state for each frame from the first to the last sight: position, velocity and the covariance both axes share
+SMOOTH_SQL = """with recursive o as (select f.game, f.gid, f.chunk, f.frame, row_number() over (partition by f.game, f.gid, f.chunk order by f.frame) as i, w.cx, w.cy
+    from (select game, gid, chunk, unnest(range(lo, hi + 1)) as frame from (select game, gid, chunk, min(frame) as lo, max(frame) as hi from world group by all)) f left join world w using (game, gid, chunk, frame)),
+  k as (select 1 / 30e0 as dt, 16e2 as r, 9e4 as q),
+  s as (select game, gid, chunk, frame, i, cx as x, cy as y, 0e0 as vx, 0e0 as vy, 16e2 as a, 0e0 as b, 4e4 as d, true as seen from o where i = 1 union all
+    select game, gid, chunk, frame, i, case when hit then px + g0 * (cx - px) else px end, case when hit then py + g0 * (cy - py) else py end, case when hit then vx + g1 * (cx - px) else vx end, case when hit then vy + g1 * (cy - py) else vy end,
+      case when hit then pa - g0 * pa else pa end, case when hit then pb - g0 * pb else pb end, case when hit then pd - g1 * pb else pd end, hit
+    from (select *, cx is not null as hit, pa / (pa + r) as g0, pb / (pa + r) as g1
+      from (select o.game, o.gid, o.chunk, o.frame, o.i, o.cx, o.cy, k.r, s.vx, s.vy, s.x + k.dt * s.vx as px, s.y + k.dt * s.vy as py,
+          s.a + 2 * k.dt * s.b + k.dt * k.dt * s.d + k.q * k.dt * k.dt * k.dt * k.dt / 4 as pa, s.b + k.dt * s.d + k.q * k.dt * k.dt * k.dt / 2 as pb, s.d + k.q * k.dt * k.dt as pd
+        from s join o on s.game = o.game and s.gid = o.gid and s.chunk = o.chunk and o.i = s.i + 1 cross join k)))
+  select game, gid, chunk, frame, x as sx, y as sy, vx, vy from s where seen"""
+
+
+@query("trk01_smoothed_points", "game gid chunk frame sx:h sy:h vx:h vy:h", "world", SMOOTH_SQL)
 def _(spark, sf):
     return T.smooth_points(A.world(spark, sf).withColumn("w", F.lit(1.0)), ["game", "gid", "chunk"], "frame", "cx", "cy", "w")
 
@@ -512,7 +526,20 @@ def _(spark, sf):
     return S.stride2(A.detections(spark, sf), 0.3)
 
 
-@query("evt27_multicamera_ball_trace", "game chunk frame bx:h by_:h")
+# balls of all cameras on the court and on the reference clock; fused, without cells that are occupied most of a chunk, and tracked
+A.CTES["balls_on_court"] = (("det", "calib", "offs"), f"""select p.game, p.cam, p.frame - off as frame, p.score * (p.cam + 1) / 4e0 as score, cx, cy
+  from ({COURT_SQL.replace("y2 as v from raw", "(y1 + y2) / 2 as v from det where class_id = 2")}) p join offs o on p.game = o.game and p.cam = o.cam
+  where cx between -500 and 26437e-1 and cy between -500 and 19264e-1""")
+TRACE_SQL = BALL_SQL.replace("from bpts", "from balls_on_court").replace("with recursive fused as (", "with recursive fz as (", 1).replace(">= 2e-1", ">= 5e-1").replace("""),
+  l as (select game,""", f"""),
+  gz as (select *, cast(floor(frame / {A.CHUNK}) as bigint) as chunk, cast(round_even(cx / 80e0, 0) as bigint) as gx, cast(round_even(cy / 80e0, 0) as bigint) as gy from fz),
+  sz as (select game, chunk, max(frame) - min(frame) + 1 as span from gz group by all),
+  bz as (select game, chunk, gx, gy from gz join sz using (game, chunk) group by all having count(distinct frame) / any_value(span) > 35e-2),
+  fused as (select game, frame, cx, cy, score, n_cams from gz where not exists (select 1 from bz where bz.game = gz.game and bz.chunk = gz.chunk and bz.gx = gz.gx and bz.gy = gz.gy)),
+  l as (select game,""", 1)
+
+
+@query("evt27_multicamera_ball_trace", "game chunk frame bx:h by_:h", "balls_on_court", TRACE_SQL)
 def _(spark, sf):
     from courtloom.operators import sync
     pts = A.detections(spark, sf).filter("class_id = 2").withColumn("u", G.Box.of().cx).withColumn("v", G.Box.of().cy)
