@@ -65,7 +65,24 @@ def _(spark, sf):
     return T.run_available(T.hold_online(s, 3, 2), path)
 
 
-@query("str04_triggered_reads", "game cam track_id frame claim")
+# one row of state for each sight: votes in the order in which numbers came, claim, last read, end of the hot time
+READS_STATE_SQL = """with recursive o as (select game, cam, track_id, frame, case when qty % 3 = 0 then null else qty % 4 end as num, score as conf, qty > 45 as contact, row_number() over (partition by game, cam, track_id order by frame) as i from trk),
+  s as (select game, cam, track_id, 0::bigint as i, null::bigint as frame, []::struct(n bigint, c bigint)[] as votes, null::bigint as claim, null::bigint as last, -1::bigint as hot, false as rd from (select distinct game, cam, track_id from o) union all
+    select game, cam, track_id, i, frame, v2, case when rd and num is not null and ok then top else claim end, case when rd then frame else last end,
+      case when rd and num is not null and ok then case when claim <> top then frame + 5 else h end when rd and num is not null and claim is not null and num <> claim and conf >= 8e-1 then frame + 5 else h end, rd
+    from (select *, list_filter(v2, lambda v: v.c = list_max(list_transform(v2, lambda x: x.c)))[1].n as top,
+        coalesce(list_max(list_transform(v2, lambda x: x.c)) >= 2 and list_max(list_transform(v2, lambda x: x.c)) / list_sum(list_transform(v2, lambda x: x.c)) >= 6e-1, false) as ok
+      from (select *, case when not rd or num is null then votes when len(list_filter(votes, lambda v: v.n = num)) = 0 then list_append(votes, {'n': num, 'c': 1::bigint})
+          else list_transform(votes, lambda v: {'n': v.n, 'c': case when v.n = num then v.c + 1 else v.c end}) end as v2
+        from (select *, claim is null or last is null or frame - last >= 10 or frame <= h as rd
+          from (select *, case when contact then greatest(hot, frame + 5) else hot end as h
+            from (select s.game, s.cam, s.track_id, o.i, o.frame, o.num, o.conf, o.contact, case when o.frame - s.frame > 18000 then []::struct(n bigint, c bigint)[] else s.votes end as votes,
+                case when o.frame - s.frame > 18000 then null else s.claim end as claim, case when o.frame - s.frame > 18000 then null else s.last end as last, case when o.frame - s.frame > 18000 then -1 else s.hot end as hot
+              from s join o on s.game = o.game and s.cam = o.cam and s.track_id = o.track_id and o.i = s.i + 1)))))
+  ) select game, cam, track_id, frame, claim from s where rd"""
+
+
+@query("str04_triggered_reads", "game cam track_id frame claim", "trk", READS_STATE_SQL)
 def _(spark, sf):
     t = A.tracks(spark, sf).selectExpr("game", "cam", "track_id", "frame", "case when qty % 3 = 0 then null else cast(qty % 4 as double) end as num", "score as conf", "qty > 45 as contact")
     s, path = stream_table(spark, t.withColumn("ts", T.event_time("frame")), "reads")

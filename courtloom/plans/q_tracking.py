@@ -185,7 +185,20 @@ def _(spark, sf):
     return I.tracklet_candidates(fragments(spark, sf), ["game", "chunk"], "tid", max_gap=10)
 
 
-@query("trk06_tracklet_merge", "game chunk alias canonical")
+MERGE_SQL = FRAG_SQL.replace("with i as", "with recursive i as", 1) + """,
+  e as (select game, chunk, cast(ga as bigint) as ga, cast(gb as bigint) as gb, row_number() over (partition by game, chunk order by dist + 5e-1 * gap, ga, gb) as i from c where dist <= least(450, 200 + 6 * gap)),
+  z as (select game, chunk, list({'r': cast(tid as bigint), 'm': [cast(tid as bigint)], 'f': first, 'l': last, 't': team}) as gs from s
+    where exists (select 1 from e where e.game = s.game and e.chunk = s.chunk and (e.ga = s.tid or e.gb = s.tid)) group by game, chunk),
+  st as (select game, chunk, 0::bigint as i, gs, n from z join (select game, chunk, max(i) as n from e group by all) using (game, chunk) union all
+    select game, chunk, i, case when a.r <> b.r and b.f > a.l and case when 'REF' in (coalesce(a.t, ''), coalesce(b.t, '')) then coalesce(a.t = b.t, false) else a.t is null or b.t is null or a.t = b.t end
+      then list_append(list_filter(gs, lambda q: q.r <> a.r and q.r <> b.r), {'r': a.r, 'm': list_concat(a.m, b.m), 'f': a.f, 'l': b.l, 't': coalesce(a.t, b.t)}) else gs end, n
+    from (select st.game, st.chunk, e.i, st.gs, st.n, list_filter(st.gs, lambda q: list_contains(q.m, e.ga))[1] as a, list_filter(st.gs, lambda q: list_contains(q.m, e.gb))[1] as b
+      from st join e on st.game = e.game and st.chunk = e.chunk and e.i = st.i + 1)),
+  u as (select game, chunk, unnest(gs) as q from st where i = n), v as (select game, chunk, q.r as canonical, unnest(q.m) as alias from u)
+  select game, chunk, alias, canonical from v where alias <> canonical"""
+
+
+@query("trk06_tracklet_merge", "game chunk alias canonical", "world", MERGE_SQL)
 def _(spark, sf):
     f = fragments(spark, sf)
     return T.merge_tracklets(I.tracklet_candidates(f, ["game", "chunk"], "tid", max_gap=10), f, ["game", "chunk"], "tid")
