@@ -6,7 +6,7 @@ sighting by camera), so gates, costs and updates of a frame are array expression
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -387,9 +387,9 @@ def report(tracks: CourtTracks, f: Frame) -> list[tuple]:
                     tracks.teams(rows), tracks.numbers(rows), tracks.members[rows].tolist(), (tracks.age[rows] > 0).tolist(), strict=True))
 
 
-def _fused(pdf: pd.DataFrame, params: dict) -> pd.DataFrame:
+def _fused(seen: Iterable[Frame], params: dict) -> pd.DataFrame:
     tracks = CourtTracks(**params)
-    rows = [r for f in frames(pdf) for r in report(tracks, f)]
+    rows = [r for f in seen for r in report(tracks, f)]
     out = pd.DataFrame(rows, columns=[c.split()[0] for c in REPORT.split(", ")])
     out["jersey"] = out["jersey"].astype("Int64")
     out["gid"] = out["gid"].map(lambda i: tracks.root(i - 1) + 1)           # merges hold for the frames before them
@@ -404,15 +404,16 @@ def fuse_groups(groups: DataFrame, keys: Sequence[str] = ("game", "chunk"), **pa
     """
     from courtloom.operators.tracking import per_group
 
-    return per_group(groups, keys, lambda pdf: _fused(pdf, params), REPORT)
+    return per_group(groups, keys, lambda pdf: _fused(frames(pdf), params), REPORT)
 
 
 def fusion_grid(groups: DataFrame, keys: Sequence[str], grid: list[dict]) -> DataFrame:
-    """(config, keys, frame, gid) of the fusion under every configuration. A chunk's rows are dealt out once and its task
-    runs all configurations, so the table is not copied for each of them."""
+    """(config, keys, frame, gid) of the fusion under every configuration. A chunk's rows are dealt out and made into frames
+    once, and its task runs all configurations over them."""
     from courtloom.operators.tracking import per_group
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([_fused(pdf, g)[["frame", "gid"]].assign(config=i) for i, g in enumerate(grid)])
+        seen = list(frames(pdf))
+        return pd.concat([_fused(seen, g)[["frame", "gid"]].assign(config=i) for i, g in enumerate(grid)])
 
     return per_group(groups, keys, work, "config int, frame long, gid long")

@@ -148,10 +148,9 @@ CAND = ["game", "eid as frame", "cast(floor(eid / 360) as bigint) as chunk", "ca
 
 
 def observations(spark: SparkSession, sf: str) -> DataFrame:
-    """Court observation per (game, uid, minute): best event of the minute."""
+    """Court observations by (game, uid, minute); further events of a player's minute count as further players."""
     per_min = events(spark, sf).selectExpr("*", "cast(floor(sec / 60) as bigint) as frame")
-    top = best_per(per_min, ["game", "uid", "frame"], ["val", "eid"], ["k", "etype", "val", "eid"])
-    return top.selectExpr(*OBS)
+    return _numbered(per_min, ["game", "frame"], "uid", 10_000_000, ["val", "eid"]).selectExpr(*OBS)
 
 
 OBS = [
@@ -244,7 +243,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "obs": (
         ("evt",),
-        _c(OBS, "(" + _best("(select *, cast(floor(sec / 60) as bigint) as frame from evt)", "game, uid, frame", "val desc, eid desc") + ")"),
+        _c(OBS, _slots("(select *, cast(floor(sec / 60) as bigint) as frame from evt)", "game, frame", "uid", 10_000_000, "val desc, eid desc")),
     ),
     "plays": (("evt",), "select game, eid as play_id, sec as t, k, uid from evt where etype = 'purchase'"),
     "cv": (

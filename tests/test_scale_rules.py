@@ -33,6 +33,8 @@ def test_event_views_keep_every_row(spark, sf):
     c = A.candidates(spark, sf)
     assert c.count() == e.count() == c.select("game", "frame").distinct().count()
     assert A.cv_events(spark, sf).count() == e.filter("event_type = 'click'").count()
+    o = A.observations(spark, sf)
+    assert o.count() == e.count() == o.select("game", "uid", "frame").distinct().count()
 
 
 def nearest(left, right, tol):
